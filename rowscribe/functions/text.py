@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The cleaning steps of a note, in order. WS is every character that
@@ -42,15 +42,64 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"\A" + WS + "+|" + WS + r"+\z", "")
 
 
-def clean_note(text: Column) -> Column:
-    """Normalise blanks, line breaks and dots of a note."""
+# White space beyond \s. Written as "none of the others" with the usual letters first, so
+# that a scan of ordinary text decides each character at once.
+RARE_WS = (
+    r"[^!-\x{84}\x00-\x1b\x20\x{a1}-\x{167f}\x{86}-\x{9f}\x{1681}-\x{1fff}\x{200b}-\x{2027}"
+    r"\x{202a}-\x{202e}\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}]"
+)
+
+
+def has_rare_space(text: Column) -> Column:
+    """Whether a text holds white space that the short class \\s does not cover."""
+    is_ascii = F.octet_length(text) == F.length(text)
+    return F.when(is_ascii, text.rlike(r"[\x1c-\x1f]")).otherwise(text.rlike(RARE_WS))
+
+
+def _cleaning_steps(text: Column, space: str) -> Column:
     for pattern, replacement in CLEANING_STEPS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return F.when(F.instr(text, KEPT_ELLIPSIS) > 0, text).otherwise(
-        F.regexp_replace(text, DOT_RUN, ". ")
+        text = F.regexp_replace(text, pattern.replace(WS, space), replacement)
+    return text
+
+
+def _close_dot_runs(text: Column, space: str) -> Column:
+    pattern = DOT_RUN if space == WS else r"[\s.]*\. +"
+    return F.when(F.contains(text, F.lit(KEPT_ELLIPSIS)), text).otherwise(
+        F.regexp_replace(text, pattern, ". ")
+    )
+
+
+def clean_notes(df: DataFrame, raw: Column, out: str) -> DataFrame:
+    """Add a column with the cleaned text: blanks, line breaks and dots normalised.
+
+    The text, the choice of the short white-space class and the result of the steps
+    are separate projections, because each is used more than once.
+    """
+    rare = F.col("_rare")
+    return (
+        df.withColumn("_raw", raw)
+        .withColumn("_rare", has_rare_space(F.col("_raw")))
+        .withColumn(
+            "_steps",
+            F.when(rare, _cleaning_steps(F.col("_raw"), WS)).otherwise(
+                _cleaning_steps(F.col("_raw"), r"\s")
+            ),
+        )
+        .withColumn(
+            out,
+            F.when(rare, _close_dot_runs(F.col("_steps"), WS)).otherwise(
+                _close_dot_runs(F.col("_steps"), r"\s")
+            ),
+        )
+        .drop("_raw", "_rare", "_steps")
     )
 
 
+def clean_note(text: Column) -> Column:
+    """The cleaned text as one expression; for many rows prefer ``clean_notes``."""
+    return _close_dot_runs(_cleaning_steps(text, WS), WS)
+
+
 def integer_text(value: Column) -> Column:
     """A number cut to its integer part, as text."""
     return value.cast("bigint").cast("string")

@@ -16,7 +16,7 @@ from rowscribe import phrasebook as P
 from rowscribe.functions.arrays import ordered_join
 from rowscribe.functions.text import (
     absent_if,
-    clean_note,
+    clean_notes,
     lower_first_if_second_low,
     phrases,
     replace_all,
@@ -132,12 +132,9 @@ def concept_phrases(values: DataFrame, short: DataFrame | None = None) -> DataFr
 
 def assemble_notes(summary: DataFrame, bodies: DataFrame) -> DataFrame:
     """person_id, note: the summary, then the visit text, for every person."""
-    return summary.join(bodies, "person_id", "left").select(
-        "person_id",
-        clean_note(
-            F.concat("summary", F.lit(NOTE_GAP), F.coalesce("visits", F.lit("")))
-        ).alias("note"),
-    )
+    joined = summary.join(bodies, "person_id", "left")
+    raw = F.concat("summary", F.lit(NOTE_GAP), F.coalesce("visits", F.lit("")))
+    return clean_notes(joined, raw, "note").select("person_id", "note")
 
 
 def _visit_bodies(sentences: DataFrame) -> DataFrame:
@@ -313,8 +310,9 @@ def _budgeted(worded, visits, named_primary, summary, max_tokens, tokens, as_lis
         .join(summary.select("person_id", "summary"), "person_id")
     )
     bare = (VISIT_LIST if as_list else VISIT).render(opened)
+    opened = clean_notes(opened, bare, "_bare")
     cost = F.coalesce(tokens(F.col("_text")), F.lit(0)) + F.when(
-        F.col("_opens"), tokens(clean_note(bare))
+        F.col("_opens"), tokens(F.col("_bare"))
     ).otherwise(F.lit(0))
     return within_budget(
         opened, tokens(F.col("summary")), cost, max_tokens * SAFETY_MARGIN
@@ -335,9 +333,8 @@ def label_leakage_notes(persons: DataFrame, labels: DataFrame) -> DataFrame:
     sentence = F.concat(
         SUMMARY.render(plain), F.lit(" "), F.col("pronoun"), F.lit(" "), state, F.lit(".")
     )
-    return plain.join(labels, "person_id").select(
-        "person_id", clean_note(F.concat(sentence, F.lit(NOTE_GAP))).alias("note")
-    )
+    raw = F.concat(sentence, F.lit(NOTE_GAP))
+    return clean_notes(plain.join(labels, "person_id"), raw, "note").select("person_id", "note")
 
 
 def condition_list_notes(
@@ -360,9 +357,9 @@ def condition_list_notes(
     plain = person_facts(persons).drop("race_text", "pronoun")
     summary = plain.select("person_id", SUMMARY.render(plain).alias("summary"))
     body = F.concat(F.lit(CONDITIONS_HEAD), F.coalesce("_lines", F.lit("")))
-    return summary.join(bodies, "person_id", "left").select(
-        "person_id", clean_note(F.concat("summary", F.lit(NOTE_GAP), body)).alias("note")
-    )
+    joined = summary.join(bodies, "person_id", "left")
+    raw = F.concat("summary", F.lit(NOTE_GAP), body)
+    return clean_notes(joined, raw, "note").select("person_id", "note")
 
 
 def important_conditions(

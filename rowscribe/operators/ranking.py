@@ -14,8 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowscribe.functions.hashing import hash_int, seeded_hash
-from rowscribe.functions.search import bounds_literal, count_at_most, key_struct
+from rowscribe.functions.hashing import seeded_hash
+from rowscribe.functions.search import range_of
 from rowscribe.session import bucket_count
 
 _BUCKET = "_range"
@@ -27,10 +27,10 @@ def hash_range(digest: Column, hex_digits: int = 3) -> Column:
     return F.substring(digest, 1, hex_digits)
 
 
-def sampled_bounds(
+def sampled_range(
     df: DataFrame, order: Sequence[Column], ranges: int | None = None
-) -> tuple[Column, int]:
-    """Bounds that cut the order into ranges of similar size.
+) -> Column:
+    """The range of each row when the order is cut into ranges of similar size.
 
     A bounded number of keys (8 per range) is chosen by the md5 of the key and
     sorted on the driver. The choice steers only the balance of the ranges.
@@ -47,7 +47,7 @@ def sampled_bounds(
     sample = sorted({tuple(row) for row in chosen})
     step = max(1, len(sample) // ranges)
     bounds = sample[step::step][: ranges - 1]
-    return bounds_literal(bounds, [f.dataType for f in keys.schema.fields]), len(bounds)
+    return range_of(order, bounds, [f.dataType for f in keys.schema.fields])
 
 
 def running_sums(
@@ -127,8 +127,7 @@ def number_by_order(
     the table is still cut into many ranges.
     """
     columns = [F.col(c) for c in order]
-    bounds, size = sampled_bounds(df, columns, ranges)
-    range_ = count_at_most(bounds, size, key_struct(columns))
+    range_ = sampled_range(df, columns, ranges)
     return running_sums(df, range_, columns, {out: F.lit(1).cast("bigint")}, partition_by)
 
 
@@ -141,8 +140,7 @@ def accumulate_by_order(
 ) -> DataFrame:
     """Running sums along ascending columns."""
     columns = [F.col(c) for c in order]
-    bounds, size = sampled_bounds(df, columns, ranges)
-    range_ = count_at_most(bounds, size, key_struct(columns))
+    range_ = sampled_range(df, columns, ranges)
     return running_sums(df, range_, columns, sums, partition_by)
 
 
@@ -243,22 +241,3 @@ def exact_quantiles(df: DataFrame, column: str, at: Mapping[str, float]) -> Data
 def median_of(df: DataFrame, column: str) -> Column:
     """The exact median as a scalar subquery."""
     return exact_quantiles(df, column, {"median": 0.5}).scalar()
-
-
-def add_hash(df: DataFrame, out: str, *parts) -> DataFrame:
-    return df.withColumn(out, seeded_hash(*parts))
-
-
-__all__ = [
-    "accumulate_by_order",
-    "add_hash",
-    "exact_quantiles",
-    "hash_int",
-    "hash_range",
-    "hash_threshold",
-    "median_of",
-    "number_by_hash",
-    "number_by_order",
-    "running_sums",
-    "sampled_bounds",
-]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowscribe.functions.arrays import ordered_join
-from rowscribe.functions.text import clean_note, strip
+from rowscribe.functions.text import clean_notes, strip
 from rowscribe.operators.template import (
     ColumnFn,
     NoteTemplate,
@@ -45,7 +45,7 @@ def feature_template(
 
 def serialize(df: DataFrame, template: NoteTemplate, out: str = "note") -> DataFrame:
     """Add the cleaned note of every row."""
-    return df.withColumn(out, clean_note(template.render(df)))
+    return clean_notes(df, template.render(df), out)
 
 
 # Fixed value: a list line of a note is "- name: value", the value without a colon.

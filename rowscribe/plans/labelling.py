@@ -9,7 +9,7 @@ from rowscribe.operators import ranking as R
 from rowscribe.operators import splits as J
 from rowscribe.operators.prompts import render_prompt
 from rowscribe.operators.serialize import feature_template, serialize
-from rowscribe.plans.registry import query, sql_clean, sql_hash, sql_strip, table
+from rowscribe.plans.registry import query, sql_clean, sql_hash, sql_strip, table, text_rows
 from rowscribe.plans.serialization import CUSTOMER, CUSTOMER_FORMATS, SEGMENT_SQL, customers
 from rowscribe.sources.tables import add_row_key
 
@@ -122,7 +122,7 @@ def row_key(spark, sf_dir):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
         "l_extendedprice",
     ]
-    lines = table(spark, sf_dir, "lineitem").select(*order)
+    lines = text_rows(spark, sf_dir, "lineitem", *order)
     return add_row_key(lines, order).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("shipped"), "idx",

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rowscribe.functions.text import CLEANING_STEPS, DOT_RUN, KEPT_ELLIPSIS, WS
+from rowscribe.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_rows(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The named columns of a table, dealt out for work on their text."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 # --- SQL text -----------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from rowscribe.operators import linearize as G
 from rowscribe.operators import sampling as K
 from rowscribe.operators import serialize as S
 from rowscribe.operators.template import NoteTemplate
-from rowscribe.plans.registry import query, sql_clean, sql_hash, sql_hash_int, table
+from rowscribe.plans.registry import query, sql_clean, sql_hash, sql_hash_int, table, text_rows
 
 SEED = 7
 SEGMENTS = {
@@ -119,22 +119,22 @@ def serialize_shuffled_categorical(spark, sf_dir):
 
 def _bins_sql(column: str) -> str:
     c = column
-    return f"""s_{c} AS (
+    return f"""s_{c} AS MATERIALIZED (
         SELECT p_partkey, {c} AS v, row_number() OVER (ORDER BY {c}, p_partkey) - 1 AS pos,
                count(*) OVER () AS n FROM part),
-    e_{c} AS (
+    e_{c} AS MATERIALIZED (
         SELECT b, floor(b * (n / 10.0::DOUBLE))::BIGINT AS low,
                floor((b + 1) * (n / 10.0::DOUBLE))::BIGINT AS high,
                row_number() OVER (ORDER BY {sql_hash(SEED, "'bins'", f"'{c}'", 'b')}, b) AS k
         FROM (SELECT DISTINCT n FROM s_{c}), range(10) t(b)),
-    f_{c} AS (
+    f_{c} AS MATERIALIZED (
         SELECT e.b, lo.v AS first_v, hi.v AS last_v, t.low, t.high
         FROM e_{c} e JOIN s_{c} lo ON lo.pos = e.low JOIN s_{c} hi ON hi.pos = e.high - 1
         JOIN e_{c} t ON t.k = e.k % 10 + 1),
-    g_{c} AS (
+    g_{c} AS MATERIALIZED (
         SELECT p_partkey, arg_min(low, b) AS low, arg_min(high, b) AS high
         FROM s_{c} JOIN f_{c} ON v BETWEEN first_v AND last_v GROUP BY p_partkey),
-    n_{c} AS (
+    n_{c} AS MATERIALIZED (
         SELECT g.p_partkey, m.v AS {c} FROM g_{c} g JOIN s_{c} m
         ON m.pos = g.low + {sql_hash_int(SEED, "'member'", f"'{c}'", 'g.p_partkey')} % (g.high - g.low))"""
 
@@ -172,7 +172,8 @@ def serialize_dates(spark, sf_dir):
         },
         post={"o_orderpriority": F.upper},
     )
-    rows = table(spark, sf_dir, "orders").withColumn(
+    columns = ("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    rows = text_rows(spark, sf_dir, "orders", *columns).withColumn(
         "age", F.lit("2005-01-01").cast("date") - F.col("o_orderdate").cast("date")
     )
     return S.serialize(rows, template).select("o_orderkey", "note")
@@ -230,10 +231,8 @@ def field_mapping_lenient(spark, sf_dir):
     FROM (SELECT doc_id, {sql_clean('text')} AS note FROM documents)""",
 )
 def clean_text(spark, sf_dir):
-    cleaned = table(spark, sf_dir, "documents").select(
-        "doc_id", X.clean_note(F.col("text")).alias("note")
-    )
-    return cleaned.select(
+    documents = text_rows(spark, sf_dir, "documents", "doc_id", "text")
+    return X.clean_notes(documents, F.col("text"), "note").select(
         "doc_id",
         F.md5("note").alias("note_md5"),
         F.length("note").cast("bigint").alias("note_chars"),

@@ -50,6 +50,16 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to all cores where it has fewer splits than cores.
+
+    Meant for a small file ahead of costly expressions. A scan of many files already has
+    enough splits and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bucket_count(spark: SparkSession) -> int:
     """How many ranges a global order is cut into: follows the shuffle width."""
     return max(16, min(8192, int(spark.conf.get("spark.sql.shuffle.partitions"))))
