@@ -61,20 +61,20 @@ def few_shot_sample(
     labelled = sizes.withColumn("_labels", F.count(F.lit(1)).over(whole)).withColumn(
         "_last", F.max("_label").over(whole)
     )
-    grid = labelled.withColumn("num_shot", F.explode(F.array(*[F.lit(s) for s in shots])))
+    grid = labelled.withColumn("_shots", F.explode(F.array(*[F.lit(s) for s in shots])))
     if seed_column:
-        grid = grid.withColumn("seed", F.col(seed_column))
+        grid = grid.withColumn("_seed", F.col(seed_column).cast("int"))
     else:
-        grid = grid.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in (seeds or [0])])))
-    share = F.floor(F.col("num_shot") / F.col("_labels")).cast("int")
-    rest = F.col("num_shot") - (F.col("_labels") - 1).cast("int") * share
+        grid = grid.withColumn("_seed", F.explode(F.array(*[F.lit(s) for s in (seeds or [0])])))
+    share = F.floor(F.col("_shots") / F.col("_labels")).cast("int")
+    rest = F.col("_shots") - (F.col("_labels") - 1).cast("int") * share
     draws = (
         grid.withColumn("_draws", F.when(F.col("_label") == F.col("_last"), rest).otherwise(share))
         .where(F.col("_draws") > 0)
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_draws") - 1)))
         .withColumn(
             "_pos",
-            pick(F.col("_n"), F.col("seed"), F.col("num_shot"), "draw", F.col("_label"), F.col("_j")),
+            pick(F.col("_n"), F.col("_seed"), F.col("_shots"), "draw", F.col("_label"), F.col("_j")),
         )
     )
     located = _locate(draws, ranges, [*group, "_label"])
@@ -86,15 +86,19 @@ def few_shot_sample(
         .withColumn("_nth", F.row_number().over(within).cast("bigint") - 1)
     )
     drawn = located.join(candidates, [*keyed, "_nth"])
-    place = Window.partitionBy("seed", "num_shot").orderBy("_order", "_label", "_j")
+    place = Window.partitionBy("_seed", "_shots").orderBy("_order", "_label", "_j")
     return (
         drawn.withColumn(
             "_order",
-            seeded_hash(F.col("seed"), F.col("num_shot"), "place", F.col("_label"), F.col("_j")),
+            seeded_hash(F.col("_seed"), F.col("_shots"), "place", F.col("_label"), F.col("_j")),
         )
         .withColumn("draw_no", F.row_number().over(place) - 1)
         .select(
-            "seed", "num_shot", "draw_no", F.col("_key").alias(key), F.col("_label").alias(label)
+            F.col("_seed").alias("seed"),
+            F.col("_shots").alias("num_shot"),
+            "draw_no",
+            F.col("_key").alias(key),
+            F.col("_label").alias(label),
         )
     )
 
@@ -107,8 +111,8 @@ def _locate(draws: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFra
         F.col("_start").alias("_at"),
         F.lit(0).alias("_kind"),
         F.struct("_range", "_start").alias("_mark"),
-        F.lit(None).cast("int").alias("seed"),
-        F.lit(None).cast("int").alias("num_shot"),
+        F.lit(None).cast("int").alias("_seed"),
+        F.lit(None).cast("int").alias("_shots"),
         F.lit(None).cast("int").alias("_j"),
     )
     asked = draws.select(
@@ -116,9 +120,9 @@ def _locate(draws: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFra
         F.col("_pos").alias("_at"),
         F.lit(1).alias("_kind"),
         F.lit(None).cast(marks.schema["_mark"].dataType).alias("_mark"),
-        F.col("seed").cast("int").alias("seed"),
-        F.col("num_shot").cast("int").alias("num_shot"),
-        F.col("_j").cast("int").alias("_j"),
+        "_seed",
+        "_shots",
+        "_j",
     )
     upto = Window.partitionBy(*keys).orderBy("_at", "_kind")
     return (
@@ -127,8 +131,8 @@ def _locate(draws: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFra
         .where(F.col("_kind") == 1)
         .select(
             *keys,
-            "seed",
-            "num_shot",
+            "_seed",
+            "_shots",
             "_j",
             F.col("_mark._range").alias("_range"),
             (F.col("_at") - F.col("_mark._start")).alias("_nth"),
