@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator
@@ -26,6 +27,8 @@ PENALTIES = {"l1": 1.0, "l2": 0.0}
 INVERSE_STRENGTHS = (100, 10, 1, 1e-1, 1e-2, 1e-3, 1e-4, 1e-5)
 MAX_ITERATIONS = 200
 
+ROWS_PER_PARTITION = 50_000
+
 
 def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """Weight n / (L * count) per label. The label table has one row per class."""
@@ -115,8 +118,16 @@ def grid_search(
     allows, at most four.
     """
     folds = max(2, fold_count(train, "label"))
-    folded = stratified_folds(balanced_weights(train), key, "label", seed, out="fold").persist()
-    weight_sum = float(folded.agg(F.sum("weight")).first()[0])
+    weighted = (
+        stratified_folds(balanced_weights(train), key, "label", seed, out="fold")
+        .select("features", "label", "weight", "fold")
+        .persist()
+    )
+    rows, weight_sum = weighted.agg(F.count(F.lit(1)), F.sum("weight")).first()
+    # A solver runs one job per iteration: a small sample goes into as few partitions as
+    # its counted size needs, a large one keeps its own.
+    needed = math.ceil(rows / ROWS_PER_PARTITION)
+    folded = weighted.coalesce(needed)
     if model == "lr":
         estimator, grid = linear_grid(weight_sum, n_labels, strengths, penalties)
     elif model == "trees":
@@ -138,9 +149,9 @@ def grid_search(
         parallelism=parallelism,
     )
     try:
-        return search.fit(folded.select("features", "label", "weight", "fold"))
+        return search.fit(folded)
     finally:
-        folded.unpersist()
+        weighted.unpersist()
 
 
 def score_holdout(model, holdout: DataFrame, n_labels: int = 2) -> DataFrame:

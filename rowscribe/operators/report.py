@@ -73,8 +73,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
-# Fixed value: the parts of an experiment folder, model_dataset_numshotN_seedN_rest.
-EXPERIMENT = r"^([^_]+)_(.+)_numshot([^_]+)_seed(\d+)(?:_(.*))?$"
+# Fixed value: the parts of an experiment folder, model_dataset_numshotN_seedN_rest. A
+# partition column may stand in front of it.
+EXPERIMENT = r"^(?:[^=]*=)?([^_]+)_(.+)_numshot([^_]+)_seed(\d+)(?:_(.*))?$"
 
 
 def experiment_key(path: Column) -> dict[str, Column]:

@@ -84,14 +84,17 @@ def append_scores(record: DataFrame, path: str) -> None:
 
 
 def last_records(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """The last JSON line of every score file, with the experiment its folder names.
+    """The last JSON line of every experiment folder, with what the folder's name says.
 
-    Lines carry their place (start of the file block, then order of reading), and an
-    aggregate keeps the last of each file; no file is loaded as a whole.
+    A folder holds one file that grows, or one file per append. Lines carry their place
+    (time of the file, start of the file block, order of reading), and an aggregate keeps
+    the last of each folder; no file is loaded as a whole.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.struct(
+            F.col("_metadata.file_modification_time").alias("written"),
+            F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line"),
         ).alias("place"),
@@ -99,14 +102,14 @@ def last_records(spark: SparkSession, path: str | list[str], schema: str) -> Dat
     )
     last = (
         lines.where(F.length(F.trim("value")) > 0)
-        .groupBy("file")
-        .agg(F.max_by("value", "place").alias("value"))
+        .groupBy(F.regexp_replace("file", r"/[^/]*$", "").alias("folder"))
+        .agg(F.max_by("value", "place").alias("value"), F.max_by("file", "place").alias("file"))
     )
     return last.select(
-        "file",
+        "folder",
         *[c.alias(n) for n, c in experiment_key(F.col("file")).items()],
         F.from_json("value", schema).alias("r"),
-    ).select("file", "model", "dataset", "num_shot", "seed", "spec", "r.*")
+    ).select("folder", "model", "dataset", "num_shot", "seed", "spec", "r.*")
 
 
 def write_summary(grid: DataFrame, path: str) -> None:
