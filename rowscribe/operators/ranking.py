@@ -9,6 +9,7 @@ rank; only the work is spread.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -189,13 +190,14 @@ def exact_quantiles(df: DataFrame, column: str, at: Mapping[str, float]) -> Data
     only counted. What is sorted is the few values inside a bracket, not the column.
     """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    slack = 0.002
-    probes = sorted({min(1.0, max(0.0, q + d)) for q in at.values() for d in (-slack, slack)})
-    marks = values.stat.approxQuantile("v", probes, slack / 4)
-    if not marks:
+    n = values.count()
+    if n == 0:
         return df.sparkSession.range(1).select(
             *[F.lit(None).cast("double").alias(name) for name in at]
         )
+    slack = 0.002 + 2.0 / n  # room for the two neighbours of an interpolated position
+    probes = sorted({min(1.0, max(0.0, q + d)) for q in at.values() for d in (-slack, slack)})
+    marks = values.stat.approxQuantile("v", probes, slack / 4)
     mark = dict(zip(probes, marks))
     brackets = []
     for q in at.values():
@@ -215,26 +217,18 @@ def exact_quantiles(df: DataFrame, column: str, at: Mapping[str, float]) -> Data
         .agg(F.count(F.lit(1)).alias("c"))
         .withColumn("real_rank", F.col("real").cast("int"))
     )
-    total = values.agg(F.count(F.lit(1)).alias("n")).scalar()
-    steps = accumulate_by_order(counts, ["v", "real_rank"], {"upto": F.col("c")}).withColumn(
-        "n", total
-    )
-    picks = []
+    steps = accumulate_by_order(counts, ["v", "real_rank"], {"upto": F.col("c")})
+    picks, shares = [], {}
     for name, q in at.items():
-        position = F.col("n").cast("double") * q - F.lit(q)  # zero-based, fractional
-        for suffix, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+        position = (n - 1) * q  # zero-based, fractional
+        shares[name] = position - math.floor(position)
+        for suffix, index in (("lo", math.floor(position)), ("hi", math.ceil(position))):
             here = (F.col("upto") > index) & (F.col("upto") - F.col("c") <= index)
             picks.append(F.max(F.when(here, F.col("v"))).alias(f"{name}_{suffix}"))
-        picks.append(F.max(position - F.floor(position)).alias(f"{name}_part"))
-    row = steps.agg(*picks)
-    return row.select(
-        *[
-            (
-                F.col(f"{name}_lo")
-                + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * F.col(f"{name}_part")
-            ).alias(name)
-            for name in at
-        ]
+    low = {name: F.col(f"{name}_lo") for name in at}
+    gap = {name: F.col(f"{name}_hi") - low[name] for name in at}
+    return steps.agg(*picks).select(
+        *[(low[name] + gap[name] * F.lit(shares[name])).alias(name) for name in at]
     )
 
 

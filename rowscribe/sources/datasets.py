@@ -16,7 +16,7 @@ _PLACE = ["_file", "_block", "_line"]
 def read_raw(spark: SparkSession, spec: DatasetSpec, path: str | list[str]) -> DataFrame:
     """The file as it is, with columns that hold each row's place in it."""
     if spec.file_format == "arff":
-        return read_arff(spark, path).select("*", F.monotonically_increasing_id().alias("_line"))
+        return read_arff(spark, path, place=True)
     table = read_csv(
         spark, path, spec.schema, spec.file_format == "csv_header", spec.null_token
     )

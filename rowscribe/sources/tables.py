@@ -86,9 +86,11 @@ def arff_head(spark: SparkSession, path: str) -> list[str]:
         size *= 8
 
 
-def read_arff(spark: SparkSession, path: str, head: str | None = None) -> DataFrame:
+def read_arff(
+    spark: SparkSession, path: str, head: str | None = None, place: bool = False
+) -> DataFrame:
     """A dense ARFF table. ``head`` names the file with the @attribute lines when the
-    data lines are spread over several files."""
+    data lines are spread over several files. ``place`` adds each row's place."""
     schema = arff_schema(arff_head(spark, head or path))
     line = F.trim(F.col("value"))
     is_data = (F.length(line) > 0) & ~line.rlike(r"^[%@]")
@@ -100,7 +102,10 @@ def read_arff(spark: SparkSession, path: str, head: str | None = None) -> DataFr
         "ignoreTrailingWhiteSpace": "true",
     }
     parsed = F.from_csv(line, _ddl(schema), options)
-    return spark.read.text(path).where(is_data).select(parsed.alias("r")).select("r.*")
+    lines = spark.read.text(path)
+    rest = _PLACE if place else ()
+    lines = in_file_order(lines) if place else lines
+    return lines.where(is_data).select(parsed.alias("r"), *rest).select("r.*", *rest)
 
 
 def _ddl(schema: T.StructType) -> str:
@@ -135,6 +140,9 @@ def write_arff(df: DataFrame, path: str, relation: str) -> None:
     df.select(line.alias("value")).write.text(f"{path}/data")
 
 
+_PLACE = ("_file", "_block", "_line")
+
+
 def in_file_order(df: DataFrame) -> DataFrame:
     """Add sortable columns for the place of a row in its file. Use on a file scan."""
     return df.select(
