@@ -10,29 +10,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rowscribe.operators.ranking import accumulate_by_order
+from rowscribe.functions.search import range_of
+from rowscribe.operators.ranking import accumulate_by_order, quantile_bounds
 
 
 def score_histogram(
     df: DataFrame, positive: Column, score: Column, by: Sequence[str] = ()
-) -> DataFrame:
-    """(by..., score, pos, neg): rows per distinct score."""
-    return (
-        df.select(*by, positive.cast("boolean").alias("_p"), score.cast("double").alias("score"))
-        .groupBy(*by, "score")
-        .agg(
-            F.sum(F.when(F.col("_p"), 1).otherwise(0)).cast("bigint").alias("pos"),
-            F.sum(F.when(F.col("_p"), 0).otherwise(1)).cast("bigint").alias("neg"),
-        )
+) -> tuple[DataFrame, list[tuple]]:
+    """(by..., score, pos, neg), rows per distinct score, and bounds that cut the scores
+    into ranges. The bounds come from a sketch over the rows, so that the histogram is
+    computed once only."""
+    rows = df.select(
+        *by, positive.cast("boolean").alias("_p"), score.cast("double").alias("score")
+    )
+    histogram = rows.groupBy(*by, "score").agg(
+        F.sum(F.when(F.col("_p"), 1).otherwise(0)).cast("bigint").alias("pos"),
+        F.sum(F.when(F.col("_p"), 0).otherwise(1)).cast("bigint").alias("neg"),
     )
+    return histogram, quantile_bounds(rows, "score")
+
+
+def _score_range(bounds: list[tuple]) -> Column:
+    return range_of([F.col("score")], bounds, [T.DoubleType()])
 
 
 def roc_auc_of_histogram(
-    histogram: DataFrame, by: Sequence[str] = (), out: str = "roc_auc"
+    histogram: DataFrame, bounds: list[tuple], by: Sequence[str] = (), out: str = "roc_auc"
 ) -> DataFrame:
     """Area under the ROC curve per group; NULL where a class is empty."""
-    steps = accumulate_by_order(histogram, ["score"], {"neg_upto": F.col("neg")}, by)
+    steps = accumulate_by_order(
+        histogram, ["score"], {"neg_upto": F.col("neg")}, by, _score_range(bounds)
+    )
     wins = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return steps.groupBy(*by).agg((F.sum(wins) / F.nullif(pairs, F.lit(0.0))).alias(out))
@@ -42,9 +52,8 @@ def roc_auc(
     df: DataFrame, label: str, score: str, by: Sequence[str] = (), out: str = "roc_auc"
 ) -> DataFrame:
     """Binary ROC AUC of the score of class 1."""
-    return roc_auc_of_histogram(
-        score_histogram(df, F.col(label) == 1, F.col(score), by), by, out
-    )
+    histogram, bounds = score_histogram(df, F.col(label) == 1, F.col(score), by)
+    return roc_auc_of_histogram(histogram, bounds, by, out)
 
 
 def class_scores(df: DataFrame, label: str, probabilities: str, by: Sequence[str] = ()) -> DataFrame:
@@ -63,9 +72,8 @@ def roc_auc_ovr_classes(
     """One-vs-rest ROC AUC of every class."""
     long = class_scores(df, label, probabilities, by)
     keys = [*by, "class"]
-    return roc_auc_of_histogram(
-        score_histogram(long, F.col("is_class"), F.col("score"), keys), keys
-    )
+    histogram, bounds = score_histogram(long, F.col("is_class"), F.col("score"), keys)
+    return roc_auc_of_histogram(histogram, bounds, keys)
 
 
 def roc_auc_ovr(
@@ -105,13 +113,12 @@ def roc_auc_ovo(
         ).alias("e"),
     ).select(*by, "e.*")
     keys = [*by, "class", "against"]
-    pairs = roc_auc_of_histogram(
-        score_histogram(entries, F.col("is_class"), F.col("score"), keys), keys
-    )
+    histogram, bounds = score_histogram(entries, F.col("is_class"), F.col("score"), keys)
+    pairs = roc_auc_of_histogram(histogram, bounds, keys)
     return pairs.groupBy(*by).agg(F.avg("roc_auc").alias("roc_auc_ovo"))
 
 
-def pr_curve(histogram: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def pr_curve(histogram: DataFrame, bounds: list[tuple], by: Sequence[str] = ()) -> DataFrame:
     """Histogram with true positives and all rows from the highest score downwards."""
     falling = histogram.withColumn("_falling", -F.col("score"))
     return accumulate_by_order(
@@ -119,6 +126,7 @@ def pr_curve(histogram: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         ["_falling"],
         {"tp": F.col("pos"), "taken": F.col("pos") + F.col("neg")},
         by,
+        F.lit(len(bounds)) - _score_range(bounds),
     ).drop("_falling")
 
 
@@ -126,7 +134,7 @@ def pr_auc(
     df: DataFrame, label: str, score: str, by: Sequence[str] = (), out: str = "pr_auc"
 ) -> DataFrame:
     """Area under the precision-recall curve by trapezoids, from (recall 0, precision 1)."""
-    steps = pr_curve(score_histogram(df, F.col(label) == 1, F.col(score), by), by)
+    steps = pr_curve(*score_histogram(df, F.col(label) == 1, F.col(score), by), by)
     precision = F.col("tp") / F.col("taken")
     taken_before = F.col("taken") - F.col("pos") - F.col("neg")
     before = F.when(taken_before == 0, F.lit(1.0)).otherwise(

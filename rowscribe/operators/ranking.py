@@ -12,20 +12,26 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowscribe.functions.hashing import seeded_hash
-from rowscribe.functions.search import range_of
+from rowscribe.functions.search import key_struct, range_of
 from rowscribe.session import bucket_count
 
 _BUCKET = "_range"
 _BEFORE = "_before"
 
 
-def hash_range(digest: Column, hex_digits: int = 3) -> Column:
-    """The range of a hash order: the leading hex digits."""
-    return F.substring(digest, 1, hex_digits)
+def hash_digits(spark: SparkSession) -> int:
+    """Leading hex digits of a digest that name its range: 4096 ranges, or 65536 where
+    the session shuffles into thousands of partitions."""
+    return 3 if bucket_count(spark) <= 1024 else 4
+
+
+def hash_range(df: DataFrame, digest: str) -> Column:
+    """The range of a hash order."""
+    return F.substring(digest, 1, hash_digits(df.sparkSession))
 
 
 def sampled_range(
@@ -103,12 +109,11 @@ def number_by_hash(
     out: str,
     tie: Sequence[str] = (),
     partition_by: Sequence[str] = (),
-    hex_digits: int = 3,
 ) -> DataFrame:
     """Number rows 1..n along a digest column, whole table or per group."""
     return running_sums(
         df,
-        hash_range(F.col(digest), hex_digits),
+        hash_range(df, digest),
         [F.col(digest), *[F.col(c) for c in tie]],
         {out: F.lit(1).cast("bigint")},
         partition_by,
@@ -137,52 +142,70 @@ def accumulate_by_order(
     order: Sequence[str],
     sums: Mapping[str, Column],
     partition_by: Sequence[str] = (),
-    ranges: int | None = None,
+    range_: Column | None = None,
 ) -> DataFrame:
-    """Running sums along ascending columns."""
+    """Running sums along ascending columns. ``range_`` spares a sample of ``df``."""
     columns = [F.col(c) for c in order]
-    range_ = sampled_range(df, columns, ranges)
+    if range_ is None:
+        range_ = sampled_range(df, columns)
     return running_sums(df, range_, columns, sums, partition_by)
 
 
-def hash_threshold(
+def quantile_bounds(df: DataFrame, column: str, most: int = 1024) -> list[tuple]:
+    """Bounds that cut a numeric column into ranges of similar row counts, from one
+    pass with a sketch; rows are not shuffled."""
+    ranges = min(most, bucket_count(df.sparkSession))
+    marks = df.stat.approxQuantile(
+        column, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)
+    )
+    return [(m,) for m in sorted(set(marks))]
+
+
+def nth_key(
     df: DataFrame,
-    digest: str,
-    tie: str,
+    order: Sequence[str],
+    range_: Column,
     keep: Column,
     partition_by: Sequence[str] = (),
-    hex_digits: int = 3,
+    limits: DataFrame | None = None,
 ) -> DataFrame:
-    """The (digest, tie) of row number ``keep`` per group, one row a group.
+    """The order key of row number ``keep`` per group, one row a group, as ``_edge``.
 
-    ``keep`` is an expression of the group's row count ``n``. Only the range that
-    holds the row is sorted; all other rows are merely counted. ``_digest`` is NULL
-    where ``keep`` is zero.
+    ``keep`` is an expression of the group's row count ``n`` and of the columns of
+    ``limits``, a table with one row per group. Only the range that holds the row is
+    sorted; all other rows are merely counted, so the table itself is not shuffled.
+    A group without such a row has no result.
     """
     keys = list(partition_by)
-    cut = df.select(*keys, digest, tie, hash_range(F.col(digest), hex_digits).alias(_BUCKET))
+    cut = df.select(*keys, *order, range_.alias(_BUCKET))
     counts = cut.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*keys).orderBy(_BUCKET)
     whole = Window.partitionBy(*keys)
-    ranges = (
-        counts.withColumn("_end", F.sum("_c").over(upto))
-        .withColumn("n", F.sum("_c").over(whole))
-        .withColumn("_keep", keep.cast("bigint"))
+    ranges = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn(
+        "n", F.sum("_c").over(whole)
     )
+    if limits is not None:
+        ranges = ranges.join(limits, keys)
+    ranges = ranges.withColumn("_keep", keep.cast("bigint"))
     hit = ranges.where(
         (F.col("_keep") > F.col("_end") - F.col("_c")) & (F.col("_keep") <= F.col("_end"))
     ).select(*keys, _BUCKET, (F.col("_keep") - F.col("_end") + F.col("_c")).alias("_nth"))
-    inside = Window.partitionBy(*keys, _BUCKET).orderBy(digest, tie)
+    inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
     if not keys:
         hit = F.broadcast(hit)  # a single row
     return (
         cut.join(hit, [*keys, _BUCKET])
         .withColumn("_rn", F.row_number().over(inside))
         .where(F.col("_rn") == F.col("_nth"))
-        .select(*keys, F.col(digest).alias("_digest"), F.col(tie).alias("_tie"))
+        .select(*keys, key_struct([F.col(c) for c in order]).alias("_edge"))
     )
 
 
+def at_most(order: Sequence[str], edge: Column) -> Column:
+    """Whether a row stands at or before an edge; false where there is no edge."""
+    return F.coalesce(key_struct([F.col(c) for c in order]) <= edge, F.lit(False))
+
+
 def exact_quantiles(df: DataFrame, column: str, at: Mapping[str, float]) -> DataFrame:
     """Exact quantiles of a numeric column with linear interpolation, as one row.
 

@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowscribe.functions.hashing import cyclic_derangement, pick, seeded_hash
-from rowscribe.operators.ranking import hash_range, number_by_hash, number_by_order
+from rowscribe.operators.ranking import (
+    at_most,
+    hash_range,
+    nth_key,
+    number_by_hash,
+    number_by_order,
+    sampled_range,
+)
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -30,7 +37,6 @@ def few_shot_sample(
     shots: Sequence[int],
     seeds: Sequence[int] | None = None,
     seed_column: str | None = None,
-    hex_digits: int = 3,
 ) -> DataFrame:
     """Balanced few-shot draws with replacement for every (shots, seed).
 
@@ -48,10 +54,10 @@ def few_shot_sample(
         F.col(key).alias("_key"),
         F.col(label).alias("_label"),
         seeded_hash("order", F.col(key)).alias("_h"),
-    ).withColumn("_range", hash_range(F.col("_h"), hex_digits))
+    ).withColumn("_range", hash_range(df, "_h"))
     counts = rows.groupBy(*group, "_label", "_range").agg(F.count(F.lit(1)).alias("_c"))
 
-    # At most 16^hex_digits ranges per (seed, label).
+    # A bounded number of ranges per (seed, label).
     per_label = Window.partitionBy(*group, "_label")
     ranges = counts.withColumn(
         "_start", F.sum("_c").over(per_label.orderBy("_range")) - F.col("_c")
@@ -285,16 +291,17 @@ def mixture_caps(catalogue: DataFrame, templates: str, train_size: str, total: i
 
 
 def cap_rows(df: DataFrame, caps: DataFrame, group: str, key: str, cap: str = "cap") -> DataFrame:
-    """The first ``cap`` rows of each group along ``key``. Groups without a cap drop out.
+    """The first ``cap`` rows of each group along a unique ``key``. Groups without a cap
+    drop out.
 
-    Numbering is spread over ranges of the key, so one group may be most of the table.
+    Ranges of the key are counted per group to find the last row that stays, and rows
+    are compared with it; a group that is most of the table is not sorted as a whole.
     """
-    numbered = number_by_order(df, [key], "_rn", [group])
-    return (
-        numbered.join(F.broadcast(caps.select(group, cap)), group)  # one row per group
-        .where(F.col("_rn") <= F.col(cap))
-        .drop("_rn")
-    )
+    range_ = sampled_range(df, [F.col(key)])
+    limits = caps.select(group, cap)
+    last = nth_key(df, [key], range_, F.least(cap, "n"), [group], limits)
+    kept = df.join(last.join(limits, group), group)
+    return kept.where(at_most([key], F.col("_edge"))).drop("_edge")
 
 
 def deny(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:

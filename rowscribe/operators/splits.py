@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowscribe.functions.hashing import seeded_hash
-from rowscribe.functions.search import key_struct
-from rowscribe.operators.ranking import hash_threshold, number_by_hash, number_by_order
+from rowscribe.operators.ranking import (
+    at_most,
+    hash_range,
+    nth_key,
+    number_by_hash,
+    sampled_range,
+)
 
 
 def holdout_size(n: Column, share: float) -> Column:
@@ -18,18 +23,25 @@ def holdout_size(n: Column, share: float) -> Column:
     return F.ceil(n.cast("double") * share - 1e-9)
 
 
+def _edge(df: DataFrame, order: Sequence[str], range_: Column, keep: Column) -> Column:
+    return nth_key(df, order, range_, keep).scalar()
+
+
 def split_ordered(df: DataFrame, key: str, out: str = "split") -> DataFrame:
-    """First 80 % train, next 10 % validation, last 10 % test, along ``key``."""
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    numbered = number_by_order(df, [key], "_rn").withColumn("_n", n)
-    held = holdout_size(F.col("_n"), 0.2)
-    test = holdout_size(held, 0.5)
-    return numbered.withColumn(
+    """First 80 % train, next 10 % validation, last 10 % test, along a unique ``key``.
+
+    Ranges of the key are counted to find the last training and the last validation
+    row; the rows themselves are compared with these two and not moved.
+    """
+    range_ = sampled_range(df, [F.col(key)])
+    n = F.col("n")
+    held = holdout_size(n, 0.2)
+    return df.withColumn(
         out,
-        F.when(F.col("_rn") <= F.col("_n") - held, "train")
-        .when(F.col("_rn") <= F.col("_n") - test, "validation")
+        F.when(at_most([key], _edge(df, [key], range_, n - held)), "train")
+        .when(at_most([key], _edge(df, [key], range_, n - holdout_size(held, 0.5))), "validation")
         .otherwise("test"),
-    ).drop("_rn", "_n")
+    )
 
 
 def split_seeded(
@@ -47,13 +59,11 @@ def split_seeded(
     last training row, the second compares with it.
     """
     hashed = df.withColumn("_h", seeded_hash(seed, "split", F.col(key)))
-    last = hash_threshold(
-        hashed, "_h", key, F.col("n") - holdout_size(F.col("n"), share)
-    )
-    edge = last.select(F.struct(F.col("_digest").alias("k0"), F.col("_tie").alias("k1"))).scalar()
-    is_train = F.coalesce(key_struct([F.col("_h"), F.col(key)]) <= edge, F.lit(False))
+    order = ["_h", key]
+    train = F.col("n") - holdout_size(F.col("n"), share)
+    edge = _edge(hashed, order, hash_range(hashed, "_h"), train)
     return hashed.withColumn(
-        out, F.when(is_train, F.lit(names[0])).otherwise(F.lit(names[1]))
+        out, F.when(at_most(order, edge), F.lit(names[0])).otherwise(F.lit(names[1]))
     ).drop("_h")
 
 
@@ -63,17 +73,15 @@ def split_seeds(
     """The seeded split for several seeds at once: every row once per seed."""
     per_seed = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     hashed = per_seed.withColumn("_h", seeded_hash(F.col("seed"), "split", F.col(key)))
-    last = hash_threshold(
-        hashed, "_h", key, F.col("n") - holdout_size(F.col("n"), share), ["seed"]
-    )
-    train = key_struct([F.col("_h"), F.col(key)]) <= key_struct([F.col("_digest"), F.col("_tie")])
+    order = ["_h", key]
+    train = F.col("n") - holdout_size(F.col("n"), share)
+    last = nth_key(hashed, order, hash_range(hashed, "_h"), train, ["seed"])
     return (
         hashed.join(F.broadcast(last), "seed", "left")  # one row per seed
         .withColumn(
-            out,
-            F.when(F.col("_digest").isNotNull() & train, "train").otherwise("validation"),
+            out, F.when(at_most(order, F.col("_edge")), "train").otherwise("validation")
         )
-        .drop("_h", "_digest", "_tie")
+        .drop("_h", "_edge")
     )
 
 

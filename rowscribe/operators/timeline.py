@@ -134,19 +134,22 @@ def unique_concepts(temporal: DataFrame) -> DataFrame:
 
 
 def _interval_sums(weights: DataFrame, keys: list[str]) -> DataFrame:
-    """All (interval, weight) pairs of a key as one array."""
-    return weights.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("interval", "weight"))).alias("_weights")
+    """The sum of weights per interval of a key, as one array: an entry per distinct
+    interval, however many rows a key has."""
+    per_interval = weights.groupBy(*keys, "interval").agg(
+        F.sum("weight").alias("weight"), F.sum(F.abs("weight")).alias("abs_weight")
+    )
+    return per_interval.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("interval", "weight", "abs_weight"))).alias("_weights")
     )
 
 
-def _gated_sum(start: Column, end_date: Column, absolute: bool) -> Column:
+def _gated_sum(start: Column, end_date: Column, weight: str) -> Column:
     """Sum of the weights whose interval reaches back to ``start``."""
 
     def add(total: Column, entry: Column) -> Column:
-        weight = F.abs(entry["weight"]) if absolute else entry["weight"]
         too_early = F.coalesce(start < F.date_sub(end_date, entry["interval"]), F.lit(False))
-        return total + F.when(too_early, F.lit(0.0)).otherwise(weight)
+        return total + F.when(too_early, F.lit(0.0)).otherwise(entry[weight])
 
     return F.coalesce(F.aggregate(F.col("_weights"), F.lit(0.0), add), F.lit(0.0))
 
@@ -176,10 +179,8 @@ def weigh_visits(visits: DataFrame, weights: DataFrame, end_date: str) -> DataFr
         "duration",
         F.lower("specialty").alias("specialty"),
         *[
-            F.when(is_latest, _gated_sum(F.col("start"), end, absolute))
-            .otherwise(F.lit(0.0))
-            .alias(name)
-            for name, absolute in (("weight", False), ("abs_weight", True))
+            F.when(is_latest, _gated_sum(F.col("start"), end, name)).otherwise(F.lit(0.0)).alias(name)
+            for name in ("weight", "abs_weight")
         ],
     )
 
@@ -196,8 +197,7 @@ def weigh_concepts(
         *VISIT_KEY,
         "concept_id",
         "concept",
-        _gated_sum(F.col("start"), end, False).alias("weight"),
-        _gated_sum(F.col("start"), end, True).alias("abs_weight"),
+        *[_gated_sum(F.col("start"), end, name).alias(name) for name in ("weight", "abs_weight")],
     )
 
 

@@ -71,7 +71,7 @@ def training_tasks(tasks: DataFrame, templates: DataFrame, source: str) -> DataF
     counted = templates.groupBy("dataset", "subset").agg(F.count(F.lit(1)).alias("n_templates"))
     same = lambda a, b: (a["dataset"] == b["dataset"]) & a["subset"].eqNullSafe(b["subset"])
     joined = templates.alias("t").join(
-        F.broadcast(chosen).alias("c"), same(templates, chosen)  # a catalogue, one row a task
+        chosen.alias("c"), same(templates, chosen)
     )
     sized = joined.select("t.*", "c.train_size")
     n = counted.withColumnsRenamed({"dataset": "_d", "subset": "_s"})

@@ -49,19 +49,24 @@ def test_number_by_order_in_groups(spark, skewed, parts):
 def test_number_by_hash(spark, skewed, parts):
     df = spark.createDataFrame(skewed, SCHEMA).repartition(parts)
     hashed = df.withColumn("h", seeded_hash(3, "x", F.col("id")))
-    numbered = R.number_by_hash(hashed, "h", "n", ["id"], hex_digits=1).collect()
+    numbered = R.number_by_hash(hashed, "h", "n", ["id"]).collect()
     order = sorted(numbered, key=lambda r: (r["h"], r["id"]))
     assert [r["n"] for r in order] == list(range(1, len(skewed) + 1))
 
 
-def test_hash_threshold(spark, skewed):
+def test_nth_key(spark, skewed):
     df = spark.createDataFrame(skewed, SCHEMA).withColumn("h", seeded_hash(3, "x", F.col("id")))
     for keep in (0, 1, 450, 900):
-        rows = R.hash_threshold(df, "h", "id", F.lit(keep)).collect()
+        rows = R.nth_key(df, ["h", "id"], R.hash_range(df, "h"), F.lit(keep)).collect()
         if keep == 0:
             assert rows == []
             continue
-        assert df.where(F.col("h") <= rows[0]["_digest"]).count() == keep
+        assert df.where(F.col("h") <= rows[0]["_edge"]["k0"]).count() == keep
+    by = R.sampled_range(df, [F.col("id")])
+    limits = spark.createDataFrame([("hot", 7), ("g1", 2)], "grp string, cap int")
+    last = R.nth_key(df, ["id"], by, F.col("cap"), ["grp"], limits).collect()
+    own = {g: sorted(r[0] for r in skewed if r[1] == g) for g in ("hot", "g1")}
+    assert {r["grp"]: r["_edge"]["k0"] for r in last} == {"hot": own["hot"][6], "g1": own["g1"][1]}
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 501])
