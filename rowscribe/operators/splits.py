@@ -92,10 +92,9 @@ ROUND_ROUTES = {"validation": "test"}
 
 def route_split(split: Column, routes: Mapping[str, str], suffix: str = "") -> Column:
     """The name under which a split is stored."""
-    chain = F
+    named = split
     for asked, stored in routes.items():
-        chain = chain.when(split == asked, F.lit(stored))
-    named = chain.otherwise(split)
+        named = F.when(split == asked, F.lit(stored)).otherwise(named)
     return F.concat(named, F.lit(suffix)) if suffix else named
 
 

@@ -55,9 +55,10 @@ def visit_key(date: Column) -> Column:
 def parse_entries(entries: DataFrame) -> DataFrame:
     """One row per concept string, split into its parts. An unknown string fails the
     query. ``attr``/``value`` are set for visit data, ``concept_id``/``concept`` else."""
-    text = F.col("text")
-    is_visit = text.rlike(VISIT_STRING)
+    text, attr = F.col("text"), F.col("attr")
+    is_visit = attr != ""
     concept_id = F.regexp_extract(text, CONCEPT_STRING, 1)
+    unknown = F.raise_error(F.concat(F.lit("unknown concept string: "), text)).cast("bigint")
     return (
         entries.select(
             "person_id",
@@ -65,20 +66,18 @@ def parse_entries(entries: DataFrame) -> DataFrame:
             "pos",
             F.posexplode("concepts").alias("at", "text"),
         )
-        .withColumn("is_visit", is_visit)
+        .withColumn("attr", F.regexp_extract(text, VISIT_STRING, 1))
         .select(
             *VISIT_KEY,
             "pos",
             "at",
-            F.when(F.col("is_visit"), F.regexp_extract(text, VISIT_STRING, 1)).alias("attr"),
-            F.when(F.col("is_visit"), F.regexp_extract(text, VISIT_STRING, 2)).alias("value"),
-            F.when(F.col("is_visit"), F.lit(None))
+            F.when(is_visit, attr).alias("attr"),
+            F.when(is_visit, F.regexp_extract(text, VISIT_STRING, 2)).alias("value"),
+            F.when(is_visit, F.lit(None))
             .when(concept_id != "", concept_id.cast("bigint"))
-            .otherwise(
-                F.raise_error(F.concat(F.lit("unknown concept string: "), text)).cast("bigint")
-            )
+            .otherwise(unknown)
             .alias("concept_id"),
-            F.when(~F.col("is_visit"), F.regexp_extract(text, CONCEPT_STRING, 2)).alias("concept"),
+            F.when(~is_visit, F.regexp_extract(text, CONCEPT_STRING, 2)).alias("concept"),
         )
     )
 

@@ -26,7 +26,8 @@ QUALITY_QUESTION = "Is this a good text? Yes or no?"
     FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
 )
 def prompt_render(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = text_rows(spark, sf_dir, "documents", "doc_id", "text")
+    rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     prompts = D.render_prompt(rows, QUALITY_QUESTION, "No ||| Yes", "text", "quality")
     return prompts.select("doc_id", F.md5("prompt").alias("prompt_md5"), "answer")
 

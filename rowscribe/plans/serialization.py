@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowscribe.functions import text as X
+from rowscribe.operators import generate as M
 from rowscribe.operators import linearize as G
 from rowscribe.operators import sampling as K
 from rowscribe.operators import serialize as S
@@ -45,14 +46,19 @@ PART_LIST_SQL = (
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
-    return table(spark, sf_dir, "customer").join(
+    columns = ("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    return text_rows(spark, sf_dir, "customer", *columns).join(
         nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rows(spark, sf_dir, "part", "p_partkey", *[c for c, _ in PART])
+
+
 def part_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = S.feature_template(PART, "list", PART_FORMATS)
-    return S.serialize(table(spark, sf_dir, "part"), template).select("p_partkey", "note")
+    return S.serialize(parts(spark, sf_dir), template).select("p_partkey", "note")
 
 
 @query(
@@ -76,7 +82,7 @@ def serialize_list(spark, sf_dir):
 )
 def serialize_values(spark, sf_dir):
     template = S.feature_template(PART, "values", PART_FORMATS)
-    return S.serialize(table(spark, sf_dir, "part"), template).select("p_partkey", "note")
+    return S.serialize(parts(spark, sf_dir), template).select("p_partkey", "note")
 
 
 @query(
@@ -112,7 +118,7 @@ def _exchange_sql(column: str) -> str:
     SELECT p_partkey, {sql_clean(PART_LIST_SQL)} AS note FROM x""",
 )
 def serialize_shuffled_categorical(spark, sf_dir):
-    rows = K.exchange_categories(table(spark, sf_dir, "part"), ["p_brand", "p_type"], SEED)
+    rows = K.exchange_categories(parts(spark, sf_dir), ["p_brand", "p_type"], SEED)
     template = S.feature_template(PART, "list", PART_FORMATS)
     return S.serialize(rows, template).select("p_partkey", "note")
 
@@ -149,7 +155,7 @@ def _bins_sql(column: str) -> str:
 )
 def serialize_shuffled_numeric(spark, sf_dir):
     rows = K.exchange_numbers(
-        table(spark, sf_dir, "part"), "p_partkey", ["p_size", "p_retailprice"], SEED
+        parts(spark, sf_dir), "p_partkey", ["p_size", "p_retailprice"], SEED
     )
     template = S.feature_template(PART, "list", PART_FORMATS)
     return S.serialize(rows, template).select("p_partkey", "note")
@@ -239,6 +245,39 @@ def clean_text(spark, sf_dir):
     )
 
 
+def _shout(texts):
+    """A stand-in for a text model: marks around the upper-case request."""
+    return [f"<pad> {t.strip().upper()}</s>" for t in texts]
+
+
+def _echo(texts):
+    """A stand-in that answers with the value below the header."""
+    values = [t.split("<highlighted_cell> ")[2].split(" <col_header>")[0] for t in texts]
+    return [f"{t}> {v} </s>" for t, v in zip(texts, values)]
+
+
+@query(
+    "notes_from_chunks",
+    """SELECT p_partkey, upper('Write this information as a sentence: Name: ' || p_name || ', Brand: ' || p_brand || '. '
+        || 'Write this information as a sentence: Type: ' || p_type || ', Size: ' || p_size || '. '
+        || 'Write this information as a sentence: Retail price: ' || printf('%.2f', p_retailprice) || '.') AS note FROM part""",
+)
+def notes_from_chunks(spark, sf_dir):
+    """The way of a note through an outside model, here a stand-in."""
+    notes = part_notes(spark, sf_dir)
+    return M.notes_from_chunks(notes, "note", ["p_partkey"], lambda: _shout)
+
+
+@query(
+    "notes_from_pairs",
+    """SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size || ' '
+        || printf('%.2f', p_retailprice) AS note FROM part""",
+)
+def notes_from_pairs(spark, sf_dir):
+    notes = part_notes(spark, sf_dir)
+    return M.notes_from_pairs(notes, "note", ["p_partkey"], lambda: _echo)
+
+
 LINE = r"^- (.*):([^:]*)$"
 
 
@@ -354,7 +393,8 @@ def linearize_spans(spark, sf_dir):
         ),
     )
     # rows of a grid may differ in length; the array of rows needs one element type
-    return table(spark, sf_dir, "customer").select(
+    columns = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
+    return text_rows(spark, sf_dir, "customer", *columns).select(
         "c_custkey",
         G.linearize(
             grid, F.array(F.array(F.lit(1), F.lit(2))), F.lit("Customers"), F.col("c_mktsegment")

@@ -10,6 +10,7 @@ from rowscribe.operators import answers as A
 from rowscribe.operators import metrics as M
 from rowscribe.operators import sampling as K
 from rowscribe.operators import splits as J
+from rowscribe.operators import tasks as B
 from rowscribe.operators import prompts as D
 from rowscribe.operators.report import mean_std, result_grid, result_text
 from rowscribe.operators.serialize import feature_template
@@ -307,6 +308,32 @@ def short_names(spark, sf_dir):
     )
 
 
+_TASK_ROWS = """x AS (SELECT c_custkey, c_custkey % 2 + 1 AS answer, ['train', 'validation', 'test'][c_custkey % 3 + 1] AS split FROM customer)"""
+
+
+@query(
+    "task_rows",
+    f"""WITH {_TASK_ROWS} SELECT 'winogrande' AS task, c_custkey, (answer - 1)::INT AS label FROM x WHERE split = 'train'
+    UNION ALL SELECT 'storycloze', c_custkey, (answer - 1)::INT FROM x WHERE split = 'test'""",
+)
+def task_rows(spark, sf_dir):
+    """Rows of benchmark tasks by their rules: one-based labels, splits under other names."""
+    place = F.element_at(
+        F.array(F.lit("train"), F.lit("validation"), F.lit("test")),
+        (F.col("c_custkey") % 3 + 1).cast("int"),
+    )
+    answer = (F.col("c_custkey") % 2 + 1).cast("string")
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", place.alias("split"), answer.alias("answer"),
+        answer.alias("answer_right_ending"),
+    )
+    parts = {
+        "winogrande": B.read_task(rows, B.task_rule("winogrande_4", 4), "train"),
+        "storycloze": B.read_task(rows, B.task_rule("storycloze"), "validation"),
+    }
+    return K.union_tasks(parts).select("task", "c_custkey", "label")
+
+
 STREAM_QUESTION = "Is this part large? Yes or no?"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rowscribe.operators import notes as N
 from rowscribe.operators import timeline as T
 from rowscribe.phrasebook import RACES, VISIT_CONCEPTS, VISIT_PHRASES
-from rowscribe.plans.registry import query, sql_clean, table
+from rowscribe.plans.registry import query, sql_clean, table, text_rows
 from rowscribe.session import cut_lineage
 
 END = "2024-01-31"
@@ -35,7 +35,8 @@ def _text(*parts):
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn(
+    columns = ("event_id", "ts", "user_id", "event_type", "value", "props")
+    events = text_rows(spark, sf_dir, "events", *columns).withColumn(
         "k", F.get_json_object("props", "$.k").cast("int")
     )
     k, key = F.col("k"), T.visit_key(F.col("ts"))
@@ -83,7 +84,7 @@ class Timeline:
 
     def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False):
         self.keep = cut_lineage if stored else (lambda df, name: df)
-        self.parsed = T.parse_entries(entries(spark, sf_dir))
+        self.parsed = self.keep(T.parse_entries(entries(spark, sf_dir)), "parsed")
         self.visits = self.keep(T.visits_of(self.parsed), "visits")
         self.temporal = self.keep(T.unique_concepts(T.temporal_of(self.parsed)), "temporal")
         users = table(spark, sf_dir, "events").select(F.col("user_id").alias("person_id")).distinct()
@@ -316,7 +317,7 @@ def timeline_weights_visits(spark, sf_dir):
 
 @query("timeline_weights", f"WITH {_W} SELECT * FROM nc")
 def timeline_weights(spark, sf_dir):
-    return Timeline(spark, sf_dir).weighted_concepts()
+    return Timeline(spark, sf_dir, stored=True).weighted_concepts()
 
 
 @query(

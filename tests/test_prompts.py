@@ -71,3 +71,38 @@ def test_answers(spark):
     assert df.select(A.token_probabilities(F.col("m"), (" Yes", " x"))).first()[0] == [1.0, 0.0]
     got = df.limit(1).select(A.probability_list(F.lit("1, 3")), A.probability_list(F.lit("0, 0"))).first()
     assert got[0] == [0.25, 0.75] and got[1] == [None, None]
+
+
+def test_task_rules(spark):
+    from rowscribe.operators import tasks as B
+
+    assert B.task_rule("copa").first_templates == 8
+    assert B.task_rule("rte_16", 16) is B.task_rule("rte") and B.task_rule("car_list", 4) is None
+    rows = [(1, 1, "test_r2"), (2, 2, "train_r2"), (3, 0, "test_r1")]
+    df = spark.createDataFrame(rows, "uid int, label int, split string")
+    got = B.read_task(df, B.task_rule("anli-r2"), "validation", "uid").collect()
+    assert [(r["idx"], r["label"]) for r in got] == [(1, 1)]
+    raft = spark.createDataFrame([("2", "test", 9)], "Label string, split string, ID int")
+    assert B.read_task(raft, B.task_rule("overruling"), "validation", "ID").first()["label"] == 1
+    assert len(B.TASK_RULES) == 22
+
+
+def test_model_is_loaded_once_per_task(spark):
+    from rowscribe.operators.generate import model_column
+
+    def load():
+        calls = []
+
+        def count(texts):
+            calls.append(1)
+            return [len(t.split()) + 100 * (len(calls) > 1) for t in texts]
+
+        return count
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        df = spark.createDataFrame([("a b",)] * 6, "t string").coalesce(1)
+        got = sorted(r[0] for r in df.select(model_column(load, "int")(F.col("t"))).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == 2 and set(got) <= {2, 102}
