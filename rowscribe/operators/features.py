@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowscribe.operators.ranking import number_by_order
+from rowscribe.session import lookup
 
 RESERVED = ("idx", "label")
 
@@ -86,10 +87,17 @@ def one_hot_long(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 def drop_constant_features(long: DataFrame, rows: Column) -> DataFrame:
-    """Of the sparse form, keep the features that are not present in every row."""
-    counts = long.groupBy("feature").agg(F.count(F.lit(1)).alias("_c")).withColumn("_n", rows)
-    varying = counts.where(F.col("_c") < F.col("_n")).select("feature")
-    return long.join(varying, "feature", "left_semi")
+    """Of the sparse form, keep the features that are not present in every row.
+
+    A column has at most one feature that every row has, so the list of those to drop is
+    no longer than the list of columns and is compared in place, without a join.
+    """
+    counts = long.groupBy("feature").agg(F.count(F.lit(1)).alias("_c"))
+    constant = counts.withColumn("_n", rows).where(F.col("_c") == F.col("_n"))
+    names = constant.agg(F.collect_list("feature").alias("names")).scalar()
+    return long.withColumn("_drop", names).where(
+        ~F.array_contains("_drop", F.col("feature"))
+    ).drop("_drop")
 
 
 def category_vocabulary(
@@ -153,7 +161,7 @@ def apply_ordinal(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> Da
         table = codes.where(F.col("column") == column).select(
             F.col("value").alias("_value"), F.col("code").alias("_code")
         )
-        df = df.join(table, F.col(column).cast("string") == F.col("_value"), "left").select(
+        df = df.join(lookup(table), F.col(column).cast("string") == F.col("_value"), "left").select(
             *[
                 F.coalesce("_code", F.lit(-1)).cast("double").alias(c) if c == column else F.col(c)
                 for c in df.columns

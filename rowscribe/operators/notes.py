@@ -264,17 +264,12 @@ def important_concept_notes(
     )
     if permuted is not None:
         primary = _exchange(primary, permuted[0], "_primary")
-        entities = _exchange(
-            entities.where("kind <> 'p'"), permuted[0], "concept_id"
-        ).unionByName(_exchange(entities.where("kind = 'p'"), permuted[1], "concept_id"))
+        entities = _exchange(entities, permuted[0], "concept_id", F.col("kind") != "p")
+        entities = _exchange(entities, permuted[1], "concept_id", F.col("kind") == "p")
     worded = entities.join(values.withColumnRenamed("value", "_text"), "concept_id", "left")
-    named_primary = primary.join(
-        values.select(F.col("concept_id").alias("_primary"), F.col("value").alias("condition1")),
-        "_primary",
-    ).select(*VISIT_KEY, "condition1")
 
     if num_concepts > UNCHECKED_CONCEPTS:
-        worded = _budgeted(worded, visits, named_primary, summary, max_tokens, tokens, as_list)
+        worded = _budgeted(worded, visits, primary, values, summary, max_tokens, tokens, as_list)
 
     texts = lambda kind: F.transform(
         F.sort_array(
@@ -287,8 +282,7 @@ def important_concept_notes(
     joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, glue))
     performed = F.when(F.size("_p") > 1, " were performed.").otherwise(" was performed.")
     facts = (
-        chosen.join(visits, list(VISIT_KEY))
-        .join(named_primary, list(VISIT_KEY), "left")
+        _with_primary(chosen.join(visits, list(VISIT_KEY)), primary, values)
         .join(summary.select("person_id", "gender"), "person_id")
         .withColumn("conditions", joined(F.col("_c")))
         .withColumn(
@@ -301,16 +295,23 @@ def important_concept_notes(
     return assemble_notes(summary, bodies)
 
 
-def _budgeted(worded, visits, named_primary, summary, max_tokens, tokens, as_list):
+def _with_primary(rows: DataFrame, primary: DataFrame, values: DataFrame) -> DataFrame:
+    """Add the phrase of each visit's primary condition. Phrases are looked up for the
+    chosen visits only."""
+    named = values.select(F.col("concept_id").alias("_primary"), F.col("value").alias("condition1"))
+    return (
+        rows.join(primary, list(VISIT_KEY), "left").join(named, "_primary", "left").drop("_primary")
+    )
+
+
+def _budgeted(worded, visits, primary, values, summary, max_tokens, tokens, as_list):
     first = Window.partitionBy(*VISIT_KEY).orderBy("rank")
     marked = worded.withColumn("_opens", F.row_number().over(first) == 1)
-    opened = (
-        marked.join(visits.drop("weight", "abs_weight"), list(VISIT_KEY), "left")
-        .join(named_primary, list(VISIT_KEY), "left")
-        .join(summary.select("person_id", "summary"), "person_id")
+    dated = marked.join(visits.drop("weight", "abs_weight"), list(VISIT_KEY), "left")
+    opened = _with_primary(dated, primary, values).join(
+        summary.select("person_id", "gender", "summary"), "person_id"
     )
-    bare = (VISIT_LIST if as_list else VISIT).render(opened)
-    opened = clean_notes(opened, bare, "_bare")
+    opened = clean_notes(opened, (VISIT_LIST if as_list else VISIT).render(opened), "_bare")
     cost = F.coalesce(tokens(F.col("_text")), F.lit(0)) + F.when(
         F.col("_opens"), tokens(F.col("_bare"))
     ).otherwise(F.lit(0))
@@ -319,9 +320,13 @@ def _budgeted(worded, visits, named_primary, summary, max_tokens, tokens, as_lis
     ).select(*worded.columns)
 
 
-def _exchange(df: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
-    new = pairs.select(F.col("id").alias(column), F.col("new_id").alias("_new"))
-    return df.join(new, column, "left").select(
+def _exchange(
+    df: DataFrame, pairs: DataFrame, column: str, where: Column | None = None
+) -> DataFrame:
+    """Replace ids by (id, new_id) pairs, in the rows of ``where``; others stay."""
+    new = pairs.select(F.col("id").alias("_id"), F.col("new_id").alias("_new"))
+    same = F.col(column) == F.col("_id")
+    return df.join(new, same if where is None else same & where, "left").select(
         *[F.coalesce("_new", column).alias(c) if c == column else F.col(c) for c in df.columns]
     )
 

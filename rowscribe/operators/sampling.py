@@ -16,6 +16,7 @@ from rowscribe.operators.ranking import (
     number_by_order,
     sampled_range,
 )
+from rowscribe.session import is_small, lookup
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -83,15 +84,16 @@ def few_shot_sample(
             pick(F.col("_n"), F.col("_seed"), F.col("_shots"), "draw", F.col("_label"), F.col("_j")),
         )
     )
+    # As many rows as draws were asked for, so both sides below may be broadcast.
     located = _locate(draws, ranges, [*group, "_label"])
     wanted = located.select(*group, "_label", "_range").distinct()
     within = Window.partitionBy(*group, "_label", "_range").orderBy("_h", "_key")
     keyed = [*group, "_label", "_range"]
     candidates = (
-        rows.join(wanted, keyed, "left_semi")
+        rows.join(F.broadcast(wanted), keyed, "left_semi")
         .withColumn("_nth", F.row_number().over(within).cast("bigint") - 1)
     )
-    drawn = located.join(candidates, [*keyed, "_nth"])
+    drawn = candidates.join(F.broadcast(located), [*keyed, "_nth"])
     place = Window.partitionBy("_seed", "_shots").orderBy("_order", "_label", "_j")
     return (
         drawn.withColumn(
@@ -157,8 +159,9 @@ def exchange_categories(df: DataFrame, columns: Sequence[str], seed: int) -> Dat
     a column with one value stays as it is."""
     source = df
     for column in columns:
+        pairs = lookup(exchange_map(source, column, seed), source.select(column).distinct())
         df = df.join(
-            exchange_map(source, column, seed), df[column].eqNullSafe(F.col("_old")), "left"
+            pairs, df[column].eqNullSafe(F.col("_old")), "left"
         ).select(
             *[F.col("_new").alias(c) if c == column else F.col(c) for c in df.columns]
         )
@@ -273,7 +276,7 @@ def _exchange_number(
 
 def permute_ids(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     """Replace ids by (id, new_id) pairs; ids without a pair stay."""
-    pairs = mapping.select(F.col("id").alias(column), F.col("new_id").alias("_new"))
+    pairs = lookup(mapping.select(F.col("id").alias(column), F.col("new_id").alias("_new")))
     return df.join(pairs, column, "left").select(
         *[F.coalesce("_new", column).alias(column) if c == column else F.col(c) for c in df.columns]
     )
@@ -299,8 +302,10 @@ def cap_rows(df: DataFrame, caps: DataFrame, group: str, key: str, cap: str = "c
     """
     range_ = sampled_range(df, [F.col(key)])
     limits = caps.select(group, cap)
-    last = nth_key(df, [key], range_, F.least(cap, "n"), [group], limits)
-    kept = df.join(last.join(limits, group), group)
+    few = is_small(limits)
+    last = nth_key(df, [key], range_, F.least(cap, "n"), [group], limits, few)
+    edges = last.join(limits, group)
+    kept = df.join(F.broadcast(edges) if few else edges, group)
     return kept.where(at_most([key], F.col("_edge"))).drop("_edge")
 
 

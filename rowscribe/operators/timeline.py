@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rowscribe import phrasebook as P
 from rowscribe.operators.report import first_per_key
+from rowscribe.session import lookup
 
 VISIT_KEY = ("person_id", "visit_id")
 
@@ -191,7 +192,8 @@ def weigh_concepts(
     keys = ["concept_id", "person_id"] if "person_id" in weights.columns else ["concept_id"]
     end = F.lit(end_date).cast("date")
     dated = temporal.join(visits.select(*VISIT_KEY, "start"), list(VISIT_KEY), "left")
-    weighed = dated.join(_interval_sums(weights, keys), keys, "left")
+    size = weights.select(*keys).distinct()
+    weighed = dated.join(lookup(_interval_sums(weights, keys), size), keys, "left")
     return weighed.select(
         *VISIT_KEY,
         "concept_id",

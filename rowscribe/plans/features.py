@@ -38,19 +38,24 @@ def one_hot(spark, sf_dir):
     )
 
 
+_CUSTOMER_SPLIT = f"""CASE WHEN row_number() OVER (ORDER BY {sql_hash(42, "'split'", 'c_custkey')}, c_custkey)
+    <= count(*) OVER () - ceil(0.2 * count(*) OVER ())::BIGINT THEN 'train' ELSE 'validation' END"""
+
+
 @query(
     "one_hot_aligned",
     f"""SELECT c_custkey, c_acctbal, {', '.join(f"coalesce(({_MISSING_SEGMENT}) = '{s}', false)::INT::DOUBLE AS segment_{s}" for s in SEGMENTS)},
-        (c_custkey % 5 = 0)::INT::DOUBLE AS segment_nan FROM customer WHERE c_custkey % 10 = 9""",
+        (c_custkey % 5 = 0)::INT::DOUBLE AS segment_nan, {_CUSTOMER_SPLIT} AS part FROM customer""",
 )
 def one_hot_aligned(spark, sf_dir):
-    """Holdout rows encoded with the categories of the training rows."""
+    """Training and holdout rows, both with the columns of the training rows."""
     rows = _customers(spark, sf_dir).drop("c_nationkey")
-    train, holdout = rows.where("c_custkey % 10 <> 9"), rows.where("c_custkey % 10 = 9")
+    split = J.split_seeded(rows, "c_custkey", 42, out="part")
+    train, holdout = split.where("part = 'train'"), split.where("part <> 'train'")
     vocabulary = L.category_vocabulary(train, ["segment"])
-    columns = L.one_hot(train, vocabulary).columns
+    encoded = L.one_hot(train, vocabulary)
     own = L.one_hot(holdout, L.category_vocabulary(holdout, ["segment"]))
-    return L.align_columns(own, columns)
+    return encoded.unionByName(L.align_columns(own, encoded.columns))
 
 
 _SPLIT = f"row_number() OVER (ORDER BY {sql_hash(42, chr(39) + 'split' + chr(39), 'p_partkey')}, p_partkey)"
@@ -58,17 +63,18 @@ _SPLIT = f"row_number() OVER (ORDER BY {sql_hash(42, chr(39) + 'split' + chr(39)
 
 @query(
     "ordinal",
-    """WITH t AS (SELECT DISTINCT p_name FROM part WHERE p_partkey % 97 = 0),
-    c AS (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS code FROM t),
-    u AS (SELECT DISTINCT p_brand FROM part WHERE p_partkey % 97 = 0),
-    b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS code FROM u)
+    f"""WITH r AS (SELECT p_partkey, p_name, p_brand, {_SPLIT} AS rn, count(*) OVER () AS n FROM part),
+    t AS (SELECT * FROM r WHERE rn <= n - ceil(0.98 * n - 1e-9)::BIGINT),
+    c AS (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS code FROM (SELECT DISTINCT p_name FROM t)),
+    b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS code FROM (SELECT DISTINCT p_brand FROM t))
     SELECT p_partkey, coalesce(c.code, -1)::DOUBLE AS p_name, coalesce(b.code, -1)::DOUBLE AS p_brand
     FROM part LEFT JOIN c ON c.p_name = part.p_name LEFT JOIN b ON b.p_brand = part.p_brand""",
 )
 def ordinal(spark, sf_dir):
-    """Codes learned on a part of the table; names unseen there are -1."""
+    """Codes learned on a small training split; values unseen there are -1."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    codes = L.fit_ordinal(part.where("p_partkey % 97 = 0"), ["p_name", "p_brand"])
+    split = J.split_seeded(part, "p_partkey", 42, share=0.98)
+    codes = L.fit_ordinal(split.where("split = 'train'"), ["p_name", "p_brand"])
     return L.apply_ordinal(part, codes, ["p_name", "p_brand"])
 
 

@@ -200,13 +200,12 @@ def mixture_union(spark, sf_dir):
 
 @query(
     "permute_ids",
-    """SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN o_custkey ELSE 100000 + o_custkey END AS o_custkey
-    FROM orders""",
+    """SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN 100000 + o_custkey ELSE o_custkey END AS o_custkey
+    FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
 )
 def permute_ids(spark, sf_dir):
-    pairs = (
-        table(spark, sf_dir, "customer")
-        .where("c_custkey % 3 <> 0")
-        .selectExpr("c_custkey AS id", "100000 + c_custkey AS new_id")
-    )
-    return K.permute_ids(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), pairs, "o_custkey")
+    """Ids exchanged by a table of pairs; customers in debt have no pair and stay."""
+    customers = table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    pairs = customers.selectExpr("c_custkey AS id", "100000 + c_custkey AS new_id")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return K.permute_ids(orders, pairs, "o_custkey")

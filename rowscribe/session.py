@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "rowscribe", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,6 +51,20 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+BROADCAST_ROWS = 200_000
+
+
+def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``most`` rows. Counts no further than that."""
+    return df.limit(most + 1).count() <= most
+
+
+def lookup(table: DataFrame, size_of: DataFrame | None = None) -> DataFrame:
+    """The small side of a join: broadcast after its rows were counted, left to a
+    shuffle where there are too many. ``size_of`` is a cheaper table of the same size."""
+    return F.broadcast(table) if is_small(size_of or table) else table
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan out to all cores where it has fewer splits than cores.
 
