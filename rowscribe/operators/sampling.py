@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowscribe.functions.hashing import cyclic_derangement, pick, seeded_hash
@@ -16,6 +16,7 @@ from rowscribe.operators.ranking import (
     number_by_order,
     sampled_range,
 )
+from rowscribe.phrasebook import MIXTURE_ROWS
 from rowscribe.session import is_small, lookup
 
 
@@ -282,7 +283,9 @@ def permute_ids(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     )
 
 
-def mixture_caps(catalogue: DataFrame, templates: str, train_size: str, total: int) -> DataFrame:
+def mixture_caps(
+    catalogue: DataFrame, templates: str, train_size: str, total: int = MIXTURE_ROWS
+) -> DataFrame:
     """Rows a task may contribute: its size, but no more than total / templates."""
     return catalogue.withColumn(
         "cap",

@@ -272,7 +272,8 @@ PROMPTS = {
     ),
 }
 WINE_QUESTION = "Is this wine of good quality?" + YES_NO
-TASK_READER_MIXTURE_CAP = 500_000
+# Rows one task may give to a mixture, over all its templates.
+MIXTURE_ROWS = 500_000
 DENIED_TASKS = (
     "hotpot_qa_distractor_Generate_Explanations",
     "hotpot_qa_fullwiki_Generate_Explanations",

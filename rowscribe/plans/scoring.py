@@ -297,12 +297,12 @@ def best_step(spark, sf_dir):
 
 @query(
     "experiment_keys",
-    """SELECT o_orderkey, 't03b' AS model, 'car_' || lower(o_orderstatus) AS dataset,
+    """SELECT o_orderkey, 'm3b' AS model, 'car_' || lower(o_orderstatus) AS dataset,
         (o_custkey % 512)::VARCHAR AS num_shot, (o_custkey % 7)::VARCHAR AS seed, 'ia3_x' AS spec FROM orders""",
 )
 def experiment_keys(spark, sf_dir):
     path = F.concat(
-        F.lit("/exp/t03b_car_"), F.lower("o_orderstatus"), F.lit("_numshot"),
+        F.lit("/exp/m3b_car_"), F.lower("o_orderstatus"), F.lit("_numshot"),
         (F.col("o_custkey") % 512).cast("string"), F.lit("_seed"),
         (F.col("o_custkey") % 7).cast("string"), F.lit("_ia3_x/dev_scores.json"),
     )

@@ -188,7 +188,7 @@ def stored_outputs(spark, sf_dir):
     )
 
 
-_RUNS = """r AS (SELECT 't03b' AS model, lower(o_orderstatus) || '_list' AS dataset, substr(o_orderpriority, 1, 1) AS num_shot,
+_RUNS = """r AS (SELECT 'm3b' AS model, lower(o_orderstatus) || '_list' AS dataset, substr(o_orderpriority, 1, 1) AS num_shot,
         (o_custkey % 5)::VARCHAR AS seed, year(o_orderdate) * 12 + month(o_orderdate) AS num_steps,
         round(avg(o_totalprice) / 1000000, 6) AS "AUC" FROM orders GROUP BY ALL),
     l AS (SELECT model, dataset, num_shot, seed, max(num_steps) AS num_steps, arg_max("AUC", num_steps) AS "AUC"
@@ -200,7 +200,7 @@ def score_folders(spark, sf_dir) -> str:
     folder. Steps are months, so a folder has as many lines as there are months."""
     orders = table(spark, sf_dir, "orders")
     folder = F.concat(
-        F.lit("t03b_"), F.lower("o_orderstatus"), F.lit("_list_numshot"),
+        F.lit("m3b_"), F.lower("o_orderstatus"), F.lit("_list_numshot"),
         F.substring("o_orderpriority", 1, 1), F.lit("_seed"),
         (F.col("o_custkey") % 5).cast("string"), F.lit("_ia3"),
     )

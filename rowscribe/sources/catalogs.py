@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowscribe.functions.text import short_name, task_name
+from rowscribe.operators.sampling import deny
+from rowscribe.phrasebook import DENIED_TASKS
 
 
 def read_dictionary(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
@@ -65,8 +67,8 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def training_tasks(tasks: DataFrame, templates: DataFrame, source: str) -> DataFrame:
-    """Templates of the tasks of one training source, with their task names.
-    ``templates`` has dataset, subset, template_name."""
+    """Templates of the tasks of one training source, with their task names; tasks on the
+    deny list are left out. ``templates`` has dataset, subset, template_name."""
     chosen = tasks.where(F.col("do_train") == source).withColumnRenamed("HF_name", "dataset")
     counted = templates.groupBy("dataset", "subset").agg(F.count(F.lit(1)).alias("n_templates"))
     same = lambda a, b: (a["dataset"] == b["dataset"]) & a["subset"].eqNullSafe(b["subset"])
@@ -75,11 +77,12 @@ def training_tasks(tasks: DataFrame, templates: DataFrame, source: str) -> DataF
     )
     sized = joined.select("t.*", "c.train_size")
     n = counted.withColumnsRenamed({"dataset": "_d", "subset": "_s"})
-    return (
+    named = (
         sized.join(n, (F.col("dataset") == F.col("_d")) & F.col("subset").eqNullSafe(F.col("_s")))
         .drop("_d", "_s")
         .withColumn("task", task_name(F.col("dataset"), F.col("subset"), F.col("template_name")))
     )
+    return deny(named, "task", DENIED_TASKS)
 
 
 def read_field_settings(spark: SparkSession, path: str) -> DataFrame:

@@ -70,6 +70,11 @@ def write_features(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_probabilities(df: DataFrame, path: str, key: str, probabilities: str) -> None:
+    """The class probabilities of every example, by key."""
+    df.select(key, F.col(probabilities).alias("probabilities")).write.parquet(path)
+
+
 def write_predictions(
     df: DataFrame, path: str, key: str, prediction: str, choices: Sequence[str]
 ) -> None:

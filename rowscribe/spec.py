@@ -508,8 +508,6 @@ _SPECS = [
 
 REGISTRY: dict[str, DatasetSpec] = {spec.name: spec for spec in _SPECS}
 
-VARIANTS = ("text", "list", "list_values", "list_permuted", "list_shuffled", "list_importance")
-
 
 def dataset_spec(name: str) -> DatasetSpec:
     """The dataset of that name; a task name with a suffix falls back to its first part."""

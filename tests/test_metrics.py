@@ -116,7 +116,7 @@ def test_best_step_is_the_earliest(spark):
 
 
 def test_experiment_key(spark):
-    paths = ["/x/t03b_car_list_numshot4_seed42_ia3_pretrained100k/dev_scores.json", "/x/exp=t011b_heart_numshotall_seed1/f"]
+    paths = ["/x/m3b_car_list_numshot4_seed42_ia3_pretrained100k/dev_scores.json", "/x/exp=m11b_heart_numshotall_seed1/f"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     got = [tuple(r) for r in df.select(*[c.alias(n) for n, c in R.experiment_key(F.col("p")).items()]).collect()]
-    assert got == [("t03b", "car_list", "4", "42", "ia3_pretrained100k"), ("t011b", "heart", "all", "1", "")]
+    assert got == [("m3b", "car_list", "4", "42", "ia3_pretrained100k"), ("m11b", "heart", "all", "1", "")]

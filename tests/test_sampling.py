@@ -2,7 +2,6 @@ import math
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from rowscribe.operators import perturb as B
 from rowscribe.operators import sampling as K

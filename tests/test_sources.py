@@ -141,8 +141,8 @@ def test_scores_are_appended(spark, tmp_path):
     root = tmp_path / "exp"
     for i in range(3):
         record = spark.createDataFrame([(0.5 + i / 10, i)], "AUC double, num_steps long")
-        O.append_scores(record, str(root / "t03b_car_numshot4_seed42_ia3"))
-    long = root / "t03b_heart_numshot8_seed1_x"
+        O.append_scores(record, str(root / "m3b_car_numshot4_seed42_ia3"))
+    long = root / "m3b_heart_numshot8_seed1_x"
     long.mkdir()
     (long / "dev_scores.json").write_text("".join(f'{{"AUC": {i}, "num_steps": {i}}}\n' for i in range(5000)))
     last = O.last_records(spark, str(root / "*"), "AUC double, num_steps long")
@@ -201,3 +201,23 @@ def test_row_key_is_kept_where_there_is_one(spark):
 def test_binary_and_trim(spark):
     df = spark.createDataFrame([(bytearray(b"x "),)], T.StructType([T.StructField("b", T.BinaryType())]))
     assert S.trim_strings(S.decode_binary(df)).first()["b"] == "x"
+
+
+def test_denied_tasks_are_left_out(spark, tmp_path):
+    csv = "HF_name,subset,task_by_convention,do_train,do_eval,train_size\nhotpot_qa,distractor,qa,BASE,,100\ncopa,,qa,SGLUE,,\nqa,,qa,BASE,,7\n"
+    tasks = C.read_tasks(spark, write(tmp_path, "datasets.csv", csv))
+    assert {r["HF_name"]: (r["subset"], r["train_size"]) for r in tasks.collect()} == {"hotpot_qa": ("distractor", 100), "copa": (None, 0), "qa": (None, 7)}
+    rows = [("hotpot_qa", "distractor", "Generate Question"), ("hotpot_qa", "distractor", "Ask"), ("qa", None, "a"), ("copa", None, "b")]
+    templates = spark.createDataFrame(rows, "dataset string, subset string, template_name string")
+    got = {r["task"]: r["n_templates"] for r in C.training_tasks(tasks, templates, "BASE").collect()}
+    assert got == {"hotpot_qa_distractor_Ask": 2, "qa_a": 1}
+
+
+def test_probabilities_and_features_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, [0.25, 0.75])], "idx int, p array<double>")
+    O.write_probabilities(df, str(tmp_path / "p"), "idx", "p")
+    assert spark.read.parquet(str(tmp_path / "p")).first()["probabilities"] == [0.25, 0.75]
+    O.write_features(df, str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f")).columns == ["idx", "p"]
+    outputs = df.select(*[c.alias(n) for n, c in O.normalised_columns(F.col("p"), ["a", "b"]).items()])
+    assert tuple(outputs.first()) == (0.25, 0.75)
