@@ -40,8 +40,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 CUTS = re.compile(f" ?[{LATIN}]+(?![^\\W\\d_])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-MEMORY = 800_000  # cuts kept per worker
-RUN_BYTES = 8_000_000  # text worked on at a time
+MEMORY = 300_000  # cuts kept per worker
+RUN_BYTES = 4_000_000  # text worked on at a time
 
 
 class RankQueue:
