@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("mixing", "rank_queue_bpe", "rendezvous")
+MODULES = ("mixing", "language_crf", "rendezvous", "rank_queue_bpe", "html_text", "license_scan")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
