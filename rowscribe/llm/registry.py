@@ -11,7 +11,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("mixing", "language_crf", "rendezvous", "rank_queue_bpe", "pii_crf", "html_text", "license_scan")
+MODULES = (
+    "order_minhash", "cross_polytope", "va_file", "mixing", "language_crf", "rendezvous", "rank_queue_bpe",
+    "pii_crf", "html_text", "license_scan",
+)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
