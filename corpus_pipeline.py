@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates, the one with the smallest id. Rows
     that repeat an id are one document. Rows without an id stay as they are."""
     kept = near_texts(docs, "doc_id", "text").filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.union(docs.filter("doc_id is null"))
 
 

@@ -232,8 +232,10 @@ def near_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     classes = cut_lineage(classes, "omh-classes")
     pairs = cut_lineage(candidates(classes), "omh-candidates")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    words = cut_lineage(_numbered(docs.join(wanted, "id", "left_semi")), "omh-words")
-    side = lambda name: words.select(F.col("id").alias(name), F.col("words").alias(f"words_{name}"))
+    # Sort-merge joins at every size: texts meet ids that grow with the table, and a hot
+    # class is split among tasks.
+    words = cut_lineage(_numbered(docs.join(wanted.hint("merge"), "id", "left_semi")), "omh-words")
+    side = lambda name: words.select(F.col("id").alias(name), F.col("words").alias(f"words_{name}")).hint("merge")
     links = _verified(pairs.join(side("b"), "b").join(side("a"), "a"))
     groups = connected_components(links)
     named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
