@@ -208,7 +208,7 @@ def extract(pages: DataFrame, html: str, into: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([main_text(v) for v in batch.column(html).to_pylist()], pa.string())
+            texts = pa.array([main_text(v.as_py()) for v in batch.column(html)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), texts], [*kept, into])
 
     return pages.mapInArrow(run, schema)

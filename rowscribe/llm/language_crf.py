@@ -23,7 +23,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rowscribe.llm.batches import runs_of
 from rowscribe.llm.chain import Adam, pair_counts, posteriors, scaled, sum_rows
 from rowscribe.llm.registry import query, read
 
@@ -39,8 +39,8 @@ WORDS_EACH = 100
 LEXICON = 300  # words per language
 ROUNDS = 40
 PENALTY = 0.05
-MEMORY = 200_000  # words kept per worker
-RUN_CHARS = 2_000_000  # text worked on at a time
+MEMORY = 100_000  # words kept per task
+RUN_BYTES = 1_000_000  # text worked on at a time
 UNKNOWN = "und"
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -156,18 +156,6 @@ class Tagger:
         return out
 
 
-def runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``RUN_CHARS`` characters, to bound memory."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= RUN_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def training_rows(rows: DataFrame, text: str, lang: str) -> DataFrame:
     """``_lang``, ``_words``, ``_place`` of the bounded sample of labelled rows."""
     place = F.xxhash64(F.col(text), F.col(lang))
@@ -204,12 +192,7 @@ def fit(rows: DataFrame, text: str, lang: str) -> dict | None:
     return train([(r["_lang"], r["_words"]) for r in kept])
 
 
-@lru_cache(maxsize=2)
-def _tagger(broadcast) -> Tagger | None:
-    return Tagger(broadcast.value) if broadcast.value else None
-
-
-def label_documents(docs: DataFrame, text: str, model: dict | None, switches: bool = True) -> DataFrame:
+def label_documents(docs: DataFrame, text: str, model: dict | None) -> DataFrame:
     """Adds ``lang_pred``, ``score`` and the number of words whose label differs from the
     word before, ``n_switches``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
@@ -218,16 +201,12 @@ def label_documents(docs: DataFrame, text: str, model: dict | None, switches: bo
     schema = StructType(plain.schema.fields[:]).add("lang_pred", "string").add("score", "double").add("n_switches", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _tagger(sent)
+        tagger = Tagger(sent.value) if sent.value else None
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for start, stop in runs(texts):
-                if tagger is None:
-                    found = [(UNKNOWN, 0.0, None)] * (stop - start)
-                else:
-                    found = tagger.label(texts[start:stop])
+            for part in runs_of(batch, text, RUN_BYTES):
+                texts = part.column(text).to_pylist()
+                found = tagger.label(texts) if tagger else [(UNKNOWN, 0.0, None)] * len(texts)
                 turns = [0 if p is None else int(np.count_nonzero(np.diff(p.argmax(1)))) for _, _, p in found]
-                part = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(turns, pa.int64())],
                     schema.names,

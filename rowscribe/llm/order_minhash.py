@@ -46,7 +46,7 @@ SIMILAR = 0.8
 SKETCHES = 12
 TOGETHER = 2  # shingles per sketch
 SMALL = 24
-MEMORY = 300_000  # words kept per worker
+MEMORY = 150_000  # words kept per task
 
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -72,12 +72,9 @@ class _Words(dict):
         return number
 
 
-_numbers = _Words()
-
-
-def word_numbers(text: str | None) -> np.ndarray:
+def word_numbers(text: str | None, numbers: _Words) -> np.ndarray:
     words = WORD.findall(text.lower()) if text else []
-    return np.fromiter(map(_numbers.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -160,10 +157,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def _sketched(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Words()
         for batch in batches:
             same, found = [], []
             for text in batch.column("text"):
-                words = word_numbers(text.as_py())
+                words = word_numbers(text.as_py(), numbers)
                 same.append(hashlib.md5(words.tobytes()).hexdigest() if len(words) else None)
                 found.append(sketch(words) if len(words) else None)
             yield pa.RecordBatch.from_arrays(
@@ -216,8 +214,9 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 def _numbered(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Words()
         for batch in batches:
-            words = [word_numbers(t.as_py()).tobytes() for t in batch.column("text")]
+            words = [word_numbers(t.as_py(), numbers).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words, pa.binary())], ["id", "words"])
 
     return docs.mapInArrow(run, "id bigint, words binary")

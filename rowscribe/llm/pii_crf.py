@@ -27,7 +27,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rowscribe.llm.batches import runs_of
 from rowscribe.llm.chain import Adam, pair_counts, posteriors, scaled, sum_rows
 from rowscribe.llm.registry import query, read
 
@@ -44,7 +44,7 @@ ROUNDS = 60
 PENALTY = 0.05
 SWEEPS = 20
 SETTLED = 1e-4
-RUN_CHARS = 4_000_000  # text worked on at a time
+RUN_BYTES = 2_000_000  # text worked on at a time
 
 # The base patterns, in the order of their kinds.
 KINDS = ("email", "ip", "card", "phone")
@@ -320,17 +320,6 @@ class Finder:
         return [tuple(s) for s in out]
 
 
-def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= RUN_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def fit(docs: DataFrame, text: str) -> dict | None:
     """A field from a bounded sample of the texts that hold a mark."""
     marked = docs.filter(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("_text"), F.xxhash64(text).alias("_place"))
@@ -355,11 +344,6 @@ def fit(docs: DataFrame, text: str) -> dict | None:
     return train([(r["_features"], r["_index"], r["_edges"], r["_labels"]) for r in sample[:SAMPLE]])
 
 
-@lru_cache(maxsize=2)
-def _finder(sent) -> Finder:
-    return Finder(sent.value)
-
-
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
 
@@ -374,12 +358,11 @@ def find_spans(docs: DataFrame, text: str, model: dict | None, into: str = "span
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(sent)
+        finder = Finder(sent.value)
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for start, stop in _runs(texts):
-                found = [[dict(zip(("kind", "start", "end", "base"), s)) for s in spans] for spans in finder.find(texts[start:stop])]
-                part = batch.slice(start, stop - start)
+            for part in runs_of(batch, text, RUN_BYTES):
+                spans = finder.find(part.column(text).to_pylist())
+                found = [[dict(zip(("kind", "start", "end", "base"), s)) for s in of] for of in spans]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(SPAN))], [*names, into])
 
     return plain.mapInArrow(run, schema)
@@ -392,12 +375,11 @@ def redact(docs: DataFrame, text: str, model: dict | None) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(sent)
+        finder = Finder(sent.value)
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for start, stop in _runs(texts):
-                part = batch.slice(start, stop - start)
-                made = [_replace(t, s) for t, s in zip(texts[start:stop], finder.find(texts[start:stop]))]
+            for part in runs_of(batch, text, RUN_BYTES):
+                texts = part.column(text).to_pylist()
+                made = [_replace(t, s) for t, s in zip(texts, finder.find(texts))]
                 columns = [pa.array(made, pa.string()) if n == text else part.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, names)
 

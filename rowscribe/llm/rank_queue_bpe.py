@@ -8,7 +8,7 @@ stale when its part is gone or pairs to another rank by now, and is skipped. A
 pre-token of n bytes costs O(n log n), which also holds for one of millions of bytes.
 
 Text is first cut at places where matches of the pattern are known to end, and each cut
-is split by the pattern and encoded once per worker: a bounded memory of cuts keeps the
+is split by the pattern and encoded once per task: a bounded memory of cuts keeps the
 ids of those seen. The memory only saves time; it is emptied when full.
 
 Defined cases: a null text encodes as an empty text, to no ids; ids travel as packed
@@ -22,7 +22,6 @@ import base64
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
+from rowscribe.llm.batches import runs_of
 from rowscribe.llm.registry import query, read
 
 # White space as Unicode defines it, where no match of the pattern spans,
@@ -40,8 +40,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 CUTS = re.compile(f" ?[{LATIN}]+(?![^\\W\\d_])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-MEMORY = 300_000  # cuts kept per worker
-RUN_BYTES = 4_000_000  # text worked on at a time
+MEMORY = 300_000  # cuts kept per task
+RUN_BYTES = 3_000_000  # text worked on at a time
 
 
 class RankQueue:
@@ -248,11 +248,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
-def _encoder(packed: bytes, pattern: str) -> Encoder:
-    return Encoder({base64.b64decode(t): i for t, i in _lines(packed)}, pattern)
-
-
 def _lines(packed: bytes) -> Iterator[tuple[bytes, int]]:
     for line in packed.splitlines():
         token, rank = line.split()
@@ -267,14 +262,6 @@ def _with_binary(df: DataFrame, name: str) -> StructType:
     return StructType([f for f in df.schema.fields if f.name != name]).add(name, BinaryType())
 
 
-def pieces_of(batch: pa.RecordBatch, source: str) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about ``RUN_BYTES`` of the column, to bound memory."""
-    rows = batch.num_rows
-    step = max(1, min(rows, rows * RUN_BYTES // max(1, batch.column(source).nbytes)))
-    for at in range(0, rows, step):
-        yield batch.slice(at, step)
-
-
 def _add_binary(df: DataFrame, source: str, name: str, start) -> DataFrame:
     """``df`` with a binary column made from ``source``; ``start()`` gives, once per
     task, the function from values to made values."""
@@ -284,7 +271,7 @@ def _add_binary(df: DataFrame, source: str, name: str, start) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = start()
         for batch in batches:
-            for part in pieces_of(batch, source):
+            for part in runs_of(batch, source, RUN_BYTES):
                 columns = [part.column(c) for c in kept]
                 made = pa.array(convert(part.column(source).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([*columns, made], [*kept, name])
@@ -296,7 +283,11 @@ def encode(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, into
     """Adds the packed ids of ``text``. The ranks are sent to the executors: their size
     is that of the vocabulary, whatever the table."""
     packed = df.sparkSession.sparkContext.broadcast(_pack(ranks))
-    return _add_binary(df, text, into, lambda: _encoder(packed.value, pattern).encode_all)
+
+    def start():
+        return Encoder({base64.b64decode(t): i for t, i in _lines(packed.value)}, pattern).encode_all
+
+    return _add_binary(df, text, into, start)
 
 
 def decode(df: DataFrame, ids: str, ranks: dict[bytes, int], into: str = "decoded") -> DataFrame:
