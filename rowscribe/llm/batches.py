@@ -8,6 +8,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+ROWS = 1000  # of texts in an Arrow batch; the session's default of 10,000 is for short rows
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends texts to Python in batches of at most ``ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
+    return df
 
 
 def runs_of(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:

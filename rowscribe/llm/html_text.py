@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from rowscribe.llm.batches import in_small_batches
 from rowscribe.llm.registry import query, read
 
 # Names of elements, and words in class, id and role that mark clutter.
@@ -211,7 +212,7 @@ def extract(pages: DataFrame, html: str, into: str = "text") -> DataFrame:
             texts = pa.array([main_text(v.as_py()) for v in batch.column(html)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), texts], [*kept, into])
 
-    return pages.mapInArrow(run, schema)
+    return in_small_batches(pages).mapInArrow(run, schema)
 
 
 @query("op9_html_text")

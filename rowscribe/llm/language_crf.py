@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rowscribe.llm.batches import runs_of
+from rowscribe.llm.batches import in_small_batches, runs_of
 from rowscribe.llm.chain import Adam, pair_counts, posteriors, scaled, sum_rows
 from rowscribe.llm.registry import query, read
 
@@ -177,7 +177,7 @@ def training_rows(rows: DataFrame, text: str, lang: str) -> DataFrame:
                 [batch.column("_lang"), pa.array(words, pa.list_(pa.string())), batch.column("_place")], ["_lang", "_words", "_place"]
             )
 
-    cut = drawn.select("_lang", "_text", "_place").mapInArrow(stretch, "_lang string, _words array<string>, _place bigint")
+    cut = in_small_batches(drawn).select("_lang", "_text", "_place").mapInArrow(stretch, "_lang string, _words array<string>, _place bigint")
     return cut.filter(F.size("_words") > 0)
 
 
@@ -212,7 +212,7 @@ def label_documents(docs: DataFrame, text: str, model: dict | None) -> DataFrame
                     schema.names,
                 )
 
-    return plain.mapInArrow(run, schema)
+    return in_small_batches(plain).mapInArrow(run, schema)
 
 
 def held_out(key: Column) -> Column:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rowscribe.llm.batches import in_small_batches
 from rowscribe.llm.registry import query, read
 
 COVERAGE = 0.8
@@ -199,7 +200,7 @@ def scan_licenses(docs: DataFrame, text: str, templates: dict[str, str], into: s
             found = [[dict(zip(("license", "coverage", "start", "end"), h)) for h in scan(t.as_py())] for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, kind)], [*kept, into])
 
-    return docs.mapInArrow(run, full)
+    return in_small_batches(docs).mapInArrow(run, full)
 
 
 @query("op10_license_scan")

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowscribe.llm.batches import in_small_batches
 from rowscribe.llm.components import connected_components
 from rowscribe.llm.registry import query, read
 from rowscribe.session import cut_lineage
@@ -168,7 +169,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 [batch.column("id"), pa.array(same, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["id", "same", "sketches"]
             )
 
-    return docs.mapInArrow(run, "id bigint, same string, sketches array<bigint>")
+    return in_small_batches(docs).mapInArrow(run, "id bigint, same string, sketches array<bigint>")
 
 
 def _all_pairs(buckets: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 kept.append(similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= SIMILAR - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
+    return in_small_batches(pairs).select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -219,7 +220,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
             words = [word_numbers(t.as_py(), numbers).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words, pa.binary())], ["id", "words"])
 
-    return docs.mapInArrow(run, "id bigint, words binary")
+    return in_small_batches(docs).mapInArrow(run, "id bigint, words binary")
 
 
 def near_texts(docs: DataFrame, key: str, text: str) -> DataFrame:

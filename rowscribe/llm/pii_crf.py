@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rowscribe.llm.batches import runs_of
+from rowscribe.llm.batches import in_small_batches, runs_of
 from rowscribe.llm.chain import Adam, pair_counts, posteriors, scaled, sum_rows
 from rowscribe.llm.registry import query, read
 
@@ -339,7 +339,7 @@ def fit(docs: DataFrame, text: str) -> dict | None:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
 
     schema = "_place bigint, _features array<array<string>>, _index array<bigint>, _edges array<array<bigint>>, _labels array<bigint>"
-    sample = drawn.mapInArrow(nodes, schema).limit(4 * SAMPLE).collect()
+    sample = in_small_batches(drawn).mapInArrow(nodes, schema).limit(4 * SAMPLE).collect()
     sample.sort(key=lambda r: (r["_place"] & ((1 << 40) - 1), r["_features"]))
     return train([(r["_features"], r["_index"], r["_edges"], r["_labels"]) for r in sample[:SAMPLE]])
 
@@ -365,7 +365,7 @@ def find_spans(docs: DataFrame, text: str, model: dict | None, into: str = "span
                 found = [[dict(zip(("kind", "start", "end", "base"), s)) for s in of] for of in spans]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(SPAN))], [*names, into])
 
-    return plain.mapInArrow(run, schema)
+    return in_small_batches(plain).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, text: str, model: dict | None) -> DataFrame:
@@ -383,7 +383,7 @@ def redact(docs: DataFrame, text: str, model: dict | None) -> DataFrame:
                 columns = [pa.array(made, pa.string()) if n == text else part.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def _replace(text: str | None, spans: list[tuple[str, int, int, bool]]) -> str | None:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from rowscribe.llm.batches import runs_of
+from rowscribe.llm.batches import in_small_batches, runs_of
 from rowscribe.llm.registry import query, read
 
 # White space as Unicode defines it, where no match of the pattern spans,
@@ -41,7 +41,7 @@ LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 CUTS = re.compile(f" ?[{LATIN}]+(?![^\\W\\d_])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 MEMORY = 300_000  # cuts kept per task
-RUN_BYTES = 3_000_000  # text worked on at a time
+RUN_BYTES = 4_000_000  # text worked on at a time
 
 
 class RankQueue:
@@ -99,20 +99,13 @@ class Encoder:
     pre-token is merged alone, position by position.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pairs: tuple[np.ndarray, np.ndarray], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.cuts: dict[str, bytes] = {}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                left, right = ranks.get(token[:i]), ranks.get(token[i:])
-                if left is not None and right is not None:
-                    pairs[left << 32 | right] = rank
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self.pair_keys, self.pair_ranks = pairs
 
     def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of ids, -1 where they do not merge."""
@@ -248,69 +241,102 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _lines(packed: bytes) -> Iterator[tuple[bytes, int]]:
-    for line in packed.splitlines():
-        token, rank = line.split()
-        yield token, int(rank)
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ids that merge, packed and sorted, and the rank of each."""
+    pairs = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            left, right = ranks.get(token[:i]), ranks.get(token[i:])
+            if left is not None and right is not None:
+                pairs[left << 32 | right] = rank
+    keys = np.array(sorted(pairs), np.int64)
+    return keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
 
 
-def _pack(ranks: dict[bytes, int]) -> bytes:
-    return b"\n".join(base64.b64encode(t) + b" %d" % i for t, i in ranks.items())
+class Decoder:
+    """Bytes of packed ids."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        self.token_of = {i: t for t, i in ranks.items()}
 
-def _with_binary(df: DataFrame, name: str) -> StructType:
-    return StructType([f for f in df.schema.fields if f.name != name]).add(name, BinaryType())
+    def decode_all(self, packed: list[bytes | None]) -> list[bytes]:
+        token_of = self.token_of.__getitem__
+        return [b"".join(map(token_of, np.frombuffer(v or b"", "<u4").tolist())) for v in packed]
 
 
-def _add_binary(df: DataFrame, source: str, name: str, start) -> DataFrame:
-    """``df`` with a binary column made from ``source``; ``start()`` gives, once per
-    task, the function from values to made values."""
-    schema = _with_binary(df, name)
-    kept = [f.name for f in schema.fields if f.name != name]
+def _add_binaries(df: DataFrame, source: str, names: list[str], start) -> DataFrame:
+    """``df`` with binary columns made from ``source``; ``start()`` gives, once per task,
+    the function from values to a list of values per column."""
+    plain = df.drop(*names)
+    schema = StructType(plain.schema.fields[:])
+    for name in names:
+        schema = schema.add(name, BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = start()
         for batch in batches:
             for part in runs_of(batch, source, RUN_BYTES):
-                columns = [part.column(c) for c in kept]
-                made = pa.array(convert(part.column(source).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([*columns, made], [*kept, name])
+                made = convert(part.column(source).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(m, pa.binary()) for m in made)], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return in_small_batches(plain).mapInArrow(run, schema)
+
+
+def _sent(df: DataFrame, ranks: dict[bytes, int]):
+    """The ranks and their pairs on the executors: as large as the vocabulary, whatever
+    the table."""
+    return df.sparkSession.sparkContext.broadcast((ranks, pair_table(ranks)))
 
 
 def encode(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, into: str = "ids_le") -> DataFrame:
-    """Adds the packed ids of ``text``. The ranks are sent to the executors: their size
-    is that of the vocabulary, whatever the table."""
-    packed = df.sparkSession.sparkContext.broadcast(_pack(ranks))
+    """Adds the packed ids of ``text``."""
+    sent = _sent(df, ranks)
 
     def start():
-        return Encoder({base64.b64decode(t): i for t, i in _lines(packed.value)}, pattern).encode_all
+        encoder = Encoder(*sent.value, pattern)
+        return lambda texts: [encoder.encode_all(texts)]
 
-    return _add_binary(df, text, into, start)
+    return _add_binaries(df, text, [into], start)
 
 
 def decode(df: DataFrame, ids: str, ranks: dict[bytes, int], into: str = "decoded") -> DataFrame:
     """Adds the bytes that packed ids stand for; null ids decode to no bytes."""
-    packed = df.sparkSession.sparkContext.broadcast(_pack(ranks))
+    sent = _sent(df, ranks)
 
     def start():
-        token_of = {i: base64.b64decode(t) for t, i in _lines(packed.value)}
-        plain = lambda v: b"".join(map(token_of.__getitem__, np.frombuffer(v or b"", "<u4").tolist()))
-        return lambda values: [plain(v) for v in values]
+        decoder = Decoder(sent.value[0])
+        return lambda packed: [decoder.decode_all(packed)]
+
+    return _add_binaries(df, ids, [into], start)
+
+
+def encode_and_decode(
+    df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, into: str = "ids_le", back: str = "decoded"
+) -> DataFrame:
+    """Adds the packed ids of ``text`` and the bytes decoded from them, in one pass."""
+    sent = _sent(df, ranks)
+
+    def start():
+        encoder, decoder = Encoder(*sent.value, pattern), Decoder(sent.value[0])
+
+        def both(texts):
+            packed = encoder.encode_all(texts)
+            return [packed, decoder.decode_all(packed)]
+
+        return both
 
-    return _add_binary(df, ids, into, start)
+    return _add_binaries(df, text, [into, back], start)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id with the digests of the ids and of the text decoded from them."""
-    ranks = load_ranks(path)
-    encoded = encode(docs.select("doc_id", "text"), "text", ranks, pattern)
-    sized = encoded.select(
-        "doc_id", "ids_le", (F.octet_length("ids_le") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256")
+    made = encode_and_decode(docs.select("doc_id", "text"), "text", load_ranks(path), pattern)
+    return made.select(
+        "doc_id",
+        (F.octet_length("ids_le") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids_le", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    decoded = decode(sized, "ids_le", ranks)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op7_rank_queue_bpe")
