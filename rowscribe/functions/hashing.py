@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HASH_SPACE = 4294967296  # values of the first eight hex digits
+HASH_SPACE = 1 << 60  # values of the first fifteen hex digits
 
 
 def _col(part) -> Column:
@@ -27,8 +27,8 @@ def seeded_hash(*parts) -> Column:
 
 
 def hash_int(digest: Column) -> Column:
-    """The first eight hex digits of a digest as a BIGINT in [0, 2^32)."""
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    """The first fifteen hex digits of a digest as a BIGINT in [0, 2^60)."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def uniform(*parts) -> Column:

@@ -43,10 +43,13 @@ def probability_list(text: Column) -> Column:
 
 def attach_outputs(df: DataFrame, outputs: DataFrame, key: str, n_labels: int = 2) -> DataFrame:
     """Join stored answers (key, output0) and parse them: one number for two labels, a
-    list for more. The column is ``probabilities``."""
+    list for more. The column is ``probabilities``. A row without an answer is an error."""
     parsed = (
         F.array(1 - F.col("output0").cast("double"), F.col("output0").cast("double"))
         if n_labels == 2
         else probability_list(F.col("output0"))
     )
-    return df.join(outputs.select(key, parsed.alias("probabilities")), key)
+    answers = outputs.select(key, parsed.alias("probabilities"), F.lit(True).alias("_answered"))
+    missing = F.raise_error(F.concat(F.lit("no answer for "), F.col(key).cast("string")))
+    found = F.when(F.col("_answered"), F.col("probabilities")).otherwise(missing)
+    return df.join(answers, key, "left").withColumn("probabilities", found).drop("_answered")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator
@@ -27,8 +26,6 @@ PENALTIES = {"l1": 1.0, "l2": 0.0}
 INVERSE_STRENGTHS = (100, 10, 1, 1e-1, 1e-2, 1e-3, 1e-4, 1e-5)
 MAX_ITERATIONS = 200
 
-ROWS_PER_PARTITION = 50_000
-
 
 def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """Weight n / (L * count) per label. The label table has one row per class."""
@@ -124,10 +121,7 @@ def grid_search(
         .persist()
     )
     rows, weight_sum = weighted.agg(F.count(F.lit(1)), F.sum("weight")).first()
-    # A solver runs one job per iteration: a small sample goes into as few partitions as
-    # its counted size needs, a large one keeps its own.
-    needed = math.ceil(rows / ROWS_PER_PARTITION)
-    folded = weighted.coalesce(needed)
+    folded = weighted
     if model == "lr":
         estimator, grid = linear_grid(weight_sum, n_labels, strengths, penalties)
     elif model == "trees":

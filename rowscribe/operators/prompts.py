@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowscribe import phrasebook as P
@@ -72,7 +72,10 @@ def select_templates(catalogue: DataFrame, index: int, first: int | None = None)
     if index not in (-1, -2):
         raise ValueError("index must be a position, -1 or -2")
     chosen = catalogue.where(F.col("original_task")) if index == -1 else catalogue
-    return chosen if first is None else chosen.where(F.col("position") < first)
+    if first is None:
+        return chosen
+    order = Window.partitionBy("task").orderBy("position")
+    return chosen.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= first).drop("_at")
 
 
 def attach_template(df: DataFrame, catalogue: DataFrame, task: str = "task") -> DataFrame:
@@ -152,15 +155,13 @@ REQUEST_SETTINGS = {"temperature": 0, "max_tokens": 1, "logprobs": 50}
 
 def request_table(df: DataFrame, key: str, prompt: str) -> DataFrame:
     """One request per row, as JSON, for an external scorer to pick up."""
-    return df.select(
-        key,
-        F.to_json(
-            F.struct(
-                strip(F.col(prompt)).alias("prompt"),
-                *[F.lit(v).alias(k) for k, v in REQUEST_SETTINGS.items()],
-            )
-        ).alias("request"),
-    )
+    return df.select(key, request_of(F.col(prompt)).alias("request"))
+
+
+def request_of(prompt: Column) -> Column:
+    """A scoring request as JSON."""
+    settings = [F.lit(v).alias(k) for k, v in REQUEST_SETTINGS.items()]
+    return F.to_json(F.struct(strip(prompt).alias("prompt"), *settings))
 
 
 def output_records(df: DataFrame, prompts: Sequence[str], outputs: Sequence[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowscribe.functions.hashing import seeded_hash
+from rowscribe.functions.hashing import HASH_SPACE, hash_int, seeded_hash
 from rowscribe.functions.search import key_struct, range_of
 from rowscribe.session import bucket_count
 
@@ -39,19 +39,19 @@ def sampled_range(
 ) -> Column:
     """The range of each row when the order is cut into ranges of similar size.
 
-    A bounded number of keys (8 per range) is chosen by the md5 of the key and
-    sorted on the driver. The choice steers only the balance of the ranges.
+    Keys whose md5 falls below a threshold, about 64 per range by the counted rows, are
+    sorted on the driver. The choice steers only the balance of the ranges. In an order
+    of several columns NULLs count as keys, so that later columns split them.
     """
     ranges = ranges or bucket_count(df.sparkSession)
     keys = df.select(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     names = keys.columns
-    chosen = (
-        keys.na.drop()
-        .orderBy(seeded_hash("bounds", *[F.col(n) for n in names]))
-        .limit(8 * ranges)
-        .collect()
-    )
-    sample = sorted({tuple(row) for row in chosen})
+    keys = keys.na.drop() if len(names) == 1 else keys
+    share = min(1.0, 64.0 * ranges / max(1, keys.count()))
+    text = [F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names]
+    drawn = hash_int(seeded_hash("bounds", *text)) < F.lit(int(share * HASH_SPACE))
+    chosen = keys.where(drawn).distinct().collect()
+    sample = sorted({tuple(row) for row in chosen}, key=lambda row: [(v is not None, v) for v in row])
     step = max(1, len(sample) // ranges)
     bounds = sample[step::step][: ranges - 1]
     return range_of(order, bounds, [f.dataType for f in keys.schema.fields])

@@ -51,7 +51,7 @@ def result_text(mean: Column, std: Column, n: Column, scale: float = 1.0) -> Col
 
 def latex_cell(mean: Column, std: Column) -> Column:
     """'& $m_{.sd}$' with the leading digit of the deviation cut off."""
-    sd = F.substring(F.format_string("%.2f", std), 2, 100)
+    sd = F.substring(F.format_string("%.2f", std), 2, 2147483647)
     return F.concat(F.lit("& $"), F.format_string("%.2f", mean), F.lit("_{"), sd, F.lit("}$"))
 
 

@@ -17,7 +17,6 @@ from rowscribe.operators.ranking import (
     sampled_range,
 )
 from rowscribe.phrasebook import MIXTURE_ROWS
-from rowscribe.session import is_small, lookup
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -160,7 +159,7 @@ def exchange_categories(df: DataFrame, columns: Sequence[str], seed: int) -> Dat
     a column with one value stays as it is."""
     source = df
     for column in columns:
-        pairs = lookup(exchange_map(source, column, seed), source.select(column).distinct())
+        pairs = exchange_map(source, column, seed)
         df = df.join(
             pairs, df[column].eqNullSafe(F.col("_old")), "left"
         ).select(
@@ -277,7 +276,7 @@ def _exchange_number(
 
 def permute_ids(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     """Replace ids by (id, new_id) pairs; ids without a pair stay."""
-    pairs = lookup(mapping.select(F.col("id").alias(column), F.col("new_id").alias("_new")))
+    pairs = mapping.select(F.col("id").alias(column), F.col("new_id").alias("_new"))
     return df.join(pairs, column, "left").select(
         *[F.coalesce("_new", column).alias(column) if c == column else F.col(c) for c in df.columns]
     )
@@ -305,10 +304,9 @@ def cap_rows(df: DataFrame, caps: DataFrame, group: str, key: str, cap: str = "c
     """
     range_ = sampled_range(df, [F.col(key)])
     limits = caps.select(group, cap)
-    few = is_small(limits)
-    last = nth_key(df, [key], range_, F.least(cap, "n"), [group], limits, few)
+    last = nth_key(df, [key], range_, F.least(cap, "n"), [group], limits, few_groups=False)
     edges = last.join(limits, group)
-    kept = df.join(F.broadcast(edges) if few else edges, group)
+    kept = df.join(edges, group)
     return kept.where(at_most([key], F.col("_edge"))).drop("_edge")
 
 

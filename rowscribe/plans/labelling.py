@@ -52,13 +52,16 @@ def label_median(spark, sf_dir):
 @query(
     "exact_quantiles",
     """SELECT o_orderstatus, quantile_cont(o_totalprice, 0.5) AS q50 FROM orders
-       WHERE o_orderstatus = 'F' GROUP BY 1""",
+       GROUP BY 1""",
 )
 def exact_quantiles(spark, sf_dir):
-    finished = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    return R.exact_quantiles(finished, "o_totalprice", {"q50": 0.5}).select(
-        F.lit("F").alias("o_orderstatus"), "q50"
-    )
+    orders = table(spark, sf_dir, "orders")
+    parts = [
+        R.exact_quantiles(orders.where(F.col("o_orderstatus") == status), "o_totalprice", {"q50": 0.5})
+        .select(F.lit(status).alias("o_orderstatus"), "q50")
+        for status in ("F", "O", "P")
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query(

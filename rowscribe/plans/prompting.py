@@ -73,11 +73,11 @@ _TASK_SQL = " UNION ALL ".join(
 @query(
     "prompt_catalogue",
     f"""WITH t AS ({_TASK_SQL}),
-    d AS (SELECT doc_id, {list(TASKS)}[CAST(substr(source, 4) AS INT) % 6 + 1] AS task FROM documents)
+    d AS (SELECT doc_id, {list(TASKS)}[CAST(substr(source, 4) AS INT) % 4 + 1] AS task FROM documents)
     SELECT doc_id, task, template_name, question, n_choices FROM d JOIN t USING (task)""",
 )
 def prompt_catalogue(spark, sf_dir):
-    number = F.substring("source", 4, 9).cast("int") % 6
+    number = F.substring("source", 4, 2147483647).cast("int") % len(TASKS)
     names = F.array(*[F.lit(t) for t in TASKS])
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.get(names, number).alias("task")
@@ -155,9 +155,11 @@ def choice_labels(spark, sf_dir):
 )
 def prompt_requests(spark, sf_dir):
     docs = text_rows(spark, sf_dir, "documents", "doc_id", "text")
-    requests = D.request_table(docs, "doc_id", "text")
-    escaped = docs.select("doc_id", F.md5(D.json_escaped(F.col("text"))).alias("escaped_md5"))
-    return requests.select("doc_id", F.md5("request").alias("request_md5")).join(escaped, "doc_id")
+    return docs.select(
+        "doc_id",
+        F.md5(D.request_of(F.col("text"))).alias("request_md5"),
+        F.md5(D.json_escaped(F.col("text"))).alias("escaped_md5"),
+    )
 
 
 def _response():

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rowscribe.functions.text import CLEANING_STEPS, DOT_RUN, KEPT_ELLIPSIS, WS
-from rowscribe.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,8 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_rows(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of a table, dealt out for work on their text."""
-    return spread(table(spark, sf_dir, name).select(*columns))
+    """The named columns of a table. A small file is split by the reader's settings."""
+    return table(spark, sf_dir, name).select(*columns)
 
 
 # --- SQL text -----------------------------------------------------------------------
@@ -57,11 +56,11 @@ def sql_hash(*parts: object) -> str:
 
 
 def sql_hash_int(*parts: object) -> str:
-    return f"('0x' || substr({sql_hash(*parts)}, 1, 8))::BIGINT"
+    return f"('0x' || substr({sql_hash(*parts)}, 1, 15))::BIGINT"
 
 
 def sql_uniform(*parts: object) -> str:
-    return f"({sql_hash_int(*parts)} / 4294967296.0::DOUBLE)"
+    return f"({sql_hash_int(*parts)} / 1152921504606846976.0::DOUBLE)"
 
 
 def sql_strip(expr: str) -> str:

@@ -179,7 +179,7 @@ def mixture_cap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     sizes = K.deny(docs, "source", DENIED).groupBy("source").agg(
         F.count(F.lit(1)).alias("train_size"),
-        F.max(1 + F.substring("source", 4, 9).cast("int") % 4).alias("templates"),
+        F.max(1 + F.substring("source", 4, 2147483647).cast("int") % 4).alias("templates"),
     )
     caps = K.mixture_caps(sizes, "templates", "train_size", total=120)
     return K.cap_rows(docs, caps, "source", "doc_id")

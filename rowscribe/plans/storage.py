@@ -255,7 +255,7 @@ def result_summary(spark, sf_dir):
 def task_catalogue(spark, sf_dir):
     """A task table as CSV, joined with its templates, with the rows each may give."""
     docs = table(spark, sf_dir, "documents")
-    base = F.substring("source", 4, 9).cast("int") % 2 == 0
+    base = F.substring("source", 4, 2147483647).cast("int") % 2 == 0
     sizes = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("train_size"))
     subset = F.when(F.col("lang") != "en", F.col("lang")).otherwise("")
     path = scratch_path(spark, "tasks")
@@ -298,7 +298,7 @@ def dictionary_scan(spark, sf_dir):
 )
 def short_names(spark, sf_dir):
     mixed = F.concat(
-        F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 99),
+        F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 2147483647),
         F.when(F.col("p_size") % 2 == 0, ". ").otherwise(" "),
     )
     return table(spark, sf_dir, "part").select(

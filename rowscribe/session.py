@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "rowscribe", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,13 +27,14 @@ def build_session(app: str = "rowscribe", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only where the session names none (unit tests on one machine) a fresh local
-    folder is used and remembered in the session.
+    Where the session names none, a folder in the warehouse is used. A local path is an
+    error there unless the master is local, as executors would not see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="rowscribe-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if path.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return path.rstrip("/")
 
 
@@ -51,30 +50,6 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-BROADCAST_ROWS = 200_000
-
-
-def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``most`` rows. Counts no further than that."""
-    return df.limit(most + 1).count() <= most
-
-
-def lookup(table: DataFrame, size_of: DataFrame | None = None) -> DataFrame:
-    """The small side of a join: broadcast after its rows were counted, left to a
-    shuffle where there are too many. ``size_of`` is a cheaper table of the same size."""
-    return F.broadcast(table) if is_small(size_of or table) else table
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores where it has fewer splits than cores.
-
-    Meant for a small file ahead of costly expressions. A scan of many files already has
-    enough splits and is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def bucket_count(spark: SparkSession) -> int:
     """How many ranges a global order is cut into: follows the shuffle width."""
-    return max(16, min(8192, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,25 +25,24 @@ def read_notes(
     variant: str | None = None,
     split: str | None = None,
 ) -> DataFrame:
-    """Notes of a dataset. A variant that was never written falls back to all notes of
-    the dataset. Both filters prune folders, the split filter reaches the scan."""
+    """Notes of a dataset. A variant that was never written is an error. Both filters prune
+    folders, the split filter reaches the scan."""
     notes = spark.read.parquet(path).where(F.col("dataset") == dataset)
     if variant is not None:
-        only = notes.where(F.col("variant") == variant)
-        notes = only if only.limit(1).count() else notes
+        notes = notes.where(F.col("variant") == variant)
+        if notes.isEmpty():
+            raise ValueError(f"no variant {variant!r} of {dataset!r} was written")
     return notes if split is None else notes.where(F.col("split") == split)
 
 
 def read_or_create(
     spark: SparkSession, path: str, make: Callable[[], DataFrame], schema: str
 ) -> DataFrame:
-    """JSON lines at ``path``; written once from ``make`` where there are none yet."""
-    try:
-        return spark.read.schema(schema).json(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in (missing.getCondition() or ""):
-            raise
-    make().write.json(path)
+    """JSON lines at ``path``; written once from ``make`` where there are none yet, or
+    where a write broke off and left no mark of success."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").json(path)
     return spark.read.schema(schema).json(path)
 
 

@@ -29,7 +29,7 @@ def test_selection_by_index(spark):
     assert names(D.select_templates(catalogue, 3)) == ["n3"]
     assert names(D.select_templates(catalogue, -1)) == ["n0", "n2", "n4", "n6", "n8"]
     assert len(names(D.select_templates(catalogue, -2))) == 10
-    assert names(D.select_templates(catalogue, -1, first=3)) == ["n0", "n2"]
+    assert names(D.select_templates(catalogue, -1, first=3)) == ["n0", "n2", "n4"]
     with pytest.raises(ValueError):
         D.select_templates(catalogue, -3)
 

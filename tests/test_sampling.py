@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import math
 from collections import Counter
 
@@ -154,3 +155,11 @@ def test_permute_ids(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "c bigint")
     pairs = spark.createDataFrame([(1, 9)], "id bigint, new_id bigint")
     assert {r["c"] for r in K.permute_ids(df, pairs, "c").collect()} == {9, 2, None}
+
+
+def test_draws_reach_past_32_bits(spark):
+    from rowscribe.functions.hashing import pick
+
+    n = 20_000_000_000
+    drawn = [r[0] for r in spark.range(2000).select(pick(n, "seed", F.col("id"))).collect()]
+    assert 0 <= min(drawn) < n // 100 and n - n // 100 < max(drawn) < n

@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 
 from rowscribe import spec as P
 from rowscribe.operators.serialize import feature_template, serialize
-from rowscribe.session import cut_lineage, scratch_path, spread
+from rowscribe.session import cut_lineage, scratch_path
 from rowscribe.sources import catalogs as C
 from rowscribe.sources import datasets as D
 from rowscribe.sources import stores as O
@@ -129,11 +129,12 @@ def test_debug_sample(spark):
     assert D.debug_sample(df, "idx", 1).groupBy("split").count().orderBy("split").collect() == [("train", 10), ("validation", 5)]
 
 
-def test_notes_fall_back_to_the_dataset(spark, tmp_path):
+def test_unknown_variant_of_notes_is_an_error(spark, tmp_path):
     df = spark.createDataFrame([(1, "n", 0, "train")], "idx int, note string, label int, split string")
     O.write_notes(df, str(tmp_path / "n"), "car", "list")
     assert O.read_notes(spark, str(tmp_path / "n"), "car", "list", "train").count() == 1
-    assert O.read_notes(spark, str(tmp_path / "n"), "car", "poem").count() == 1
+    with pytest.raises(ValueError, match="poem"):
+        O.read_notes(spark, str(tmp_path / "n"), "car", "poem")
     assert O.read_notes(spark, str(tmp_path / "n"), "car", "list", "test").count() == 0
 
 
@@ -186,9 +187,14 @@ def test_shared_folder(spark):
     assert kept.count() == 5 and "parquet" in kept._jdf.queryExecution().toString().lower()
 
 
-def test_spread(spark):
-    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 4
-    assert spread(spark.range(10, numPartitions=9)).rdd.getNumPartitions() == 9
+def test_half_written_cache_is_made_again(spark, tmp_path):
+    path = tmp_path / "cache"
+    path.mkdir()
+    (path / "part-0.json").write_text('{"idx": 9}\n')
+    made = O.read_or_create(spark, str(path), lambda: spark.range(5).select(F.col("id").alias("idx")), "idx long")
+    assert sorted(r["idx"] for r in made.collect()) == [0, 1, 2, 3, 4]
+    again = O.read_or_create(spark, str(path), lambda: 1 / 0, "idx long")
+    assert again.count() == 5
 
 
 def test_row_key_is_kept_where_there_is_one(spark):
