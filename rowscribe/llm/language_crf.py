@@ -162,9 +162,12 @@ def training_rows(rows: DataFrame, text: str, lang: str) -> DataFrame:
     labelled = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(text).alias("_text"), F.col(lang).alias("_lang"), place.alias("_place")
     )
-    counts = labelled.groupBy("_lang").agg(F.count("*").alias("_n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * PER_LANGUAGE) / F.col("_n"))
-    drawn = labelled.join(counts, "_lang").filter(F.pmod("_place", F.lit(1 << 40)) < share * F.lit(float(1 << 40)))
+    # One count per language, for each of which the model will hold weights. Texts are
+    # compared with the thresholds in place and are not shuffled.
+    counts = labelled.groupBy("_lang").agg(F.count("*").alias("_n")).collect()
+    below = {r["_lang"]: int(min(1.0, 2.0 * PER_LANGUAGE / r["_n"]) * (1 << 40)) for r in counts}
+    limits = F.create_map(*[F.lit(v) for pair in below.items() for v in pair]) if below else F.create_map().cast("map<string,bigint>")
+    drawn = labelled.filter(F.pmod("_place", F.lit(1 << 40)) < limits[F.col("_lang")])
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
