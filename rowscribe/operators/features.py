@@ -99,32 +99,16 @@ def drop_constant_features(long: DataFrame, rows: Column) -> DataFrame:
     ).drop("_drop")
 
 
-def category_vocabulary(
-    df: DataFrame, columns: Sequence[str], most: int = 10_000
-) -> dict[str, list]:
-    """Sorted values per column, '\\N' aside. Wide features need them at plan time; more
-    than ``most`` values in all is an error that points to the sparse form."""
-    pairs = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-                    for c in columns
-                ]
-            )
-        ).alias("p")
-    ).select("p.*")
-    rows = pairs.distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} categories; use one_hot_long")
-    vocabulary: dict[str, list] = {c: [] for c in columns}
-    for row in rows:
-        vocabulary[row["column"]].append(row["value"])
-    return {c: sorted(vs, key=lambda v: (v is None, v or "")) for c, vs in vocabulary.items()}
+def align_features(long: DataFrame, train: DataFrame) -> DataFrame:
+    """Of the sparse form, the features that the training rows have too. One that is absent
+    here needs no row, as absent means 0; any number of categories will do."""
+    return long.join(train.select("feature").distinct(), "feature", "left_semi")
 
 
 def one_hot(df: DataFrame, vocabulary: Mapping[str, Sequence]) -> DataFrame:
-    """Replace categorical columns by 0/1 columns 'column_value' and 'column_nan'."""
+    """Replace categorical columns by 0/1 columns 'column_value' and 'column_nan', one for
+    each value that the vocabulary names. For values that are not known beforehand there is
+    ``one_hot_long``."""
     plain = [F.col(c) for c in df.columns if c not in vocabulary]
     dummies = []
     for column, values in vocabulary.items():
@@ -215,12 +199,33 @@ def missing_flag(df: DataFrame, column: str, fill=0) -> DataFrame:
 
 
 def explanation_features(
-    df: DataFrame, categorical: Sequence[str], constants: Mapping[str, tuple[float, float]]
+    df: DataFrame, key: str, constants: Mapping[str, tuple[float, float]],
+    reserved: Sequence[str] = RESERVED,
 ) -> DataFrame:
-    """Dummies without constants, numbers scaled by given constants."""
-    wide = one_hot(df, category_vocabulary(df, categorical)) if categorical else df
-    wide = drop_constants(wide)
-    return scale_by_constants(wide, {c: v for c, v in constants.items() if c in wide.columns})
+    """(key, feature, value): dummies of the other columns and the numeric columns, those
+    with given constants scaled. What is the same in every row is left out."""
+    numeric, other = column_roles(df, (key, *reserved))
+    parts = []
+    if numeric:
+        varying = varying_columns(df, numeric).where("kept")
+        kept = varying.agg(F.collect_list("column").alias("names")).scalar()
+        scaled = scale_by_constants(df, {c: v for c, v in constants.items() if c in numeric})
+        pairs = [
+            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+            for c in numeric
+        ]
+        numbers = scaled.select(key, F.explode(F.array(*pairs)).alias("f")).select(key, "f.*")
+        parts.append(
+            numbers.withColumn("_kept", kept)
+            .where(F.array_contains("_kept", F.col("feature")))
+            .drop("_kept")
+        )
+    if other:
+        rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+        parts.append(drop_constant_features(one_hot_long(df, key, other), rows))
+    if not parts:
+        return df.select(key, F.lit("").alias("feature"), F.lit(0.0).alias("value")).limit(0)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:

@@ -45,19 +45,56 @@ _CUSTOMER_SPLIT = f"""CASE WHEN row_number() OVER (ORDER BY {sql_hash(42, "'spli
 @query(
     "one_hot_aligned",
     f"""SELECT c_custkey, c_acctbal, {', '.join(f"coalesce(({_MISSING_SEGMENT}) = '{s}', false)::INT::DOUBLE AS segment_{s}" for s in SEGMENTS)},
-        (c_custkey % 5 = 0)::INT::DOUBLE AS segment_nan, {_CUSTOMER_SPLIT} AS part FROM customer""",
+        (c_custkey % 5 = 0 AND part = 'train')::INT::DOUBLE AS segment_nan, part
+    FROM (SELECT *, {_CUSTOMER_SPLIT} AS part FROM customer)""",
 )
 def one_hot_aligned(spark, sf_dir):
-    """Training and holdout rows, both with the columns of the training rows."""
+    """Training and holdout rows, both with the columns of the training rows. The holdout
+    is encoded without a column for gaps and gets that one as zeros."""
     rows = _customers(spark, sf_dir).drop("c_nationkey")
     split = J.split_seeded(rows, "c_custkey", 42, out="part")
     train, holdout = split.where("part = 'train'"), split.where("part <> 'train'")
-    vocabulary = L.category_vocabulary(train, ["segment"])
-    encoded = L.one_hot(train, vocabulary)
-    own = L.one_hot(holdout, L.category_vocabulary(holdout, ["segment"]))
+    encoded = L.one_hot(train, {"segment": [*SEGMENTS, None]})
+    own = L.one_hot(holdout, {"segment": SEGMENTS})
     return encoded.unionByName(L.align_columns(own, encoded.columns))
 
 
+@query(
+    "one_hot_aligned_long",
+    f"""WITH l AS (SELECT c_custkey, part, unnest(['segment_' || coalesce({_MISSING_SEGMENT}, 'nan'), 'c_name_' || c_name]) AS feature
+        FROM (SELECT *, {_CUSTOMER_SPLIT} AS part FROM customer))
+    SELECT c_custkey, part, feature, 1.0::DOUBLE AS value FROM l WHERE feature IN (SELECT feature FROM l WHERE part = 'train')""",
+)
+def one_hot_aligned_long(spark, sf_dir):
+    """The sparse form, with the name as a column of nearly as many values as rows;
+    values that only the holdout has go."""
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.expr(_MISSING_SEGMENT).alias("segment"), "c_name"
+    )
+    split = J.split_seeded(rows, "c_custkey", 42, out="part")
+    features = {
+        part: L.one_hot_long(split.where(F.col("part") == part), "c_custkey", ["segment", "c_name"])
+        for part in ("train", "validation")
+    }
+    aligned = L.align_features(features["validation"], features["train"])
+    return features["train"].withColumn("part", F.lit("train")).unionByName(
+        aligned.withColumn("part", F.lit("validation"))
+    )
+
+
+@query(
+    "explanation_features",
+    f"""SELECT c_custkey, feature, round(value, 6) AS value FROM (SELECT c_custkey,
+            unnest(['c_acctbal', 'c_nationkey', 'segment_' || coalesce({_MISSING_SEGMENT}, 'nan')]) AS feature,
+            unnest([(c_acctbal - 4500.0) / 2500.0, c_nationkey, 1.0]::DOUBLE[]) AS value FROM customer)""",
+)
+def explanation_features(spark, sf_dir):
+    """Numbers scaled by constants and dummies; the planet and the flat number go."""
+    rows = _customers(spark, sf_dir).withColumns({"planet": F.lit("earth"), "flat": F.lit(3.0)})
+    found = L.explanation_features(rows, "c_custkey", {"c_acctbal": (4500.0, 2500.0)})
+    return found.withColumn("value", F.round("value", 6))
+
+
 _SPLIT = f"row_number() OVER (ORDER BY {sql_hash(42, chr(39) + 'split' + chr(39), 'p_partkey')}, p_partkey)"
 
 
@@ -100,13 +137,14 @@ def zscore(spark, sf_dir):
 @query(
     "scale_constants",
     """SELECT o_orderkey, round((o_totalprice - 1092.5) / 7514.25, 6) AS o_totalprice,
-        (o_custkey IS NULL)::INT::DOUBLE AS seen_nan FROM orders""",
+        CASE WHEN o_custkey % 7 = 0 THEN 0 ELSE o_custkey END AS seen,
+        (o_custkey % 7 = 0)::INT::DOUBLE AS seen_nan FROM orders""",
 )
 def scale_constants(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_totalprice", F.col("o_custkey").alias("seen")
+        "o_orderkey", "o_totalprice", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("seen")
     )
-    flagged = L.missing_flag(orders, "seen").drop("seen")
+    flagged = L.missing_flag(orders, "seen")
     scaled = L.scale_by_constants(flagged, {"o_totalprice": (1092.5, 7514.25)})
     return scaled.withColumn("o_totalprice", F.round("o_totalprice", 6))
 

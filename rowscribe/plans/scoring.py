@@ -115,6 +115,17 @@ def accuracy_f1(spark, sf_dir):
     )
 
 
+@query(
+    "binary_test",
+    f"""WITH {_SCORED} SELECT count(*) AS num, max(quality) <= 1 AS quality, max(n_chars) <= 1 AS n_chars FROM x""",
+)
+def binary_test(spark, sf_dir):
+    rows = scored_documents(spark, sf_dir)
+    return rows.agg(F.count(F.lit(1)).alias("num")).select(
+        "num", *[M.is_binary(rows, c).alias(c) for c in ("quality", "n_chars")]
+    )
+
+
 def _auc_sql(rows: str, positive: str, score: str, by: str) -> str:
     """Rank-sum AUC with ties averaged."""
     return f"""SELECT {by}, (sum(rk) FILTER ({positive}) - np * (np + 1) / 2.0) / (np * (n - np)) AS auc FROM (

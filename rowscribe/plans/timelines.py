@@ -34,7 +34,8 @@ def _text(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one or two entries of every event, as an array."""
     columns = ("event_id", "ts", "user_id", "event_type", "value", "props")
     events = text_rows(spark, sf_dir, "events", *columns).withColumn(
         "k", F.get_json_object("props", "$.k").cast("int")
@@ -72,9 +73,22 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         )
     )
-    return events.select(
-        F.col("user_id").alias("person_id"), F.col("ts").alias("date"), F.explode(pieces).alias("e")
-    ).select("person_id", "e.pos", "date", "e.concepts")
+    return events.select(F.col("user_id").alias("person_id"), F.col("ts").alias("date"), pieces.alias("pieces"))
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).select("person_id", "date", F.explode("pieces").alias("e")).select(
+        "person_id", "e.pos", "date", "e.concepts"
+    )
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Person records: the entries of an event as arrays of concept strings and dates."""
+    return _pieces(spark, sf_dir).select(
+        "person_id",
+        F.col("pieces.concepts").alias("visits"),
+        F.array_repeat("date", F.size("pieces")).alias("dates"),
+    )
 
 
 class Timeline:
@@ -297,6 +311,14 @@ def timeline_parse(spark, sf_dir):
     return T.temporal_of(Timeline(spark, sf_dir).parsed)
 
 
+@query(
+    "timeline_person_records",
+    f"WITH {_EV} SELECT person_id, visit_id, concept_id, concept FROM tm",
+)
+def timeline_person_records(spark, sf_dir):
+    return T.temporal_of(T.parse_entries(T.entries_of(records(spark, sf_dir))))
+
+
 @query(
     "timeline_artifacts",
     f"""WITH {_EV} SELECT sum((k % 20 = 0)::INT)::BIGINT AS artifacts, count(*) AS visits FROM av""",
@@ -315,6 +337,23 @@ def timeline_weights_visits(spark, sf_dir):
     return Timeline(spark, sf_dir).weighted_visits()
 
 
+@query(
+    "timeline_person_visit_weights",
+    f"""WITH {_EV}, px AS (SELECT *, row_number() OVER (PARTITION BY person_id, type ORDER BY start DESC, visit_id DESC) AS late,
+        CASE WHEN ({_VISIT_IDS}) IS NULL OR start < DATE '{END}' - 20 THEN 0 ELSE (person_id % 5 - 2) * 0.5 END::DOUBLE AS ws FROM v)
+    SELECT person_id, visit_id, type, start, duration, lower(specialty) AS specialty,
+        CASE WHEN late = 1 THEN ws ELSE 0 END::DOUBLE AS weight,
+        CASE WHEN late = 1 THEN abs(ws) ELSE 0 END::DOUBLE AS abs_weight FROM px""",
+)
+def timeline_person_visit_weights(spark, sf_dir):
+    """Every person has a weight of their own for each type of visit."""
+    visits = Timeline(spark, sf_dir).visits
+    codes = F.create_map(*[F.lit(x) for number, name in VISIT_CONCEPTS.items() for x in (name, number)])
+    own = visits.select("person_id", codes[F.col("type")].cast("bigint").alias("concept_id")).distinct()
+    weights = own.withColumns({"interval": F.lit(20), "weight": (F.col("person_id") % 5 - 2) * F.lit(0.5)})
+    return T.weigh_visits(visits, weights, END)
+
+
 @query("timeline_weights", f"WITH {_W} SELECT * FROM nc")
 def timeline_weights(spark, sf_dir):
     return Timeline(spark, sf_dir, stored=True).weighted_concepts()

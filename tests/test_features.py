@@ -25,16 +25,14 @@ def test_constants_and_sparse_columns(df):
 
 
 def test_one_hot(df):
-    vocabulary = L.category_vocabulary(df, ["c"])
-    assert vocabulary == {"c": ["a", "b", None]}
-    wide = L.one_hot(df.select("idx", "c"), vocabulary).orderBy("idx")
+    wide = L.one_hot(df.select("idx", "c"), {"c": ["a", "b", None]}).orderBy("idx")
     assert wide.columns == ["idx", "c_a", "c_b", "c_nan"]
     assert [tuple(r)[1:] for r in wide.collect()] == [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 0, 0)]
-    with pytest.raises(ValueError, match="one_hot_long"):
-        L.category_vocabulary(df, ["c"], most=1)
     long = L.one_hot_long(df, "idx", ["c", "flat"])
     kept = L.drop_constant_features(long, df.agg(F.count("*").alias("n")).scalar())
     assert sorted((r["idx"], r["feature"]) for r in kept.collect()) == [(0, "c_a"), (1, "c_b"), (2, "c_nan"), (3, "c_a")]
+    aligned = L.align_features(long, L.one_hot_long(df.where("idx < 2"), "idx", ["c"]))
+    assert sorted((r["idx"], r["feature"]) for r in aligned.collect()) == [(0, "c_a"), (1, "c_b"), (3, "c_a")]
 
 
 def test_align(df):
@@ -60,9 +58,13 @@ def test_scaler(df):
 def test_missing_flag_and_explanation(df):
     flagged = L.missing_flag(df, "hole").orderBy("idx").collect()
     assert [r["hole_nan"] for r in flagged] == [1, 0, 0, 1] and flagged[0]["hole"] == 0.0
-    wide = L.explanation_features(df.drop("hole"), ["c"], {"n": (1.0, 2.0), "flat": (3.0, 1.0)})
-    assert wide.columns == ["idx", "label", "n", "c_a", "c_b", "c_nan"]
-    assert sorted(r["n"] for r in wide.collect()) == [-0.5, 0.0, 1.0, 2.0]
+    long = L.explanation_features(df.drop("hole"), "idx", {"n": (1.0, 2.0), "flat": (3.0, 1.0)})
+    got = sorted((r["feature"], r["idx"], r["value"]) for r in long.collect())
+    assert got == [
+        ("c_a", 0, 1.0), ("c_a", 3, 1.0), ("c_b", 1, 1.0), ("c_nan", 2, 1.0),
+        ("n", 0, 0.0), ("n", 1, 1.0), ("n", 2, 2.0), ("n", 3, -0.5),
+    ]
+    assert L.explanation_features(df.select("idx", "label"), "idx", {}).count() == 0
 
 
 @pytest.mark.parametrize("parts", [1, 4])
