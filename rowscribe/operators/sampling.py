@@ -148,6 +148,36 @@ def _locate(draws: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFra
     )
 
 
+def training_sets(
+    df: DataFrame, key: str, label: str, shots: Sequence[int | str], seed_column: str = "seed"
+) -> DataFrame:
+    """The training rows of every number of shots: draws for a number, and for 'all' each
+    row once, in the seed's hash order.
+
+    Result: seed, num_shot (text), draw_no, key, label.
+    """
+    columns = ("seed", "num_shot", "draw_no", key, label)
+    numbers = [s for s in shots if s != "all"]
+    parts = []
+    if numbers:
+        drawn = few_shot_sample(df, key, label, numbers, seed_column=seed_column)
+        parts.append(
+            drawn.withColumns(
+                {"num_shot": F.col("num_shot").cast("string"), "draw_no": F.col("draw_no").cast("bigint")}
+            )
+        )
+    if "all" in shots:
+        rows = df.select(F.col(seed_column).cast("int").alias("seed"), key, label).withColumn(
+            "_h", seeded_hash(F.col("seed"), "shuffle", F.col(key))
+        )
+        whole = number_by_order(rows, ["_h", key], "_rn", ["seed"])
+        parts.append(
+            whole.withColumns({"num_shot": F.lit("all"), "draw_no": F.col("_rn").cast("bigint") - 1})
+        )
+    parts = [p.select(*columns) for p in parts]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def unlabelled_pool(train: DataFrame, sample: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Training rows that were not drawn."""
     return train.join(sample.select(*keys).distinct(), list(keys), "left_anti")

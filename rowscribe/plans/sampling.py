@@ -80,6 +80,18 @@ def few_shot_grid(spark, sf_dir):
     return K.few_shot_sample(train, "doc_id", "quality", SHOTS, seed_column="seed")
 
 
+@query(
+    "few_shot_all",
+    f"""WITH {_few_shot_sql(_TRAIN_ROWS, (16,), str(list(SEEDS)))}
+    SELECT seed, num_shot::VARCHAR AS num_shot, draw_no, doc_id, label AS quality FROM s
+    UNION ALL SELECT seed::INT, 'all', row_number() OVER (PARTITION BY seed ORDER BY {sql_hash('seed', "'shuffle'", 'doc_id')}, doc_id) - 1,
+        doc_id, label FROM r""",
+)
+def few_shot_all(spark, sf_dir):
+    """A draw and the whole training set side by side, for every seed."""
+    return K.training_sets(_training_rows(spark, sf_dir), "doc_id", "quality", (16, "all"))
+
+
 @query(
     "unlabelled_pool",
     f"""WITH {_few_shot_sql(_TRAIN_ROWS, (64,), str(list(SEEDS)))}

@@ -337,7 +337,7 @@ def batch_pad(spark, sf_dir):
     words = F.array_remove(F.split("text", " +"), "")
     rows = docs.select("doc_id", F.transform(words, F.length).alias("ids"))
     batched = P.assign_batches(rows, "doc_id", 8, drop_last=True)
-    padded = P.pad_batches(P.check_choice_counts(batched.withColumn("two", F.array(F.lit(0), F.lit(1))), "two", ["batch"]), "ids", ["batch"])
+    padded = P.pad_batches(P.check_choice_counts(batched.withColumn("choices", F.sequence(F.lit(0).cast("bigint"), F.col("batch") % 3)), "choices", ["batch"]), "ids", ["batch"])
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
     return padded.select(
         "doc_id", "batch", F.size("input_ids").alias("padded"),

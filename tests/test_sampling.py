@@ -39,6 +39,19 @@ def test_few_shot_sizes(rows):
     assert max(Counter(r["id"] for r in sample if r["num_shot"] == 512).values()) > 1
 
 
+def test_training_sets(rows):
+    seeded = rows.selectExpr("explode(array(1, 2)) as seed", "id", "label")
+    found = K.training_sets(seeded, "id", "label", [6, "all"]).collect()
+    assert Counter((r["seed"], r["num_shot"]) for r in found if r["num_shot"] == "6") == {(1, "6"): 6, (2, "6"): 6}
+    orders = []
+    for seed in (1, 2):
+        whole = sorted((r["draw_no"], r["id"]) for r in found if r["num_shot"] == "all" and r["seed"] == seed)
+        assert [n for n, _ in whole] == list(range(rows.count()))
+        orders.append([i for _, i in whole])
+    assert orders[0] != orders[1] and sorted(orders[0]) == sorted(orders[1]) == sorted(r["id"] for r in rows.collect())
+    assert K.training_sets(seeded, "id", "label", ["all"]).count() == 2 * rows.count()
+
+
 def test_few_shot_of_fewer_shots_than_labels(rows):
     sample = K.few_shot_sample(rows, "id", "label", [2], [1]).collect()
     assert [r["label"] for r in sample] == [2, 2]
