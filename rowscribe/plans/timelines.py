@@ -125,15 +125,17 @@ class Timeline:
         points = (F.col("concept_id") * 13 + F.col("interval")) % 17 - 8
         return spread.withColumn("weight", points * F.lit(0.25))
 
-    def values(self) -> DataFrame:
+    def long_values(self) -> DataFrame:
         c = F.col("concept_id")
         phrase = (
             F.when(c < 500, _text("Disorder number ", c))
             .when(c < 900, _text("EKG type ", c))
             .otherwise(_text("Drug ", c))
         )
-        raw = self.temporal.select("concept_id").distinct().withColumn("value", phrase)
-        return N.concept_phrases(raw)
+        return self.temporal.select("concept_id").distinct().withColumn("value", phrase)
+
+    def values(self) -> DataFrame:
+        return N.concept_phrases(self.long_values())
 
     def weighted_visits(self) -> DataFrame:
         return self.keep(T.weigh_visits(self.visits, self.weights(), END), "weighted-visits")
@@ -319,6 +321,20 @@ def timeline_person_records(spark, sf_dir):
     return T.temporal_of(T.parse_entries(T.entries_of(records(spark, sf_dir))))
 
 
+@query(
+    "timeline_short_names",
+    f"""WITH {_EV} SELECT concept_id, CASE WHEN concept_id % 3 = 0 THEN 'no. ' || concept_id ELSE {_value_sql('concept_id')} END AS value
+    FROM (SELECT DISTINCT concept_id FROM u)""",
+)
+def timeline_short_names(spark, sf_dir):
+    """Every third concept has a short name, listed under its long name in capitals."""
+    long = Timeline(spark, sf_dir).long_values()
+    short = long.where("concept_id % 3 = 0").select(
+        F.upper("value").alias("long_name"), _text("no. ", F.col("concept_id")).alias("short_name")
+    )
+    return N.concept_phrases(long, short)
+
+
 @query(
     "timeline_artifacts",
     f"""WITH {_EV} SELECT sum((k % 20 = 0)::INT)::BIGINT AS artifacts, count(*) AS visits FROM av""",
