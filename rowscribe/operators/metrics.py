@@ -130,11 +130,11 @@ def pr_curve(histogram: DataFrame, bounds: list[tuple], by: Sequence[str] = ())
     ).drop("_falling")
 
 
-def pr_auc(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = (), out: str = "pr_auc"
+def pr_auc_of_histogram(
+    histogram: DataFrame, bounds: list[tuple], by: Sequence[str] = (), out: str = "pr_auc"
 ) -> DataFrame:
     """Area under the precision-recall curve by trapezoids, from (recall 0, precision 1)."""
-    steps = pr_curve(*score_histogram(df, F.col(label) == 1, F.col(score), by), by)
+    steps = pr_curve(histogram, bounds, by)
     precision = F.col("tp") / F.col("taken")
     taken_before = F.col("taken") - F.col("pos") - F.col("neg")
     before = F.when(taken_before == 0, F.lit(1.0)).otherwise(
@@ -146,6 +146,13 @@ def pr_auc(
     )
 
 
+def pr_auc(
+    df: DataFrame, label: str, score: str, by: Sequence[str] = (), out: str = "pr_auc"
+) -> DataFrame:
+    """The same of the score of class 1."""
+    return pr_auc_of_histogram(*score_histogram(df, F.col(label) == 1, F.col(score), by), by, out)
+
+
 def confusion(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., label, prediction, n): at most one row per pair of classes."""
     return df.groupBy(*by, F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
@@ -201,11 +208,13 @@ def metric_record(
 ) -> DataFrame:
     """One row of metrics, as an evaluation run reports it. Two labels give AUC and PR;
     more give the one-vs-rest and one-vs-one areas. ``logs`` are columns to average."""
-    scored = df.withColumn("_p1", F.element_at(F.col(probabilities), 2)) if n_labels == 2 else df
     if n_labels == 2:
+        # Both areas read one histogram.
+        positive = F.element_at(F.col(probabilities), 2)
+        histogram, bounds = score_histogram(df, F.col(label) == 1, positive)
         areas = {
-            "AUC": roc_auc(scored, label, "_p1").scalar(),
-            "PR": pr_auc(scored, label, "_p1").scalar(),
+            "AUC": roc_auc_of_histogram(histogram, bounds).scalar(),
+            "PR": pr_auc_of_histogram(histogram, bounds).scalar(),
         }
     else:
         areas = {
