@@ -54,6 +54,14 @@ QUERY_NAMES = os.environ.get("BENCH_QUERIES", "").split() or [
     "timeline_weights",
     "timeline_top_concepts",
     "timeline_note",
+    "timeline_budget",
+    "metric_record",
+    "unlabelled_pool",
+    "few_shot_all",
+    "one_hot_aligned",
+    "one_hot_aligned_long",
+    "explanation_features",
+    "experiment_bundle",
 ]
 
 
