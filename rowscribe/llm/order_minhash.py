@@ -15,10 +15,12 @@ Texts of the same words are one class and stand once in the candidate search. Wi
 bucket of up to ``SMALL`` classes all pairs are candidates. In a larger bucket every
 class is a candidate with the bucket's smallest, and the classes of the bucket are
 bucketed anew by the sketches that they share besides: first by every two of their large
-buckets, then by neighbouring ones of those. Of texts over the threshold nearly all
-share several sketches, so a pair is compared in one of the finer buckets; a bucket
-that stays large to the end holds texts with many equal sketches, each of which is
-compared with its smallest. All linked texts form one group, named by its smallest id.
+buckets, then by neighbouring ones of those. That links nearly all of a large bucket that
+belongs together. What is left, pairs of a large bucket that are still in different
+groups, is searched exactly: texts over the threshold share at least a proportion
+``LEAST`` of the longer one's shingles, hence one among the rarest of both, and meet
+there. Shingles of a single group come first in that order and never travel as pairs. All
+linked texts form one group, named by its smallest id.
 
 Defined cases: null and empty texts and texts without a word stand alone; a text of
 fewer than five words is one shingle; texts equal but for case, punctuation and white
@@ -34,20 +36,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowscribe.llm.batches import in_small_batches
+from rowscribe.llm.batches import in_small_batches, runs_of
 from rowscribe.llm.components import connected_components
 from rowscribe.llm.registry import query, read
 from rowscribe.session import cut_lineage
 
 WORDS = 5  # per shingle
 SIMILAR = 0.8
+LEAST = SIMILAR / (2 - SIMILAR)  # of a text's shingles are matched in one as similar; of lengths, the smallest ratio
 SKETCHES = 12
 TOGETHER = 2  # shingles per sketch
 SMALL = 24
 MEMORY = 150_000  # words kept per task
+RUN = 4 << 20  # bytes of word numbers whose shingles are made at once
 
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -181,8 +185,9 @@ def _all_pairs(buckets: DataFrame) -> DataFrame:
     return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a < b) of classes to compare, from (rep, sketches)."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b) of classes to compare, from (rep, sketches), and the (rep, bucket)
+    rows of large buckets, of which not all pairs are among them."""
     rows = classes.select("rep", F.explode("sketches").alias("bucket")).distinct()
     out = None
     for level in range(3):
@@ -190,6 +195,7 @@ def candidates(classes: DataFrame) -> DataFrame:
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).filter("n > 1")
         sized = cut_lineage(rows.join(sizes, "bucket"), f"omh-sized-{level}")
         large = sized.filter(F.col("n") > SMALL)
+        crowded = large.select("rep", "bucket") if level == 0 else crowded
         star = large.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
         pairs = _all_pairs(sized.filter(F.col("n") <= SMALL)).union(star)
         out = pairs if out is None else out.union(pairs)
@@ -199,7 +205,44 @@ def candidates(classes: DataFrame) -> DataFrame:
         after = F.size("m") if level == 0 else F.lit(1)
         finer = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, after), lambda y: F.xxhash64(x, y))))
         rows = of.select("rep", F.explode(finer).alias("bucket")).distinct()
-    return out.distinct()
+    return out.distinct(), crowded
+
+
+def _shingled(texts: DataFrame) -> DataFrame:
+    """The labelled shingles of (rep, g, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs_of(batch, "words", RUN):
+                kmers = [labelled(shingles(np.frombuffer(w.as_py(), np.uint64))).astype(np.int64) for w in part.column("words")]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("rep"), part.column("g"), pa.array(kmers, pa.list_(pa.int64()))], ["rep", "g", "kmers"]
+                )
+
+    return in_small_batches(texts).select("rep", "g", "words").mapInArrow(run, "rep bigint, g bigint, kmers array<bigint>")
+
+
+def pairs_apart(crowded: DataFrame, groups: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs (a < b) of classes in large buckets that are in different groups and can reach
+    the threshold: every such pair over it is among them. ``groups`` has (id, component)
+    of linked classes, ``words`` (id, words) of all classes of large buckets."""
+    placed = crowded.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "bucket", F.coalesce("component", "rep").alias("g"))
+    mixed = placed.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("bucket")
+    members = placed.join(mixed, "bucket").select("rep", "g").distinct()
+    texts = _shingled(words.withColumnRenamed("id", "rep").join(members.hint("merge"), "rep"))
+    rows = cut_lineage(texts.select("rep", "g", F.size("kmers").alias("n"), F.explode("kmers").alias("kmer")), "omh-shingles")
+    kinds = rows.groupBy("kmer").agg(F.count("*").alias("often"), (F.min("g") < F.max("g")).alias("crosses"))
+    rarest = Window.partitionBy("rep").orderBy("crosses", "often", "kmer")
+    ranked = rows.join(kinds, "kmer").withColumn("at", F.row_number().over(rarest))
+    first = F.col("at") <= F.col("n") - F.ceil(F.col("n") * LEAST - 1e-9) + 1
+    early = cut_lineage(ranked.filter(first & F.col("crosses")).select("kmer", "g", "rep", "n"), "omh-rarest")
+    held = early.groupBy("kmer", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    side = lambda of, name: of.select("kmer", *(F.col(c).alias(f"{c}_{name}") for c in of.columns if c != "kmer"))
+    near = (F.col("g_a") < F.col("g_b")) & (F.col("hi_a") >= F.col("lo_b") * LEAST - 1e-9) & (F.col("hi_b") >= F.col("lo_a") * LEAST - 1e-9)
+    meet = side(held, "a").join(side(held, "b"), "kmer").filter(near).select("kmer", "g_a", "g_b")
+    pairs = meet.join(side(early, "a"), ["kmer", "g_a"]).join(side(early, "b"), ["kmer", "g_b"])
+    pairs = pairs.filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * LEAST - 1e-9)
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -230,14 +273,17 @@ def near_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     usable = sketched.filter("same is not null and id is not null")
     classes = usable.groupBy("same").agg(F.min("id").alias("rep"), F.first("sketches").alias("sketches"))
     classes = cut_lineage(classes, "omh-classes")
-    pairs = cut_lineage(candidates(classes), "omh-candidates")
+    pairs, crowded = candidates(classes)
+    pairs = cut_lineage(pairs, "omh-candidates")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     # Sort-merge joins at every size: texts meet ids that grow with the table, and a hot
     # class is split among tasks.
     words = cut_lineage(_numbered(docs.join(wanted.hint("merge"), "id", "left_semi")), "omh-words")
     side = lambda name: words.select(F.col("id").alias(name), F.col("words").alias(f"words_{name}")).hint("merge")
-    links = _verified(pairs.join(side("b"), "b").join(side("a"), "a"))
-    groups = connected_components(links)
+    linked = lambda pairs: _verified(pairs.join(side("b"), "b").join(side("a"), "a"))
+    groups = connected_components(linked(pairs))
+    more = linked(cut_lineage(pairs_apart(crowded, groups, words), "omh-apart"))
+    groups = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
     found = sketched.select("id", "same").join(named, "same", "left")
     found = found.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"))

@@ -20,7 +20,7 @@ from rowscribe.llm.html_text import extract, main_text
 from rowscribe.llm.language_crf import fit, label_documents
 from rowscribe.llm.license_scan import TEMPLATES, Scanner, patience, words_of
 from rowscribe.llm.mixing import mix_documents
-from rowscribe.llm.order_minhash import _Words, alignment, near_texts, shingles, word_numbers
+from rowscribe.llm.order_minhash import SIMILAR, _Words, alignment, near_texts, pairs_apart, shingles, similarity, word_numbers
 from rowscribe.llm.pii_crf import CARD, IP, KINDS, PHONE, Finder, base_spans, find_spans, luhn, redact
 from rowscribe.llm.rank_queue_bpe import Encoder, decode, encode, load_ranks, pair_table, round_trip
 from rowscribe.llm.rendezvous import place
@@ -290,6 +290,31 @@ def test_near_texts_against_all_pairs(spark, edges, nothing, sf_dir):
     assert classes == {i: root(i) for i in range(len(texts))}
 
 
+def test_rest_of_large_buckets_is_searched_exactly(spark):
+    random = np.random.default_rng(12)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(40):  # a third to nearly all of a text is the passage; some are near to others, some repeat words
+        own = [f"w{random.integers(0, 400)}" for _ in range(random.integers(4, 90))]
+        texts += [passage + own, passage + own[:-2] + ["x", "x", "x"], own + own[: random.integers(0, 9)] + passage]
+    texts += [["a"], ["a", "b"], ["a"] * 90, ["a"] * 100]
+    numbers = _Words()
+    words = [word_numbers(" ".join(t), numbers) for t in texts]
+    groups = {i: i - i % 3 for i in range(0, 120, 3) for i in (i, i + 1)}  # the third of each is in no group yet
+    group = lambda i: groups.get(i, i)
+    crowded = spark.createDataFrame([(i, 7) for i in range(len(texts))] + [(0, 9), (1, 9)], "rep bigint, bucket bigint")
+    found = pairs_apart(
+        crowded,
+        spark.createDataFrame(list(groups.items()), "id bigint, component bigint"),
+        spark.createDataFrame([(i, bytes(w.tobytes())) for i, w in enumerate(words)], "id bigint, words binary"),
+    )
+    found = {(r["a"], r["b"]) for r in found.collect()}
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if similarity(words[i], words[j]) >= SIMILAR - 1e-9}
+    apart = {(i, j) for i, j in near if group(i) != group(j)}
+    assert apart and apart < near and apart <= found
+    assert all(group(i) != group(j) and i < j for i, j in found) and len(found) < len(texts) ** 2 / 4
+
+
 def test_near_vectors_against_all_pairs(spark):
     random = np.random.default_rng(9)
     vectors = random.normal(size=(120, 24))
