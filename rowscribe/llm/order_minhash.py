@@ -233,15 +233,16 @@ def pairs_apart(crowded: DataFrame, groups: DataFrame, words: DataFrame) -> Data
     rows = cut_lineage(texts.select("rep", "g", F.size("kmers").alias("n"), F.explode("kmers").alias("kmer")), "omh-shingles")
     kinds = rows.groupBy("kmer").agg(F.count("*").alias("often"), (F.min("g") < F.max("g")).alias("crosses"))
     rarest = Window.partitionBy("rep").orderBy("crosses", "often", "kmer")
-    ranked = rows.join(kinds, "kmer").withColumn("at", F.row_number().over(rarest))
-    first = F.col("at") <= F.col("n") - F.ceil(F.col("n") * LEAST - 1e-9) + 1
-    early = cut_lineage(ranked.filter(first & F.col("crosses")).select("kmer", "g", "rep", "n"), "omh-rarest")
-    held = early.groupBy("kmer", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # Shingles a pair has in common stand at or after the first of them in that order, so
+    # both have at least as many from there on as must be matched.
+    ranked = rows.join(kinds, "kmer").withColumn("rest", F.col("n") - F.row_number().over(rarest) + 1)
+    reach = F.col("rest") >= F.col("n") * LEAST - 1e-9
+    early = cut_lineage(ranked.filter(reach & F.col("crosses")).select("kmer", "g", "rep", "n", "rest"), "omh-rarest")
+    held = early.groupBy("kmer", "g").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
     side = lambda of, name: of.select("kmer", *(F.col(c).alias(f"{c}_{name}") for c in of.columns if c != "kmer"))
-    near = (F.col("g_a") < F.col("g_b")) & (F.col("hi_a") >= F.col("lo_b") * LEAST - 1e-9) & (F.col("hi_b") >= F.col("lo_a") * LEAST - 1e-9)
-    meet = side(held, "a").join(side(held, "b"), "kmer").filter(near).select("kmer", "g_a", "g_b")
-    pairs = meet.join(side(early, "a"), ["kmer", "g_a"]).join(side(early, "b"), ["kmer", "g_b"])
-    pairs = pairs.filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * LEAST - 1e-9)
+    enough = F.least("rest_a", "rest_b") >= (F.col("n_a") + F.col("n_b")) * (SIMILAR / 2) - 1e-9
+    meet = side(held, "a").join(side(held, "b"), "kmer").filter((F.col("g_a") < F.col("g_b")) & enough).select("kmer", "g_a", "g_b")
+    pairs = meet.join(side(early, "a"), ["kmer", "g_a"]).join(side(early, "b"), ["kmer", "g_b"]).filter(enough)
     return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
