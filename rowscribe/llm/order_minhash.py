@@ -241,8 +241,9 @@ def pairs_apart(crowded: DataFrame, groups: DataFrame, words: DataFrame) -> Data
     held = early.groupBy("kmer", "g").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
     side = lambda of, name: of.select("kmer", *(F.col(c).alias(f"{c}_{name}") for c in of.columns if c != "kmer"))
     enough = F.least("rest_a", "rest_b") >= (F.col("n_a") + F.col("n_b")) * (SIMILAR / 2) - 1e-9
-    meet = side(held, "a").join(side(held, "b"), "kmer").filter((F.col("g_a") < F.col("g_b")) & enough).select("kmer", "g_a", "g_b")
-    pairs = meet.join(side(early, "a"), ["kmer", "g_a"]).join(side(early, "b"), ["kmer", "g_b"]).filter(enough)
+    meet = side(held, "a").join(side(held, "b"), "kmer").filter((F.col("g_a") < F.col("g_b")) & enough).drop("n_a", "rest_a")
+    meet = meet.join(side(early, "a"), ["kmer", "g_a"]).filter(enough).drop("n_b", "rest_b")
+    pairs = meet.join(side(early, "b"), ["kmer", "g_b"]).filter(enough)
     return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
