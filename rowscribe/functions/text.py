@@ -106,13 +106,17 @@ def integer_text(value: Column) -> Column:
 
 
 def fixed_text(digits: int) -> Callable[[Column], Column]:
-    """Formatter for a number with a fixed count of decimals."""
+    """Formatter for a number with a fixed count of decimals.
+
+    The double itself is rounded, half to even: 2.675, stored a little below, gives 2.67.
+    Decimals past the 17th significant digit are zeros.
+    """
+    pattern = "0." + "0" * digits if digits else "0"
 
     def to_text(value: Column) -> Column:
-        # format_string prints "null" for a NULL argument, so guard it
-        return F.when(
-            value.isNotNull(), F.format_string(f"%.{digits}f", value.cast("double"))
-        )
+        number = value.cast("double")
+        odd = F.when(F.isnan(number), "nan").when(number == float("inf"), "inf").when(number == float("-inf"), "-inf")
+        return F.coalesce(odd, F.call_function("format_number", number, F.lit(pattern)))
 
     return to_text
 

@@ -101,6 +101,29 @@ def serialize_permuted(spark, sf_dir):
     return S.serialize(rows, template).select("s_suppkey", "note")
 
 
+def _decimals_sql(digits: int, number: str) -> str:
+    return f"array_to_string([printf('%.{digits}f', {number}) FOR x IN embedding], ' ')"
+
+
+@query(
+    "decimal_text",
+    f"""SELECT vec_id, {', '.join(f"{_decimals_sql(d, 'x::DOUBLE')} AS text_{d}" for d in range(1, 6))},
+        {_decimals_sql(1, 'floor(x::DOUBLE * 16) / 16')} AS ties_1, {_decimals_sql(3, 'floor(x::DOUBLE * 16) / 16')} AS ties_3
+    FROM embeddings""",
+)
+def decimal_text(spark, sf_dir):
+    """Every component as text with one to five decimals, and multiples of 1/16, of which many are ties."""
+
+    def joined(digits, number):
+        return F.array_join(F.transform("embedding", lambda x: X.fixed_text(digits)(number(x.cast("double")))), " ")
+
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        *(joined(d, lambda x: x).alias(f"text_{d}") for d in range(1, 6)),
+        *(joined(d, lambda x: F.floor(x * 16) / 16).alias(f"ties_{d}") for d in (1, 3)),
+    )
+
+
 def _exchange_sql(column: str) -> str:
     h = sql_hash(SEED, "'exchange'", f"'{column}'", "v")
     return f"""r_{column} AS (

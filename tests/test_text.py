@@ -73,6 +73,9 @@ def test_numbers(spark):
     assert one(spark, X.integer_text, -2.7, "double") == "-2"
     assert one(spark, X.fixed_text(3), 0.627, "double") == "0.627"
     assert one(spark, X.fixed_text(2), None, "double") is None
+    for digits in range(6):  # ties in binary, and numbers next to a tie
+        for value in (0.125, 2.675, 1.005, 0.5, 1.5, -0.001, -2.675, 12345678.0625, 0.0, float("nan"), float("-inf")):
+            assert one(spark, X.fixed_text(digits), value, "double") == f"{value:.{digits}f}"
 
 
 def test_phrases(spark):
