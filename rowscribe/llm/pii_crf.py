@@ -6,7 +6,11 @@ the stretches between white space that hold a digit or an at sign; every mark is
 labelled with a kind or with none. Chain edges join neighbouring marks, with transition
 weights by the number of words between them. Skip edges join a mark to the last one
 before it that is equal or similar (the same token, local part or digits), however far
-apart, with a potential for equal labels. Beliefs are found by loopy message passing:
+apart, with a potential for equal labels. Repeats are nodes too: stretches that are no
+marks themselves but equal the local part of one, such as a handle or a name without a
+digit. A skip edge joins each to the last such mark before it, or else to the first one
+after it; a repeat is in no chain and has no scores of its own. The label of a mark
+with repeats is known where a base span overlaps it. Beliefs are found by loopy message passing:
 exact forward-backward along the chains and messages over the skip edges in turn, until
 they settle or for ``SWEEPS`` rounds. So a handle or a number that stands once in a
 clear form is found in its other places too.
@@ -14,16 +18,19 @@ clear form is found in its other places too.
 Learning needs no labels but the base spans: of at most ``SAMPLE`` documents with a
 mark, ``MARKS_EACH`` marks each, the chain weights are fitted by gradient ascent on the
 conditional likelihood, and the skip potential from how often skip edges join equal
-labels (piecewise training). Prediction takes all marks of whole texts.
+labels (piecewise training). Repeats take no part in it, since the patterns never label
+one. Prediction takes all marks and repeats of whole texts.
 
 Defined cases: a null or empty text has no spans; equal marks in one document are linked
-one after the other, so a mark that occurs n times has n - 1 edges; added spans never
+one after the other, so a mark that occurs n times has n - 1 edges; stretches are
+compared in lower case and without punctuation at their ends; added spans never
 overlap base spans; repeated rows give repeated results; an empty table gives no
 rows; other columns pass through.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -58,6 +65,7 @@ HIT = re.compile(r"[0-9@]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 SPACES = re.compile(r"\s")
+TOKEN = re.compile(r"\S+")
 EDGE = ".,;:!?\"'()[]{}<>"
 
 
@@ -128,6 +136,14 @@ def keys_of(token: str) -> set[str]:
     return out
 
 
+def repeats(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the stretches without a digit or an at sign that equal a key of a mark."""
+    names = {k[1:] for a, b, _ in found for k in keys_of(text[a:b]) if k[0] == "=" and not HIT.search(k)}
+    if not names:
+        return []
+    return [m.span() for m in TOKEN.finditer(text) if m[0].strip(EDGE).lower() in names]
+
+
 def _shape(token: str) -> str:
     shape = re.sub(r"[0-9]+", "9", token)
     shape = re.sub(r"[^\W\d_]+", "a", shape)
@@ -155,11 +171,11 @@ def gap_class(words: int) -> int:
 
 
 class Document:
-    """The marks of a text as nodes of the field."""
+    """The marks of a text, and after them its repeats, as nodes of the field."""
 
-    __slots__ = ("spans", "features", "index", "edges")
+    __slots__ = ("spans", "features", "index", "edges", "known")
 
-    def __init__(self, text: str, found: list[tuple[int, int, int]]):
+    def __init__(self, text: str, found: list[tuple[int, int, int]], again: list[tuple[int, int]] = ()):
         tokens = [text[a:b] for a, b, _ in found]
         shapes = [_shape(t) for t in tokens]
         self.spans = [(a, b) for a, b, _ in found]
@@ -173,23 +189,32 @@ class Document:
             )
             for i in range(n)
         ]
-        last: dict[str, int] = {}
+        having: dict[str, list[int]] = {}  # the marks with a key
         edges = set()
         for i, token in enumerate(tokens):
             for key in keys_of(token):
-                if key in last:
-                    edges.add((last[key], i))
-                last[key] = i
+                of = having.setdefault(key, [])
+                if of:
+                    edges.add((of[-1], i))
+                of.append(i)
+        for i, (start, end) in enumerate(again, n):
+            of = having["=" + text[start:end].strip(EDGE).lower()]
+            edges.add((of[max(0, bisect.bisect(of, start, key=lambda j: self.spans[j][0]) - 1)], i))
+        self.known = [0] * (n + len(again))  # labels of marks with repeats, where base spans give them
+        self.spans += again
+        self.index += [0] * len(again)
+        self.features += [[]] * len(again)
         self.edges = sorted(edges)
 
 
 def labels_of(spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[int]:
-    """The kind of the base span that each mark overlaps, as a number; 0 for none."""
+    """The kind of the base span that each mark (by start) overlaps, as a number; 0 for none."""
     out = [0] * len(spans)
     for kind, start, end in base:
-        for i, (a, b) in enumerate(spans):
-            if a < end and start < b and not out[i]:
-                out[i] = 1 + KINDS.index(kind)
+        i = bisect.bisect_right(spans, start, key=lambda s: s[1])
+        while i < len(spans) and spans[i][0] < end:
+            out[i] = out[i] or 1 + KINDS.index(kind)
+            i += 1
     return out
 
 
@@ -249,6 +274,10 @@ class Finder:
         model, rank = self.model, self.rank
         rows = [[rank[f] for f in node if f in rank] or [self.default] for d in documents for node in d.features]
         unary = scaled(sum_rows(model["weights"], np.array([i for r in rows for i in r]), np.array([len(r) for r in rows])))
+        unary[[not node for d in documents for node in d.features]] = 1.0
+        known = np.array([y for d in documents for y in d.known])
+        unary[known > 0] = 1e-12
+        unary[np.flatnonzero(known), known[known > 0]] = 1.0
         index = np.array([g for d in documents for g in d.index])
         starts = np.cumsum([0] + [len(d.index) for d in documents])
         edges = np.array([(s + i, s + j) for d, s in zip(documents, starts) for i, j in d.edges], np.int64).reshape(-1, 2)
@@ -284,7 +313,14 @@ class Finder:
         some = [i for i, m in enumerate(found) if m]
         if not some:
             return out
-        documents = [Document(texts[i], found[i]) for i in some]
+        documents = [Document(texts[i], found[i], repeats(texts[i], found[i])) for i in some]
+        for i, document in zip(some, documents):
+            n = len(found[i])
+            if n < len(document.spans):
+                labels = labels_of(document.spans[:n], [s[:3] for s in out[i]])
+                for a, b in document.edges:
+                    if b >= n:
+                        document.known[a] = labels[a]
         belief = self.beliefs(documents)
         label, sure = belief.argmax(1), belief.max(1) >= 0.5
         at = 0

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rowscribe.llm import registry
+from rowscribe.llm import pii_crf, registry
 from rowscribe.llm.chain import posteriors
 from rowscribe.llm.components import connected_components
 from rowscribe.llm.cross_polytope import near_vectors
@@ -21,7 +21,7 @@ from rowscribe.llm.language_crf import fit, label_documents
 from rowscribe.llm.license_scan import TEMPLATES, Scanner, patience, words_of
 from rowscribe.llm.mixing import mix_documents
 from rowscribe.llm.order_minhash import SIMILAR, _Words, alignment, near_texts, pairs_apart, shingles, similarity, word_numbers
-from rowscribe.llm.pii_crf import CARD, IP, KINDS, PHONE, Finder, base_spans, find_spans, luhn, redact
+from rowscribe.llm.pii_crf import CARD, IP, KINDS, PHONE, Finder, _replace, base_spans, find_spans, luhn, redact
 from rowscribe.llm.rank_queue_bpe import Encoder, decode, encode, load_ranks, pair_table, round_trip
 from rowscribe.llm.rendezvous import place
 from rowscribe.llm.va_file import top_k
@@ -180,6 +180,18 @@ def test_skip_edges_carry_a_label():
     assert [(text[a:b], base) for _, a, b, base in found] == [("hsr.29@mail.example.org", True), ("hsr.29", False)]
 
 
+def test_repeats_without_a_digit_are_found(spark, sf_dir):
+    """A handle without a digit is found in its other places, with a learned field too."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    finder = Finder(pii_crf.fit(docs, "text"))
+    text = "(Jane.Doe) asked; write to jane.doe@mail.example.org today " + "word " * 50 + "as jane.doe, said. No janedoe, no doe"
+    spans = finder.find([text])[0]
+    assert [(text[a:b], base) for _, a, b, base in spans] == [("Jane.Doe", False), ("jane.doe@mail.example.org", True), ("jane.doe", False)]
+    assert _replace(text, spans).startswith("(<EMAIL>) asked; write to <EMAIL> today") and "as <EMAIL>, said. No janedoe" in _replace(text, spans)
+    many = "ab.cd@x.org " + "ab.cd word " * 3000 + "EFG@x.org efg! ghi@y.org efg"
+    assert len(finder.find([many])[0]) == 3005
+
+
 PAGE = (
     '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>'
     '<div class="ad">Buy</div><article><h1>A &amp; b</h1><p><b>one \n two<br>three<p>Four.</p><form><input>no</form></article>'
