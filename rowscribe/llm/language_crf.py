@@ -9,9 +9,9 @@ hash order, so that the borders between them are the language switches. Texts ar
 labelled by exact forward-backward over whole texts. A document's language is the one
 with the highest mean probability over its words, and that mean is its score.
 
-Learning reads only text and language, of at most ``PER_LANGUAGE`` documents per
-language, ``WORDS_EACH`` words of each from a place that follows from its hash. The
-sample is drawn by hash thresholds from counts of all labelled rows.
+Learning reads only text and language, of at most ``PER_LANGUAGE`` different texts per
+language, those with the smallest hashes, ``WORDS_EACH`` words of each from a place that
+follows from its hash.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; where no row
 is labelled every text is ``und``; ties go to the language first in alphabetical
@@ -32,6 +32,7 @@ from pyspark.sql.types import StructType
 
 from rowscribe.llm.batches import in_small_batches, runs_of
 from rowscribe.llm.chain import Adam, pair_counts, posteriors, scaled, sum_rows
+from rowscribe.llm.draws import smallest_places
 from rowscribe.llm.registry import query, read
 
 PER_LANGUAGE = 200
@@ -159,15 +160,12 @@ class Tagger:
 def training_rows(rows: DataFrame, text: str, lang: str) -> DataFrame:
     """``_lang``, ``_words``, ``_place`` of the bounded sample of labelled rows."""
     place = F.xxhash64(F.col(text), F.col(lang))
-    labelled = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+    labelled = rows.filter(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}")).select(
         F.col(text).alias("_text"), F.col(lang).alias("_lang"), place.alias("_place")
     )
-    # One count per language, for each of which the model will hold weights. Texts are
+    # One threshold per language, for each of which the model will hold weights. Texts are
     # compared with the thresholds in place and are not shuffled.
-    counts = labelled.groupBy("_lang").agg(F.count("*").alias("_n")).collect()
-    below = {r["_lang"]: int(min(1.0, 2.0 * PER_LANGUAGE / r["_n"]) * (1 << 40)) for r in counts}
-    limits = F.create_map(*[F.lit(v) for pair in below.items() for v in pair]) if below else F.create_map().cast("map<string,bigint>")
-    drawn = labelled.filter(F.pmod("_place", F.lit(1 << 40)) < limits[F.col("_lang")])
+    drawn = smallest_places(in_small_batches(labelled), PER_LANGUAGE, "_lang")
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,19 +178,15 @@ def training_rows(rows: DataFrame, text: str, lang: str) -> DataFrame:
                 [batch.column("_lang"), pa.array(words, pa.list_(pa.string())), batch.column("_place")], ["_lang", "_words", "_place"]
             )
 
-    cut = in_small_batches(drawn).select("_lang", "_text", "_place").mapInArrow(stretch, "_lang string, _words array<string>, _place bigint")
+    cut = drawn.select("_lang", "_text", "_place").mapInArrow(stretch, "_lang string, _words array<string>, _place bigint")
     return cut.filter(F.size("_words") > 0)
 
 
 def fit(rows: DataFrame, text: str, lang: str) -> dict | None:
     """A model from the labelled ones of ``rows``; None where there are none."""
-    sample = training_rows(rows, text, lang).limit(1_000 * PER_LANGUAGE).collect()
-    by_lang: dict[str, list] = {}
-    for row in sorted(sample, key=lambda r: (r["_place"] & ((1 << 40) - 1), r["_lang"], r["_words"])):
-        by_lang.setdefault(row["_lang"], []).append(row)
-    kept = [row for of in by_lang.values() for row in of[:PER_LANGUAGE]]
-    kept.sort(key=lambda r: (r["_place"], r["_lang"], r["_words"]))
-    return train([(r["_lang"], r["_words"]) for r in kept])
+    sample = training_rows(rows, text, lang).collect()
+    sample.sort(key=lambda r: (r["_place"], r["_lang"], r["_words"]))
+    return train([(r["_lang"], r["_words"]) for r in sample])
 
 
 def label_documents(docs: DataFrame, text: str, model: dict | None) -> DataFrame:

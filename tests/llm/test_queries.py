@@ -192,6 +192,15 @@ def test_repeats_without_a_digit_are_found(spark, sf_dir):
     assert len(finder.find([many])[0]) == 3005
 
 
+def test_language_of_copied_texts(spark):
+    words = {"en": "the cat sat on a mat and", "fr": "le chat est assis sur la table et"}
+    texts = [(f"{w} {' '.join(w.split()[i % 5:])}" + " x" * i, lang) for lang, w in words.items() for i in range(5)] + [("12 34", "xx")]
+    once = spark.createDataFrame(texts, "text string, lang string")
+    copies = once.crossJoin(spark.range(1000)).drop("id").repartition(4)
+    ours, theirs = fit(copies, "text", "lang"), fit(once, "text", "lang")
+    assert ours["langs"] == ["en", "fr"] and ours["features"] == theirs["features"] and np.array_equal(ours["weights"], theirs["weights"])
+
+
 PAGE = (
     '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>'
     '<div class="ad">Buy</div><article><h1>A &amp; b</h1><p><b>one \n two<br>three<p>Four.</p><form><input>no</form></article>'
