@@ -15,8 +15,8 @@ exact forward-backward along the chains and messages over the skip edges in turn
 they settle or for ``SWEEPS`` rounds. So a handle or a number that stands once in a
 clear form is found in its other places too.
 
-Learning needs no labels but the base spans: of at most ``SAMPLE`` documents with a
-mark, ``MARKS_EACH`` marks each, the chain weights are fitted by gradient ascent on the
+Learning needs no labels but the base spans: of at most ``SAMPLE`` different texts with a
+mark, those with the smallest hashes, ``MARKS_EACH`` marks each, the chain weights are fitted by gradient ascent on the
 conditional likelihood, and the skip potential from how often skip edges join equal
 labels (piecewise training). Repeats take no part in it, since the patterns never label
 one. Prediction takes all marks and repeats of whole texts.
@@ -43,6 +43,7 @@ from pyspark.sql.types import StructType
 
 from rowscribe.llm.batches import in_small_batches, runs_of
 from rowscribe.llm.chain import Adam, pair_counts, posteriors, scaled, sum_rows
+from rowscribe.llm.draws import by_place, smallest_places
 from rowscribe.llm.registry import query, read
 
 SAMPLE = 1500
@@ -225,11 +226,9 @@ def train(sample: list[tuple[list[list[str]], list[int], list[tuple[int, int]],
         return None
     k = 1 + len(KINDS)
     counts = Counter(f for fs, *_ in sample for node in fs for f in set(node))
-    kept = sorted(f for f, n in counts.items() if n > 2)
+    kept = sorted(f for f, n in counts.items() if n > 2) or sorted(counts)
     rank = {f: i for i, f in enumerate(kept)}
     rows = [[rank[f] for f in node if f in rank] or [rank["*"]] if "*" in rank else [0] for fs, *_ in sample for node in fs]
-    if not kept:
-        return None
     lengths = np.array([len(r) for r in rows])
     flat = np.array([i for r in rows for i in r])
     owner = np.repeat(np.arange(len(rows)), lengths)
@@ -357,10 +356,8 @@ class Finder:
 
 
 def fit(docs: DataFrame, text: str) -> dict | None:
-    """A field from a bounded sample of the texts that hold a mark."""
+    """A field from a bounded sample of the different texts that hold a mark."""
     marked = docs.filter(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("_text"), F.xxhash64(text).alias("_place"))
-    share = min(1.0, 2.0 * SAMPLE / max(1, marked.count()))
-    drawn = marked.filter(F.pmod("_place", F.lit(1 << 40)) < F.lit(share * float(1 << 40)))
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,9 +372,10 @@ def fit(docs: DataFrame, text: str) -> dict | None:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
 
     schema = "_place bigint, _features array<array<string>>, _index array<bigint>, _edges array<array<bigint>>, _labels array<bigint>"
-    sample = in_small_batches(drawn).mapInArrow(nodes, schema).limit(4 * SAMPLE).collect()
-    sample.sort(key=lambda r: (r["_place"] & ((1 << 40) - 1), r["_features"]))
-    return train([(r["_features"], r["_index"], r["_edges"], r["_labels"]) for r in sample[:SAMPLE]])
+    drawn = smallest_places(in_small_batches(marked), SAMPLE)
+    sample = drawn.mapInArrow(nodes, schema).collect()
+    sample.sort(key=lambda r: (by_place(r["_place"]), r["_features"]))
+    return train([(r["_features"], r["_index"], r["_edges"], r["_labels"]) for r in sample])
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rowscribe.llm import pii_crf, registry
+from rowscribe.llm import draws, pii_crf, registry
 from rowscribe.llm.chain import posteriors
 from rowscribe.llm.components import connected_components
 from rowscribe.llm.cross_polytope import near_vectors
@@ -192,6 +192,23 @@ def test_repeats_without_a_digit_are_found(spark, sf_dir):
     assert len(finder.find([many])[0]) == 3005
 
 
+def test_samples_count_copies_once(spark, monkeypatch):
+    texts = [f"call +{i} 555 {i * 7919} or write to user.{i}@mail{i % 3}.org from 10.0.{i}.1" for i in range(10)]
+    once = spark.createDataFrame([(t,) for t in texts], "text string")
+    copies = once.crossJoin(spark.range(2000)).drop("id").repartition(4)
+    ours, theirs = pii_crf.fit(copies, "text"), pii_crf.fit(once, "text")
+    assert ours["features"] == theirs["features"] and np.array_equal(ours["weights"], theirs["weights"])
+    assert pii_crf.fit(once.limit(1), "text") is not None and pii_crf.fit(once.limit(0), "text") is None
+    rows = spark.range(3000).selectExpr("concat('t ', id % 700) AS _text", "IF(id % 700 < 9, 'a', 'b') AS _lang").withColumn("_place", F.xxhash64("_text"))
+    wanted = {(r["_lang"], r["_place"]) for r in rows.collect()}
+    for spare in (2.0, 0.01):
+        monkeypatch.setattr(draws, "SPARE", spare)
+        for size in (5, 50, 10_000):
+            got = [(r["_lang"], r["_place"]) for r in draws.smallest_places(rows, size, "_lang").collect()]
+            best = [p for lang in "ab" for p in sorted((p for p in wanted if p[0] == lang), key=lambda p: draws.by_place(p[1]))[:size]]
+            assert sorted(got) == sorted(best)
+
+
 def test_language_of_copied_texts(spark):
     words = {"en": "the cat sat on a mat and", "fr": "le chat est assis sur la table et"}
     texts = [(f"{w} {' '.join(w.split()[i % 5:])}" + " x" * i, lang) for lang, w in words.items() for i in range(5)] + [("12 34", "xx")]
