@@ -11,6 +11,12 @@ sectioning element around a line: a region's smoothed ratio, weighted by text, h
 reach the threshold, and all lines of a chosen region are kept, however short. Where a
 page marks an article or a main part, only regions inside it compete.
 
+Wrappers hide nothing: a form that holds most of the text that is not hidden otherwise, and
+elements hidden for a word of their class, id or role, or as forms, around a main part or
+around articles with at least as much text as the page shows without them. Elements named
+for clutter alone, or for comments or related pages, wrap articles only where the page
+shows nothing else. A page with wrappers is parsed a second time.
+
 Every line of a chosen region becomes one block; its white space is one space, and
 blocks are joined by a line break.
 
@@ -52,6 +58,8 @@ CLUTTER = re.compile(
     r"sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+NAMED = re.compile(CLUTTER.pattern.replace(r"(?:^|[\s_-])", r"(?:^|\s)", 1).replace(r"(?:$|[\s_-])", r"(?:$|\s)"), re.I)
+ASIDE = re.compile(r"(?:^|\s)(?:comment|disqus|repl(?:y|ies)|related)", re.I)
 OWN = frozenset(("article", "main", "body", "html"))  # judged by their name, not by their class
 CLOSES_P = BLOCKS - {"body", "html"}
 
@@ -62,8 +70,15 @@ REACH = 4
 class _Lines(HTMLParser):
     """Lines of a page: (text, tags, region, inside an article)."""
 
-    def __init__(self):
+    def __init__(self, wrappers: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.wrappers = wrappers  # elements that hide nothing, by number
+        self.met = 0
+        self.shown = 0  # characters
+        self.soft: list[tuple[int, bool, bool, int]] = []  # open elements that may be wrappers: number, form, named for clutter, place
+        self.around: list[tuple[int, tuple]] = []  # where an open article began: open elements, wrappers
+        self.wrapped: dict[tuple, list[int]] = {}  # of wrappers: characters of articles, main parts
+        self.in_forms: dict[int, int] = {}
         self.lines: list[tuple[str, int, int, bool]] = []
         self.open: list[tuple[str, bool]] = []  # name, hides its text
         self.hidden = 0
@@ -86,6 +101,10 @@ class _Lines(HTMLParser):
         while len(self.open) > to:
             name, hides = self.open.pop()
             self.hidden -= hides
+            if self.around and self.around[-1][0] == len(self.open):
+                self.around.pop()
+            if self.soft and self.soft[-1][3] == len(self.open):
+                self.soft.pop()
             if name in ("article", "main"):
                 self.articles -= 1
             if name in SECTIONS and name != "body":
@@ -106,7 +125,18 @@ class _Lines(HTMLParser):
                 if hides and name in ("head", "nav", "header", "title") or hides and tag == "body":
                     self._close(i)
                     break
-        hides = tag in SKIPPED or tag not in OWN and self._marked(attrs) or tag in OWN and self._reader(tag, attrs)
+        self.met += 1
+        marked = tag not in OWN and self._marked(attrs)
+        hides = tag in SKIPPED or marked or tag in OWN and self._reader(tag, attrs)
+        if self.met in self.wrappers:
+            hides = False
+        elif tag == "form" or marked and tag not in SKIPPED and not self._unseen(attrs):
+            named = any(k in ("class", "id", "role") and v and (NAMED.search(v) or ASIDE.search(v)) for k, v in attrs)
+            self.soft.append((self.met, tag == "form", named, len(self.open)))
+        elif tag in ("article", "main") and not hides and self.hidden and self.hidden == len(self.soft):
+            around = tuple(x[:3] for x in self.soft)
+            self.around.append((len(self.open), around))
+            self.wrapped.setdefault(around, [0, 0])[1] += tag == "main"
         self.open.append((tag, hides))
         self.hidden += hides
         if tag in ("article", "main"):
@@ -116,10 +146,12 @@ class _Lines(HTMLParser):
             self.regions.append(self.seen)
 
     @staticmethod
-    def _marked(attrs) -> bool:
-        return any(k in ("class", "id", "role") and v and CLUTTER.search(v) for k, v in attrs) or any(
-            k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs
-        )
+    def _unseen(attrs) -> bool:
+        return any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+
+    @classmethod
+    def _marked(cls, attrs) -> bool:
+        return any(k in ("class", "id", "role") and v and CLUTTER.search(v) for k, v in attrs) or cls._unseen(attrs)
 
     @staticmethod
     def _reader(tag, attrs) -> bool:
@@ -143,6 +175,12 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if not self.hidden:
             self.parts.append(data)
+            self.shown += len(data.strip())
+        elif self.hidden == len(self.soft):  # hidden by what may be wrappers only
+            if self.around and len(self.around[-1][1]) == self.hidden:
+                self.wrapped[self.around[-1][1]][0] += len(data.strip())
+            if self.hidden == 1 and self.soft[0][1]:
+                self.in_forms[self.soft[0][0]] = self.in_forms.get(self.soft[0][0], 0) + len(data.strip())
 
     def finish(self) -> list[tuple[str, int, int, bool]]:
         self.close()
@@ -150,6 +188,20 @@ class _Lines(HTMLParser):
         return self.lines
 
 
+    def found_wrappers(self) -> frozenset[int]:
+        """The elements that hide their text but are wrappers of the page or its article."""
+        out = set()
+        if self.wrapped:
+            around = max(self.wrapped, key=lambda a: (self.wrapped[a][1] > 0, not any(x[2] for x in a), self.wrapped[a][0]))
+            size, mains = self.wrapped[around]
+            if size and (mains or size >= self.shown and not any(named for _, _, named in around) or not self.shown):
+                out = {number for number, _, _ in around}
+        for form, size in self.in_forms.items():
+            if 2 * size > self.shown + sum(self.in_forms.values()):
+                out.add(form)
+        return frozenset(out)
+
+
 KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-REACH, REACH + 1)]
 
 
@@ -186,6 +238,11 @@ def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html)
     lines = parser.finish()
+    wrappers = parser.found_wrappers()
+    if wrappers:
+        parser = _Lines(wrappers)
+        parser.feed(html)
+        lines = parser.finish()
     if any(inside for *_, inside in lines):
         lines = [line for line in lines if line[3]]
     if not lines:

@@ -236,6 +236,24 @@ def test_pages(spark):
     assert extract(spark.createDataFrame([], "id int, html string"), "html").count() == 0
 
 
+def test_pages_in_wrappers():
+    article = "<nav>Home</nav><article><h1>Title</h1><p>" + "a long passage of content here " * 9 + "</p></article>"
+    text = main_text(f"<body>{article}</body>")
+    assert text.startswith("Title\na long passage")
+    for name in ("layout has-sidebar", "no-sidebar", "share-enabled", "search-results"):
+        assert main_text(f"<body><div class='{name}'>{article}<div class=sidebar>Other</div></div></body>") == text
+    form = "<form action=x><input type=hidden><select><option>no</select><button>Go</button>{}</form>"
+    assert main_text("<body>" + form.format(article) + "<footer>f</footer></body>") == text
+    assert main_text("<body>" + form.format(f"<div id='no-comments' class='has-nav'>{article}</div>") + "</body>") == text
+    plain = article.replace("article>", "div>")
+    assert main_text("<body>" + form.format(plain) + "<p>x</p></body>").startswith(text)
+    teaser = "<article><p>" + "other " * 20 + "</p></article>"
+    for other in (f"<div class='related-posts'>{teaser}</div>", f"<aside>{teaser * 9}</aside>", f"<div class=sidebar>{teaser * 9}</div>"):
+        assert main_text(f"<body>{article}{other}</body>") == text
+        assert main_text(f"<body><div class='has-sidebar'>{article}{other}</div></body>") == text
+    assert main_text(f"<body><div class='post-page'><p>{'mine ' * 9}</p><section id=comments>{teaser * 9}</section></div></body>") == ("mine " * 9).strip()
+
+
 def longest_match(a, b):
     best = [0] * (len(b) + 1)
     for x in a:
