@@ -4,11 +4,12 @@ A text is cut into words. For a template of n words a notice must match at least
 ``COVERAGE`` of them, so at most ``n - ceil(COVERAGE * n)`` words may be missing; of any
 one more words of the template at least one has to occur. The longest words of each
 template are these seeds, and a stretch of text around each seed, as long as the
-template to both sides of the seed's place in it, with some slack, is aligned with
-the whole template: words unique to both sides are anchors, the longest increasing
+template to both sides of the seed's place in it, with some slack that is doubled, once
+at least, while more words match, is aligned with the whole template: words unique to both sides are anchors, the longest increasing
 subsequence of anchors is kept, the gaps between anchors are aligned in the same way,
 and where a gap has no anchor its equal ends are matched. The share of the template's
-words matched is its coverage.
+words matched is its coverage. The words that name a license or its version are required: a
+notice matches all of them, and the longest is the template's only seed.
 
 Of hits that overlap, the one with the most matched words is the notice, so a longer
 wording wins over a shorter one that it contains. Every notice has the span of its first
@@ -36,7 +37,8 @@ from rowscribe.llm.batches import in_small_batches
 from rowscribe.llm.registry import query, read
 
 COVERAGE = 0.8
-SLACK = 0.25  # of a template's length, to both sides of a stretch
+SLACK = 0.25  # of a template's length, to both sides of a stretch at first
+LEAST_SLACK = 4  # words, to both sides of a widened stretch
 WORDS = re.compile(r"[^\W_]+")
 
 # Wordings of public licenses and notices.
@@ -48,10 +50,26 @@ TEMPLATES: dict[str, str] = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
     ),
+    "Apache-1.1-notice": "Licensed under the Apache License, Version 1.1.",
+    "BSD-notice": "Released under the BSD License.",
+    "ISC-notice": "Released under the ISC License.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "CC-BY-4.0-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-SA-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-3.0-work": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
     "GPL-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
@@ -73,6 +91,34 @@ TEMPLATES: dict[str, str] = {
     ),
 }
 
+# Words of a template that a notice has to match: names, versions and kinds.
+REQUIRED: dict[str, str] = {
+    "MIT-notice": "MIT",
+    "Apache-1.1-notice": "Apache 1",
+    "Apache-2.0-notice": "Apache 2",
+    "Apache-2.0-header": "Apache 2",
+    "BSD-notice": "BSD",
+    "ISC-notice": "ISC",
+    "CC-BY-4.0-notice": "CC BY 4",
+    "CC-BY-SA-4.0-notice": "CC BY SA 4",
+    "CC-BY-ND-4.0-notice": "CC BY ND 4",
+    "CC-BY-NC-4.0-notice": "CC BY NC 4",
+    "CC-BY-NC-SA-4.0-notice": "CC BY NC SA 4",
+    "CC-BY-NC-ND-4.0-notice": "CC BY NC ND 4",
+    "CC-BY-4.0-work": "Creative Commons Attribution 4",
+    "CC-BY-SA-4.0-work": "Creative Commons Attribution ShareAlike 4",
+    "CC-BY-ND-4.0-work": "Creative Commons Attribution NoDerivatives 4",
+    "CC-BY-NC-4.0-work": "Creative Commons Attribution NonCommercial 4",
+    "CC-BY-NC-SA-4.0-work": "Creative Commons Attribution NonCommercial ShareAlike 4",
+    "CC-BY-NC-ND-4.0-work": "Creative Commons Attribution NonCommercial NoDerivatives 4",
+    "CC-BY-3.0-work": "Creative Commons Attribution 3",
+    "GPL-2.0-notice": "GNU General Public 2",
+    "GPL-3.0-notice": "GNU General Public 3",
+    "LGPL-3.0-notice": "GNU Lesser General Public 3",
+    "AGPL-3.0-notice": "GNU Affero General Public 3",
+    "GPL-header": "GNU General Public",
+}
+
 
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORDS.findall(text)]
@@ -132,21 +178,41 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     """Finds the notices of a catalogue of templates."""
 
-    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE, required: dict[str, str] = REQUIRED):
         self.coverage = coverage
+        self.required: dict[str, set[int]] = {}  # places in the template
         self.templates = {name: words_of(text) for name, text in templates.items()}
         self.seeds: dict[str, list[tuple[str, int]]] = {}  # word -> template, place in it
         for name, words in self.templates.items():
             spare = len(words) - math.ceil(coverage * len(words) - 1e-9)
             order = sorted(range(len(words)), key=lambda i: (-len(words[i]), i))
-            wanted: set[str] = set()
+            must = words_of(required.get(name, ""))
+            self.required[name] = {words.index(w) for w in must}
+            wanted: set[str] = {max(must, key=len)} if must else set()
             for rank, i in enumerate(order):
-                if rank <= spare:
+                if rank <= spare and not must:
                     wanted.add(words[i])
             for i, word in enumerate(words):
                 if word in wanted:
                     self.seeds.setdefault(word, []).append((name, i))
 
+    def _aligned(self, words: list[str], name: str, start: int) -> list[tuple[str, float, int, int]]:
+        """The best notice of a template that would start about here, if any."""
+        template, required = self.templates[name], self.required[name]
+        first = slack = math.ceil(SLACK * len(template))
+        most, out = 0, []
+        while True:
+            low, high = max(0, start - slack), min(len(words), start + len(template) + slack)
+            matched = patience(words[low:high], template)
+            grown, share = len(matched) > most, len(matched) / len(template)
+            if grown:
+                most = len(matched)
+            if (grown or not out) and share >= self.coverage - 1e-9 and required <= {j for _, j in matched}:
+                out = [(name, share, low + matched[0][0], low + matched[-1][0])]
+            if out and most == len(template) or slack > first and not grown or low == 0 and high == len(words):
+                return out
+            slack = max(LEAST_SLACK, 2 * slack)
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, coverage, start, end) of every notice, by start."""
         words = words_of(text or "")
@@ -158,16 +224,9 @@ class Scanner:
         found = []
         for i in hits:
             for name, place in seeds[words[i]]:
-                template = self.templates[name]
-                slack = math.ceil(SLACK * len(template))
-                low, high = max(0, i - place - slack), min(len(words), i - place + len(template) + slack)
-                if (name, low, high) in tried:
-                    continue
-                tried.add((name, low, high))
-                matched = patience(words[low:high], template)
-                share = len(matched) / len(template)
-                if share >= self.coverage - 1e-9:
-                    found.append((name, share, low + matched[0][0], low + matched[-1][0]))
+                if (name, i - place) not in tried:
+                    tried.add((name, i - place))
+                    found += self._aligned(words, name, i - place)
         if not found:
             return []
         kept: list[tuple[str, float, int, int]] = []

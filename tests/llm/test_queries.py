@@ -292,6 +292,18 @@ def test_licenses(spark, sf_dir):
         assert brute <= (row["n_notices"] > 0)
 
 
+def test_licenses_by_name_and_with_words_between():
+    names = lambda text: [h[0] for h in Scanner(TEMPLATES).scan(text)]
+    assert [names(text) for text in TEMPLATES.values()] == [[name] for name in TEMPLATES]
+    assert names("It was released under the old license of the town") == []
+    assert names("Released under the BSD License") == ["BSD-notice"]
+    assert names("This work is licensed under the GNU General Public License, version 2") == ["GPL-2.0-notice"]
+    assert names("This work is licensed under a Creative Commons Attribution 3.0 International License") == ["CC-BY-3.0-work"]
+    assert names("Licensed under CC BY-SA 4.0") == ["CC-BY-SA-4.0-notice"]
+    assert names("So: All rights are hereby reserved.") == ["all-rights-reserved"]
+    assert names("Released under the terms of the MIT License.") == ["MIT-notice"]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 200)] + [(7, 7), (None, 3)]
     rows = connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
