@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = (
     "order_minhash", "cross_polytope", "va_file", "mixing", "language_crf", "rendezvous", "rank_queue_bpe",
-    "pii_crf", "html_text", "license_scan", "conversation_trie", "chunk_recipes",
+    "pii_crf", "html_text", "license_scan", "conversation_trie", "token_alignment", "chunk_recipes",
 )
 
 
