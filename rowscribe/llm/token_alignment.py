@@ -129,18 +129,28 @@ class Aligner:
     def _new(self, parts: list[str]) -> list[tuple | None]:
         """(groups, tokens of the first, of the second, groups, packed links) of stretches,
         each read after a space; None where the bytes do not come back."""
+        if not parts:
+            return []
+        encoded = [e.ids for e in self.first.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        others = self.second.encode(parts, num_threads=1)
+        data = [b" " + p.encode() for p in parts]
+        same = self._come_back(encoded, self.first_bytes, data)
+        same &= self._come_back(others, self.second_bytes, data)
         out: list[tuple | None] = []
-        encoded = self.first.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
-        first, second = self.first_bytes.__getitem__, self.second_bytes.__getitem__
-        for part, one, others in zip(parts, encoded, self.second.encode(parts, num_threads=1)):
-            ids, data = one.ids, b" " + part.encode()
-            if b"".join(map(first, ids)) != data or b"".join(map(second, others)) != data:
+        for ok, one, two in zip(same.tolist(), encoded, others):
+            if ok:
+                groups, n, links = self.align(one, two)
+                out.append((groups, len(one), len(two), n, array("q", links).tobytes()))
+            else:
                 out.append(None)
-                continue
-            groups, n, links = self.align(ids, others)
-            out.append((groups, len(ids), len(others), n, array("q", links).tobytes()))
         return out
 
+    @staticmethod
+    def _come_back(ids: list[list[int]], table: list[bytes], data: list[bytes]) -> np.ndarray:
+        """Of which stretches the tokens give the bytes: all at once, else one by one."""
+        made = [b"".join(map(table.__getitem__, x)) for x in ids]
+        return np.ones(len(data), bool) if made == data else np.array([a == b for a, b in zip(made, data)])
+
     def align_all(self, texts: list[str | None]) -> list[list[tuple | None]]:
         """The stretches of each text."""
         cut = [([t] if self.whole else CUT.split(t)) if t else [] for t in texts]
