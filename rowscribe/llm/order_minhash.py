@@ -11,21 +11,23 @@ matched in order, the similarity is 2 M / (length + length), the edit similarity
 insertions and deletions, and pairs of at least ``SIMILAR`` are linked. More insertions
 or deletions than the band's width already rule a pair out, so nothing is lost by it.
 
-Texts of the same words are one class and stand once in the candidate search. Within a
-bucket of up to ``SMALL`` classes all pairs are candidates. In a larger bucket every
-class is a candidate with the bucket's smallest, and the classes of the bucket are
-bucketed anew by the sketches that they share besides: first by every two of their large
-buckets, then by neighbouring ones of those. That links nearly all of a large bucket that
-belongs together. What is left, pairs of a large bucket that are still in different
-groups, is searched exactly: texts over the threshold share at least a proportion
-``LEAST`` of the longer one's shingles, hence one among the rarest of both, and meet
-there. Shingles of a single group come first in that order and never travel as pairs. All
-linked texts form one group, named by its smallest id.
-
-Defined cases: null and empty texts and texts without a word stand alone; a text of
-fewer than five words is one shingle; texts equal but for case, punctuation and white
-space are equal; rows that repeat an id are one document, that of any of them; an
-empty table gives no rows; other columns are left out.
+Texts of the same words are one class, known by a digest of their words, and stand once in
+the candidate search. Within a bucket of up to ``SMALL`` classes all pairs are candidates.
+In a larger bucket every class is a candidate with the bucket's shortest. Once these pairs
+are verified and joined to groups, the classes that are not in the group of their bucket's
+first are cut at random into parts of about ``PART``, and all pairs of a part are candidates.
+What is left, pairs of a large bucket that are still in different groups, is searched
+exactly: texts over the threshold share at least a proportion ``LEAST`` of the longer one's
+shingles, hence one among the rarest of both, and meet there. Shingles of a single group
+come first in that order and never travel as pairs.
+All linked texts form one group, named by its smallest id.
+
+Defined cases: null and empty texts and texts without a word stand alone and are kept; a
+text of fewer than five words is one shingle; texts equal but for case, punctuation and
+white space are equal; rows that repeat an id with another text are documents of their
+own; rows that repeat both are one document and are kept or not together; a null id takes
+part and names a group only where all its ids are null; an empty table gives no rows;
+other columns are left out.
 """
 
 from __future__ import annotations
@@ -36,10 +38,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowscribe.llm.batches import in_small_batches, runs_of
+from rowscribe.llm.batches import runs_of
 from rowscribe.llm.components import connected_components
 from rowscribe.llm.registry import query, read
 from rowscribe.session import cut_lineage
@@ -50,6 +52,7 @@ LEAST = SIMILAR / (2 - SIMILAR)  # of a text's shingles are matched in one as si
 SKETCHES = 12
 TOGETHER = 2  # shingles per sketch
 SMALL = 24
+PART = 8  # classes of a part of a large bucket
 MEMORY = 150_000  # words kept per task
 RUN = 4 << 20  # bytes of word numbers whose shingles are made at once
 
@@ -160,20 +163,28 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return 2 * alignment(x, y) / (len(x) + len(y)) if len(x) and len(y) else 0.0
 
 
+def document_mark(key: Column, text: Column) -> Column:
+    """A digest that tells documents apart, by id and text."""
+    parts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in (key, text)]
+    return F.md5(F.concat(parts[0], F.lit(" "), parts[1]))
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _Words()
         for batch in batches:
-            same, found = [], []
+            same, sizes, found = [], [], []
             for text in batch.column("text"):
                 words = word_numbers(text.as_py(), numbers)
                 same.append(hashlib.md5(words.tobytes()).hexdigest() if len(words) else None)
+                sizes.append(len(words))
                 found.append(sketch(words) if len(words) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(same, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["id", "same", "sketches"]
+                [batch.column("id"), batch.column("mark"), pa.array(same, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                ["id", "mark", "same", "size", "sketches"],
             )
 
-    return in_small_batches(docs).mapInArrow(run, "id bigint, same string, sketches array<bigint>")
+    return docs.mapInArrow(run, "id bigint, mark string, same string, size bigint, sketches array<bigint>")
 
 
 def _all_pairs(buckets: DataFrame) -> DataFrame:
@@ -185,66 +196,98 @@ def _all_pairs(buckets: DataFrame) -> DataFrame:
     return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) of classes to compare, from (rep, sketches), and the (rep, bucket)
-    rows of large buckets, of which not all pairs are among them."""
-    rows = classes.select("rep", F.explode("sketches").alias("bucket")).distinct()
-    out = None
-    for level in range(3):
-        rows = cut_lineage(rows, f"omh-buckets-{level}")
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).filter("n > 1")
-        sized = cut_lineage(rows.join(sizes, "bucket"), f"omh-sized-{level}")
-        large = sized.filter(F.col("n") > SMALL)
-        crowded = large.select("rep", "bucket") if level == 0 else crowded
-        star = large.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-        pairs = _all_pairs(sized.filter(F.col("n") <= SMALL)).union(star)
-        out = pairs if out is None else out.union(pairs)
-        if large.isEmpty():
-            break
-        of = large.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("m"))  # at most one per sketch or pair
-        after = F.size("m") if level == 0 else F.lit(1)
-        finer = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, after), lambda y: F.xxhash64(x, y))))
-        rows = of.select("rep", F.explode(finer).alias("bucket")).distinct()
-    return out.distinct(), crowded
+def buckets_of(classes: DataFrame) -> DataFrame:
+    """(rep, size, bucket) of (rep, size, sketches)."""
+    return classes.select("rep", "size", F.explode("sketches").alias("bucket")).distinct()
+
+
+def with_leads(rows: DataFrame) -> DataFrame:
+    """(rep, size, bucket, n, lead) of the buckets with two classes or more: their number and
+    the class of fewest words. Where texts have a passage in common, each is as similar to
+    the shortest of them as to any other of at least its length."""
+    least = F.min(F.struct("size", "rep"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), least.alias("least")).filter("n > 1")
+    return rows.join(sizes.select("bucket", "n", F.col("least.rep").alias("lead")), "bucket")
+
+
+def candidates(sized: DataFrame) -> DataFrame:
+    """Pairs (a < b) to compare: all of a small bucket, of a large one each with its lead."""
+    star = sized.filter((F.col("n") > SMALL) & (F.col("rep") != F.col("lead")))
+    star = star.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
+    return _all_pairs(sized.filter(F.col("n") <= SMALL)).union(star).distinct()
+
+
+def unsettled(sized: DataFrame, groups: DataFrame) -> DataFrame:
+    """(rep, size, bucket) of the classes of large buckets that are not in their lead's group."""
+    named = lambda name: groups.select(F.col("id").alias(name), F.col("component").alias(f"g_{name}"))
+    rows = sized.filter(F.col("n") > SMALL).join(named("rep"), "rep", "left").join(named("lead"), "lead", "left")
+    return rows.filter(F.coalesce("g_rep", "rep") != F.coalesce("g_lead", "lead")).select("rep", "size", "bucket")
+
+
+def scattered(sized: DataFrame) -> DataFrame:
+    """Pairs (a < b) of buckets cut at random into parts of about ``PART`` classes, of each
+    part all pairs: where many pairs of a bucket are links, these hold most of it together."""
+    part = F.pmod(F.xxhash64("bucket", "rep"), F.ceil(F.col("n") / PART))
+    return _all_pairs(sized.select("rep", F.xxhash64("bucket", part).alias("bucket"))).distinct()
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
-    """The labelled shingles of (rep, g, words)."""
+    """The labelled shingles of (rep, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs_of(batch, "words", RUN):
                 kmers = [labelled(shingles(np.frombuffer(w.as_py(), np.uint64))).astype(np.int64) for w in part.column("words")]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), part.column("g"), pa.array(kmers, pa.list_(pa.int64()))], ["rep", "g", "kmers"]
-                )
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(kmers, pa.list_(pa.int64()))], ["rep", "kmers"])
+
+    return texts.select("rep", "words").mapInArrow(run, "rep bigint, kmers array<bigint>")
+
 
-    return in_small_batches(texts).select("rep", "g", "words").mapInArrow(run, "rep bigint, g bigint, kmers array<bigint>")
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows with the group ``g`` of their class."""
+    return rows.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component")
 
 
-def pairs_apart(crowded: DataFrame, groups: DataFrame, words: DataFrame) -> DataFrame:
-    """Pairs (a < b) of classes in large buckets that are in different groups and can reach
-    the threshold: every such pair over it is among them. ``groups`` has (id, component)
-    of linked classes, ``words`` (id, words) of all classes of large buckets."""
-    placed = crowded.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "bucket", F.coalesce("component", "rep").alias("g"))
+def crossing_shingles(crowded: DataFrame, groups: DataFrame, words: DataFrame) -> DataFrame:
+    """(rep, n, kmer) of the classes in large buckets of more than one group. ``groups`` has
+    (id, component) of linked classes, ``words`` (id, words) of all classes of large buckets."""
+    placed = _grouped(crowded.select("rep", "bucket"), groups)
     mixed = placed.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("bucket")
-    members = placed.join(mixed, "bucket").select("rep", "g").distinct()
+    members = placed.join(mixed, "bucket", "left_semi").select("rep").distinct()
     texts = _shingled(words.withColumnRenamed("id", "rep").join(members.hint("merge"), "rep"))
-    rows = cut_lineage(texts.select("rep", "g", F.size("kmers").alias("n"), F.explode("kmers").alias("kmer")), "omh-shingles")
+    return texts.select("rep", F.size("kmers").alias("n"), F.explode("kmers").alias("kmer"))
+
+
+def rare_shingles(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(kmer, g, rep, n, rest): of the shingles that occur in several groups those that a
+    text over the threshold with another one must have one of, and how many shingles the
+    text has from there on in the order of rarity."""
+    rows = _grouped(rows, groups)
     kinds = rows.groupBy("kmer").agg(F.count("*").alias("often"), (F.min("g") < F.max("g")).alias("crosses"))
     rarest = Window.partitionBy("rep").orderBy("crosses", "often", "kmer")
     # Shingles a pair has in common stand at or after the first of them in that order, so
     # both have at least as many from there on as must be matched.
     ranked = rows.join(kinds, "kmer").withColumn("rest", F.col("n") - F.row_number().over(rarest) + 1)
     reach = F.col("rest") >= F.col("n") * LEAST - 1e-9
-    early = cut_lineage(ranked.filter(reach & F.col("crosses")).select("kmer", "g", "rep", "n", "rest"), "omh-rarest")
+    return ranked.filter(reach & F.col("crosses")).select("kmer", "g", "rep", "n", "rest")
+
+
+def _enough() -> Column:
+    return F.least("rest_a", "rest_b") >= (F.col("n_a") + F.col("n_b")) * (SIMILAR / 2) - 1e-9
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
+def pairs_apart(early: DataFrame) -> DataFrame:
+    """Pairs (a < b) of texts in different groups that can reach the threshold: every such
+    pair over it is among them."""
     held = early.groupBy("kmer", "g").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
     side = lambda of, name: of.select("kmer", *(F.col(c).alias(f"{c}_{name}") for c in of.columns if c != "kmer"))
-    enough = F.least("rest_a", "rest_b") >= (F.col("n_a") + F.col("n_b")) * (SIMILAR / 2) - 1e-9
-    meet = side(held, "a").join(side(held, "b"), "kmer").filter((F.col("g_a") < F.col("g_b")) & enough).drop("n_a", "rest_a")
-    meet = meet.join(side(early, "a"), ["kmer", "g_a"]).filter(enough).drop("n_b", "rest_b")
-    pairs = meet.join(side(early, "b"), ["kmer", "g_b"]).filter(enough)
-    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    meet = side(held, "a").join(side(held, "b"), "kmer").filter((F.col("g_a") < F.col("g_b")) & _enough()).drop("n_a", "rest_a")
+    meet = meet.join(side(early, "a"), ["kmer", "g_a"]).filter(_enough()).drop("n_b", "rest_b")
+    return _ordered(meet.join(side(early, "b"), ["kmer", "g_b"]).filter(_enough()))
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -255,7 +298,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 kept.append(similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= SIMILAR - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return in_small_batches(pairs).select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -265,33 +308,47 @@ def _numbered(docs: DataFrame) -> DataFrame:
             words = [word_numbers(t.as_py(), numbers).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words, pa.binary())], ["id", "words"])
 
-    return in_small_batches(docs).mapInArrow(run, "id bigint, words binary")
+    return docs.select("id", "text").mapInArrow(run, "id bigint, words binary")
 
 
 def near_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, class_id, kept) of every row; ``kept`` marks the one that names the class."""
+    """(key, class_id, kept, mark, wordless) of every row; ``kept`` marks the document that
+    stays of its group, and ``mark`` is its ``document_mark``."""
     docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    docs = docs.withColumn("mark", document_mark(F.col("id"), F.col("text")))
     sketched = cut_lineage(_sketched(docs), "omh-sketches")
-    usable = sketched.filter("same is not null and id is not null")
-    classes = usable.groupBy("same").agg(F.min("id").alias("rep"), F.first("sketches").alias("sketches"))
-    classes = cut_lineage(classes, "omh-classes")
-    pairs, crowded = candidates(classes)
-    pairs = cut_lineage(pairs, "omh-candidates")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    # Sort-merge joins at every size: texts meet ids that grow with the table, and a hot
-    # class is split among tasks.
-    words = cut_lineage(_numbered(docs.join(wanted.hint("merge"), "id", "left_semi")), "omh-words")
+    first = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "mark"))
+    classes = sketched.filter("same is not null").groupBy("same").agg(first.alias("first"), F.first("size").alias("size"), F.first("sketches").alias("sketches"))
+    classes = cut_lineage(classes.withColumn("rep", F.monotonically_increasing_id()), "omh-classes")
+    sized = cut_lineage(with_leads(buckets_of(classes)), "omh-sized")
+    # Sort-merge joins at every size: texts meet classes, whose number grows with the table.
+    wanted = classes.select("rep", F.col("first.mark").alias("mark")).join(sized.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    chosen = docs.select("mark", "text").join(wanted.hint("merge"), "mark").dropDuplicates(["rep"])
+    words = cut_lineage(_numbered(chosen.withColumnRenamed("rep", "id")), "omh-words")
     side = lambda name: words.select(F.col("id").alias(name), F.col("words").alias(f"words_{name}")).hint("merge")
-    linked = lambda pairs: _verified(pairs.join(side("b"), "b").join(side("a"), "a"))
-    groups = connected_components(linked(pairs))
-    more = linked(cut_lineage(pairs_apart(crowded, groups, words), "omh-apart"))
-    groups = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
-    found = sketched.select("id", "same").join(named, "same", "left")
-    found = found.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"))
-    return found.withColumn("kept", F.col(key).eqNullSafe(F.col("class_id")))
+    verified = lambda pairs: cut_lineage(_verified(pairs.join(side("b"), "b").join(side("a"), "a")), "omh-links")
+
+    links = verified(candidates(sized))
+    groups = connected_components(links)
+    again = cut_lineage(with_leads(unsettled(sized, groups)), "omh-unsettled")
+    links = links.union(verified(scattered(again)))
+    groups = connected_components(links)
+    rows = cut_lineage(crossing_shingles(sized.filter(F.col("n") > SMALL), groups, words), "omh-shingles")
+    early = cut_lineage(rare_shingles(rows, groups), "omh-rarest")
+    links = links.union(verified(cut_lineage(pairs_apart(early), "omh-apart")))
+    groups = connected_components(links)
+
+    placed = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("same", "first", F.coalesce("component", "rep").alias("g"))
+    lead = placed.groupBy("g").agg(F.min("first").alias("lead"))
+    named = placed.join(lead, "g").select("same", "lead")
+    found = sketched.select("id", "mark", "same").join(named, "same", "left")
+    alone = F.col("same").isNull()
+    return found.select(
+        F.col("id").alias(key), F.when(alone, F.col("id")).otherwise(F.col("lead.id")).alias("class_id"),
+        (alone | (F.col("mark") == F.col("lead.mark"))).alias("kept"), "mark", alone.alias("wordless"),
+    )
 
 
 @query("op1_order_minhash")
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_texts(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return near_texts(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "class_id", "kept")

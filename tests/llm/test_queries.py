@@ -20,7 +20,9 @@ from rowscribe.llm.html_text import extract, main_text
 from rowscribe.llm.language_crf import fit, label_documents
 from rowscribe.llm.license_scan import TEMPLATES, Scanner, patience, words_of
 from rowscribe.llm.mixing import mix_documents
-from rowscribe.llm.order_minhash import SIMILAR, _Words, alignment, near_texts, pairs_apart, shingles, similarity, word_numbers
+from rowscribe.llm.order_minhash import (
+    SIMILAR, _Words, alignment, crossing_shingles, near_texts, pairs_apart, rare_shingles, shingles, similarity, word_numbers,
+)
 from rowscribe.llm.pii_crf import CARD, IP, KINDS, PHONE, Finder, _replace, base_spans, find_spans, luhn, redact
 from rowscribe.llm.rank_queue_bpe import Encoder, decode, encode, load_ranks, pair_table, round_trip
 from rowscribe.llm.rendezvous import place
@@ -358,6 +360,20 @@ def test_near_texts_against_all_pairs(spark, edges, nothing, sf_dir):
     assert classes == {i: root(i) for i in range(len(texts))}
 
 
+def test_repeated_ids_lose_no_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a), (3, b)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id bigint, text string, mark string, rep string")
+    found = {(r["doc_id"], r["class_id"], r["kept"]) for r in near_texts(docs, "doc_id", "text").collect()}
+    assert found == {(1, 1, True), (2, 1, False), (3, 1, False)}  # two groups, both named by document 1
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(1, a), (1, b), (4, b + " x y z"), (None, a), (None, None), (None, None), (9, ""), (9, ""), (1, a), (None, "c d"), (None, "C d!")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], schema)
+    kept = sorted(((r["doc_id"] or 0), r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert [k for k in kept if k[1].lower() != "c d" and k[1] != "C d!"] == [(0, ""), (0, ""), (1, a), (1, b), (9, ""), (9, "")]
+    assert len(kept) == 7
+
+
 def test_rest_of_large_buckets_is_searched_exactly(spark):
     random = np.random.default_rng(12)
     passage = [f"p{i}" for i in range(60)]
@@ -371,12 +387,10 @@ def test_rest_of_large_buckets_is_searched_exactly(spark):
     groups = {i: i - i % 3 for i in range(0, 120, 3) for i in (i, i + 1)}  # the third of each is in no group yet
     group = lambda i: groups.get(i, i)
     crowded = spark.createDataFrame([(i, 7) for i in range(len(texts))] + [(0, 9), (1, 9)], "rep bigint, bucket bigint")
-    found = pairs_apart(
-        crowded,
-        spark.createDataFrame(list(groups.items()), "id bigint, component bigint"),
-        spark.createDataFrame([(i, bytes(w.tobytes())) for i, w in enumerate(words)], "id bigint, words binary"),
-    )
-    found = {(r["a"], r["b"]) for r in found.collect()}
+    known = spark.createDataFrame(list(groups.items()), "id bigint, component bigint")
+    numbered = spark.createDataFrame([(i, bytes(w.tobytes())) for i, w in enumerate(words)], "id bigint, words binary")
+    early = rare_shingles(crossing_shingles(crowded, known, numbered), known)
+    found = {(r["a"], r["b"]) for r in pairs_apart(early).collect()}
     near = {(i, j) for j in range(len(texts)) for i in range(j) if similarity(words[i], words[j]) >= SIMILAR - 1e-9}
     apart = {(i, j) for i, j in near if group(i) != group(j)}
     assert apart and apart < near and apart <= found
