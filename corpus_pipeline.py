@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rowscribe.llm.language_crf import UNKNOWN, fit_documents, label_documents
 from rowscribe.llm.mixing import mix_documents
-from rowscribe.llm.order_minhash import near_texts
+from rowscribe.llm.order_minhash import document_mark, near_texts
 from rowscribe.llm.pii_crf import fit, redact
 from rowscribe.llm.rank_queue_bpe import round_trip
 from rowscribe.llm.registry import query, read
@@ -33,11 +33,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id. Rows
-    that repeat an id are one document. Rows without an id stay as they are."""
-    kept = near_texts(docs, "doc_id", "text").filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.filter("doc_id is null"))
+    """One document of each group of near duplicates, the one with the smallest id; rows
+    that repeat an id with another text are documents of their own. Of rows that repeat id
+    and text one stays, but rows without a word all do."""
+    found = near_texts(docs, "doc_id", "text")
+    stays = found.groupBy("mark").agg(F.max("kept").alias("_kept"), F.max("wordless").alias("_wordless")).filter("_kept")
+    marked = docs.withColumn("mark", document_mark(F.col("doc_id"), F.col("text")))
+    held = marked.join(stays.hint("merge"), "mark")
+    once = held.filter("not _wordless").dropDuplicates(["mark"])
+    return once.union(held.filter("_wordless")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
