@@ -16,6 +16,7 @@ from rowscribe import phrasebook as P
 from rowscribe.functions.arrays import ordered_join
 from rowscribe.functions.text import (
     absent_if,
+    clean_note,
     clean_notes,
     lower_first_if_second_low,
     phrases,
@@ -218,20 +219,59 @@ def important_entities(
     )
 
 
-def within_budget(
-    pieces: DataFrame, start: Column, tokens: Column, budget: float
+def notes_within_budget(
+    summary: DataFrame,
+    versions: DataFrame,
+    max_tokens: int = MAX_TOKENS,
+    suffix: str = "",
+    tokens: Callable[[Column], Column] = token_count,
 ) -> DataFrame:
-    """Keep each person's pieces, in order of ``rank``, before the first that would reach
-    the budget. ``start`` is what the person's note costs without any piece. A person has
-    at most as many pieces as were ranked."""
-    upto = Window.partitionBy("person_id").orderBy("rank")
-    running = start + F.sum(tokens).over(upto)
-    return (
-        pieces.withColumn("_over", (running >= budget).cast("int"))
-        .withColumn("_over", F.max("_over").over(upto))
-        .where(F.col("_over") == 0)
-        .drop("_over")
-    )
+    """person_id, note, kept, over: the longest note that stays below the budget.
+
+    ``versions`` (person_id, rank, start, visit_id, sentence) has the sentence of a visit
+    as it stands once the entity of that rank is in. Entities come in one by one; after
+    each the whole note is cleaned and counted with the suffix, and the first that reaches
+    the budget ends the note. ``kept`` is the rank of the last entity in the note, ``over``
+    whether another one was tried. A person has at most as many entities as were ranked,
+    so the fold over them is an expression on one row.
+    """
+    at = F.struct("start", "visit_id")
+    entry = F.struct(F.col("rank").cast("int").alias("rank"), at.alias("at"), "sentence")
+    entries = versions.groupBy("person_id").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    joined = summary.select("person_id", "summary").join(entries, "person_id", "left")
+    kinds = dict(entries.select("person_id", F.transform("_entries", lambda e: F.struct(e["at"], e["sentence"])).alias("s")).dtypes)
+    limit = max_tokens * SAFETY_MARGIN
+
+    def text_of(shown: Column) -> Column:
+        body = F.array_join(F.transform(shown, lambda e: e["sentence"]), VISIT_GAP)
+        return clean_note(F.concat(F.col("summary"), F.lit(NOTE_GAP), body))
+
+    def state(shown: Column, note: Column, kept: Column, over: bool) -> Column:
+        return F.struct(shown.alias("shown"), note.alias("note"), kept.alias("kept"), F.lit(over).alias("over"))
+
+    def add(done: Column, e: Column) -> Column:
+        others = F.filter(done["shown"], lambda x: x["at"] != e["at"])
+        shown = F.sort_array(F.concat(others, F.array(F.struct(e["at"].alias("at"), e["sentence"].alias("sentence")))))
+        # one-element arrays give the new lists and the cleaned note a name, so that each is made once
+        tried = F.transform(F.array(shown), lambda s: F.struct(s.alias("shown"), text_of(s).alias("note")))
+        fitted = F.transform(
+            tried,
+            lambda t: F.when(
+                tokens(F.concat(t["note"], F.lit(suffix))) < limit, state(t["shown"], t["note"], e["rank"], False)
+            ).otherwise(state(done["shown"], done["note"], done["kept"], True)),
+        )
+        return F.when(done["over"], done).otherwise(F.element_at(fitted, 1))
+
+    none = F.array().cast(kinds["s"])
+    start = state(none, text_of(none), F.lit(0), False)
+    found = F.aggregate(F.coalesce("_entries", F.array().cast(entries.schema["_entries"].dataType)), start, add)
+    return joined.withColumn("_f", found).select("person_id", "_f.note", "_f.kept", "_f.over")
+
+
+def tried_entities(entities: DataFrame, budgeted: DataFrame) -> DataFrame:
+    """The entities that were tried: those in the note, and the one that ended it."""
+    last = budgeted.select("person_id", (F.col("kept") + F.col("over").cast("int")).alias("_last"))
+    return entities.join(last, "person_id").where(F.col("rank") <= F.col("_last")).drop("_last")
 
 
 def important_concept_notes(
@@ -247,13 +287,14 @@ def important_concept_notes(
     zero_weight: bool = False,
     permuted: tuple[DataFrame, DataFrame] | None = None,
     max_tokens: int = MAX_TOKENS,
+    suffix: str = "",
     tokens: Callable[[Column], Column] = token_count,
 ) -> DataFrame:
     """Notes of the most important concepts, each with its visit, oldest visit first.
 
-    More than ten concepts are held to a token budget: what an entity adds is the
-    token count of its own phrase, plus the bare visit text where it brings in a visit.
-    ``permuted`` are (id, new_id) tables for conditions and for procedures.
+    More than ten concepts are held to a token budget, see ``notes_within_budget``; the
+    result then has its columns. ``permuted`` are (id, new_id) tables for conditions and
+    for procedures.
     """
     entities = important_entities(
         visits, temporal, num_concepts, conditions, procedures, abs_weight, zero_weight
@@ -268,16 +309,19 @@ def important_concept_notes(
         entities = _exchange(entities, permuted[1], "concept_id", F.col("kind") == "p")
     worded = entities.join(values.withColumnRenamed("value", "_text"), "concept_id", "left")
 
-    if num_concepts > UNCHECKED_CONCEPTS:
-        worded = _budgeted(worded, visits, primary, values, summary, max_tokens, tokens, as_list)
-
-    texts = lambda kind: F.transform(
-        F.sort_array(
-            F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "_text")))
-        ),
-        lambda e: e["_text"],
-    )
-    chosen = worded.groupBy(*VISIT_KEY).agg(texts("c").alias("_c"), texts("p").alias("_p"))
+    checked = num_concepts > UNCHECKED_CONCEPTS
+    texts = lambda kind: F.when(F.col("kind") == kind, F.col("_text"))
+    if checked:
+        # The phrases of a visit up to each of its entities.
+        upto = Window.partitionBy(*VISIT_KEY).orderBy("rank")
+        chosen = worded.select(
+            *VISIT_KEY, "rank", F.collect_list(texts("c")).over(upto).alias("_c"), F.collect_list(texts("p")).over(upto).alias("_p")
+        )
+    else:
+        ranked = lambda kind: F.transform(
+            F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "_text")))), lambda e: e["_text"]
+        )
+        chosen = worded.groupBy(*VISIT_KEY).agg(ranked("c").alias("_c"), ranked("p").alias("_p"))
     glue = "\n- " if as_list else " and "
     joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, glue))
     performed = F.when(F.size("_p") > 1, " were performed.").otherwise(" was performed.")
@@ -290,9 +334,10 @@ def important_concept_notes(
             joined(F.col("_p")) if as_list else F.concat(joined(F.col("_p")), performed),
         )
     )
-    sentence = (VISIT_LIST if as_list else VISIT).render(facts)
-    bodies = _visit_bodies(facts.withColumn("sentence", sentence))
-    return assemble_notes(summary, bodies)
+    sentences = facts.withColumn("sentence", (VISIT_LIST if as_list else VISIT).render(facts))
+    if checked:
+        return notes_within_budget(summary, sentences, max_tokens, suffix, tokens)
+    return assemble_notes(summary, _visit_bodies(sentences))
 
 
 def _with_primary(rows: DataFrame, primary: DataFrame, values: DataFrame) -> DataFrame:
@@ -304,22 +349,6 @@ def _with_primary(rows: DataFrame, primary: DataFrame, values: DataFrame) -> Dat
     )
 
 
-def _budgeted(worded, visits, primary, values, summary, max_tokens, tokens, as_list):
-    first = Window.partitionBy(*VISIT_KEY).orderBy("rank")
-    marked = worded.withColumn("_opens", F.row_number().over(first) == 1)
-    dated = marked.join(visits.drop("weight", "abs_weight"), list(VISIT_KEY), "left")
-    opened = _with_primary(dated, primary, values).join(
-        summary.select("person_id", "gender", "summary"), "person_id"
-    )
-    opened = clean_notes(opened, (VISIT_LIST if as_list else VISIT).render(opened), "_bare")
-    cost = F.coalesce(tokens(F.col("_text")), F.lit(0)) + F.when(
-        F.col("_opens"), tokens(F.col("_bare"))
-    ).otherwise(F.lit(0))
-    return within_budget(
-        opened, tokens(F.col("summary")), cost, max_tokens * SAFETY_MARGIN
-    ).select(*worded.columns)
-
-
 def _exchange(
     df: DataFrame, pairs: DataFrame, column: str, where: Column | None = None
 ) -> DataFrame:
@@ -461,7 +490,7 @@ def last_visit_notes(
     return assemble_notes(summaries(persons), bodies)
 
 
-# What each named form of the important-concept note switches on.
+# The names of the forms, and what each switches on.
 NOTE_FORMS: dict[str, dict[str, bool]] = {
     "n_important_visits": {"conditions": False, "procedures": False},
     "n_important_visits_and_conditions": {"conditions": True, "procedures": False},
@@ -499,7 +528,8 @@ def concepts_in_notes(
     persons: DataFrame, entities: DataFrame, temporal: DataFrame, values: DataFrame
 ) -> DataFrame:
     """(person_id, concept, selected): age, sex, race and the phrases the chosen entities
-    bring into a note, the primary conditions of their visits among them."""
+    bring into a note, the primary conditions of their visits among them. Of notes with a
+    budget, the entities are those of ``tried_entities``."""
     races = F.array(*[F.lit("race_" + r.replace(" ", "_")) for r in P.RACES])
     male = (F.col("gender").cast("int") == P.GENDERS.index("male")).cast("int")
     fixed = persons.select(

@@ -79,10 +79,8 @@ def select_templates(catalogue: DataFrame, index: int, first: int | None = None)
 
 
 def attach_template(df: DataFrame, catalogue: DataFrame, task: str = "task") -> DataFrame:
-    """Join the templates of each row's task. The catalogue is a handful of rows."""
-    return df.join(
-        F.broadcast(catalogue.withColumnRenamed("task", task)), task
-    )
+    """Join the templates of each row's task."""
+    return df.join(catalogue.withColumnRenamed("task", task), task)
 
 
 def all_templates(df: DataFrame, templates: Sequence[Mapping[str, str]], out: str = "template") -> DataFrame:

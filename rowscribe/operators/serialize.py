@@ -48,6 +48,23 @@ def serialize(df: DataFrame, template: NoteTemplate, out: str = "note") -> DataF
     return clean_notes(df, template.render(df), out)
 
 
+def importance_rows(
+    df: DataFrame,
+    key: str,
+    features: Sequence[tuple[str, str]],
+    pre: Mapping[str, ColumnFn],
+    explained: DataFrame,
+) -> DataFrame:
+    """key, note, features, values: the list note of every row beside its explanation
+    features, (key, feature, value) rows, in the order of their names."""
+    notes = serialize(df, feature_template(features, "list", pre)).select(key, "note")
+    pairs = F.sort_array(F.collect_list(F.struct("feature", "value")))
+    own = explained.groupBy(key).agg(pairs.alias("_pairs"))
+    return notes.join(own, key, "left").select(
+        key, "note", F.col("_pairs.feature").alias("features"), F.col("_pairs.value").alias("values")
+    )
+
+
 # Fixed value: a list line of a note is "- name: value", the value without a colon.
 LIST_LINE = r"(?m)^- (.*):([^:]*)$"
 

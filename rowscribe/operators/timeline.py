@@ -82,6 +82,12 @@ def parse_entries(entries: DataFrame) -> DataFrame:
     )
 
 
+def unknown_strings(entries: DataFrame) -> DataFrame:
+    """(person_id, text) of the strings at which ``parse_entries`` would fail."""
+    texts = entries.select("person_id", F.explode("concepts").alias("text"))
+    return texts.where(~F.col("text").rlike(VISIT_STRING) & ~F.col("text").rlike(CONCEPT_STRING))
+
+
 def all_visits(parsed: DataFrame) -> DataFrame:
     """One row per visit key; where entries repeat an attribute the earliest entry wins,
     inside an entry the last string. Visits without an id still are in."""

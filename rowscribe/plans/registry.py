@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = (
     "serialization", "labelling", "prompting", "sampling", "features", "scoring",
-    "timelines", "storage", "evaluation",
+    "timelines", "storage", "evaluation", "loading",
 )
 
 
@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_rows(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of a table. A small file is split by the reader's settings."""
+    """The named columns of a table. A file of one row group is read by one task."""
     return table(spark, sf_dir, name).select(*columns)
 
 

@@ -477,20 +477,32 @@ def timeline_note_list(spark, sf_dir):
 
 BUDGET = 150
 _TOKENS = "len(list_filter(regexp_split_to_array({t}, '[ \\n]+'), lambda x: x <> ''))"
-_BARE = sql_clean(_sentence_sql("c1", "NULL::VARCHAR", "''", "gender"))
-_BUDGET_SQL = f""", op AS (SELECT en.*, row_number() OVER (PARTITION BY en.person_id, en.visit_id ORDER BY rank) = 1 AS opens,
-        c1, gender, summary, type, start, specialty, duration FROM en
-        LEFT JOIN vw ON vw.person_id = en.person_id AND vw.visit_id = en.visit_id
-        LEFT JOIN pr ON pr.person_id = en.person_id AND pr.visit_id = en.visit_id
-        JOIN pf ON pf.person_id = en.person_id),
-    co AS (SELECT *, {_TOKENS.format(t='summary')} AS base, CASE WHEN concept_id IS NULL THEN 0 ELSE
-        {_TOKENS.format(t=_value_sql('concept_id'))} END + CASE WHEN opens THEN {_TOKENS.format(t=_BARE)} ELSE 0 END AS cost FROM op),
-    ru AS (SELECT *, base + sum(cost) OVER (PARTITION BY person_id ORDER BY rank) >= {BUDGET} * 0.95::DOUBLE AS over_ FROM co),
-    eb AS MATERIALIZED (SELECT * FROM (SELECT *, bool_or(over_) OVER (PARTITION BY person_id ORDER BY rank) AS cut FROM ru)
-        WHERE NOT cut)"""
-
-
-@query("timeline_budget", _note_sql(30, entities="eb", extra=_BUDGET_SQL))
+_RAW = f"summary || {_GAP} || coalesce(body, '')"
+# Every prefix of a person's entities is a note of its own; the first that reaches the budget ends the person's note.
+_BUDGET_SQL = f"""{_entities_sql(30)}, {_facts_sql()}, {_PRIMARY},
+    ch AS (SELECT a.person_id, a.rank AS upto, b.visit_id,
+        string_agg({_value_sql('b.concept_id')}, ' and ' ORDER BY b.rank) FILTER (b.kind = 'c') AS cs,
+        string_agg({_value_sql('b.concept_id')}, ' and ' ORDER BY b.rank) FILTER (b.kind = 'p') AS ps,
+        count(*) FILTER (b.kind = 'p') AS n_p
+        FROM en a JOIN en b ON b.person_id = a.person_id AND b.rank <= a.rank GROUP BY a.person_id, a.rank, b.visit_id),
+    sn AS (SELECT ch.person_id, upto, vw.start, ch.visit_id, {_sentence_sql(
+        'c1', 'cs', "coalesce(' A ' || ps || CASE WHEN n_p > 1 THEN ' were performed.' ELSE ' was performed.' END, '')",
+        'gender')} AS sentence
+        FROM ch JOIN vw ON vw.person_id = ch.person_id AND vw.visit_id = ch.visit_id
+        LEFT JOIN pr ON pr.person_id = ch.person_id AND pr.visit_id = ch.visit_id
+        JOIN pf ON pf.person_id = ch.person_id),
+    bd AS (SELECT person_id, upto, string_agg(sentence, chr(10) || chr(10) ORDER BY start, visit_id) AS body FROM sn GROUP BY 1, 2
+        UNION ALL SELECT person_id, 0, NULL FROM pf),
+    nt AS MATERIALIZED (SELECT person_id, upto, {sql_clean(_RAW)} AS note FROM bd JOIN pf USING (person_id)),
+    ov AS MATERIALIZED (SELECT person_id, max(upto) AS most,
+        min(upto) FILTER (upto > 0 AND {_TOKENS.format(t='note')} >= {BUDGET} * 0.95::DOUBLE) AS stop FROM nt GROUP BY 1)"""
+
+
+@query(
+    "timeline_budget",
+    f"""WITH {_BUDGET_SQL} SELECT nt.person_id, note, upto AS kept, stop IS NOT NULL AS over
+    FROM nt JOIN ov ON ov.person_id = nt.person_id AND upto = coalesce(stop - 1, most)""",
+)
 def timeline_budget(spark, sf_dir):
     """More than ten concepts: notes stop before they reach the token budget."""
     t = Timeline(spark, sf_dir, stored=True)
@@ -583,19 +595,19 @@ def timeline_note_leakage(spark, sf_dir):
 _RACE_FLAGS = "[" + ", ".join("'race_" + r.replace(" ", "_") + "'" for r in RACES) + "]"
 
 
-@query(
-    "timeline_concept_flags",
-    f"""WITH {_entities_sql(5)},
-    pe AS (SELECT DISTINCT person_id FROM ev),
-    ph AS (SELECT DISTINCT person_id, concept_id FROM (SELECT person_id, concept_id FROM en WHERE concept_id IS NOT NULL
-        UNION ALL SELECT nc.person_id, nc.concept_id FROM nc JOIN en ON en.person_id = nc.person_id
-            AND en.visit_id = nc.visit_id WHERE concept = 'condition1'))
+def _flags_sql(entities: str) -> str:
+    return f"""pe AS (SELECT DISTINCT person_id FROM ev),
+    ph AS (SELECT DISTINCT person_id, concept_id FROM (SELECT person_id, concept_id FROM {entities} WHERE concept_id IS NOT NULL
+        UNION ALL SELECT nc.person_id, nc.concept_id FROM nc JOIN {entities} e ON e.person_id = nc.person_id
+            AND e.visit_id = nc.visit_id WHERE concept = 'condition1'))
     SELECT person_id, 'age' AS concept, (20 + person_id % 60)::INT AS selected FROM pe
     UNION ALL SELECT person_id, 'sex_male', (person_id % 2)::INT FROM pe
     UNION ALL SELECT person_id, 'sex_female', (1 - person_id % 2)::INT FROM pe
     UNION ALL SELECT person_id, {_RACE_FLAGS}[person_id % 7 + 1], 1 FROM pe
-    UNION ALL SELECT person_id, {_value_sql('concept_id')}, 1 FROM ph""",
-)
+    UNION ALL SELECT person_id, {_value_sql('concept_id')}, 1 FROM ph"""
+
+
+@query("timeline_concept_flags", f"WITH {_entities_sql(5)}, {_flags_sql('en')}")
 def timeline_concept_flags(spark, sf_dir):
     t = Timeline(spark, sf_dir, stored=True)
     concepts = t.weighted_concepts()
@@ -603,6 +615,19 @@ def timeline_concept_flags(spark, sf_dir):
     return N.concepts_in_notes(t.persons, entities, concepts, t.values())
 
 
+@query(
+    "timeline_budget_flags",
+    f"""WITH {_BUDGET_SQL}, eb AS (SELECT en.* FROM en JOIN ov USING (person_id) WHERE rank <= coalesce(stop, most)), {_flags_sql('eb')}""",
+)
+def timeline_budget_flags(spark, sf_dir):
+    """The concepts of notes with a budget, with the one that ended the note."""
+    t = Timeline(spark, sf_dir, stored=True)
+    visits, concepts = t.weighted_visits(), t.weighted_concepts()
+    notes = N.important_concept_notes(t.persons, visits, concepts, t.values(), 30, max_tokens=BUDGET)
+    entities = N.tried_entities(N.important_entities(visits, concepts, 30), notes)
+    return N.concepts_in_notes(t.persons, entities, concepts, t.values())
+
+
 _PERMUTED = _value_sql("(CASE WHEN concept_id < 500 THEN 100 + (concept_id - 100 + 7) % 51 ELSE concept_id END)")
 
 

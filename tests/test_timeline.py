@@ -186,13 +186,20 @@ def test_budget(spark, persons, heavy, weighted, values):
     tables = dict(persons=persons, visits=heavy, temporal=weighted, values=values)
     full = notes("n_important_visits_and_conditions_and_procedures", num_concepts=50, **tables)
     assert full[1].endswith("performed.")
-    tight = N.important_concept_notes(num_concepts=50, max_tokens=35, **tables).collect()
-    short = {r["person_id"]: r["note"] for r in tight}[1]
-    assert SUMMARY[1] in short and len(short) < len(full[1])
-    pieces = spark.createDataFrame([(1, 1, 5), (1, 2, 50), (1, 3, 1), (2, 1, 3)], "person_id int, rank int, t int")
-    kept = N.within_budget(pieces, F.lit(4), F.col("t"), 20.0).collect()
-    # nothing after the first overflow, even where it would fit again
-    assert sorted((r["person_id"], r["rank"]) for r in kept) == [(1, 1), (2, 1)]
+    count = lambda text: len(text.split())
+    # The note after each entity, without a limit on tokens; then every limit cuts at the first one too long.
+    entities = N.important_entities(heavy, weighted, 50)
+    most_ranks = entities.where("person_id = 1").count()
+    steps = [notes("n_important_visits_and_conditions_and_procedures", num_concepts=n, **tables)[1] for n in range(1, most_ranks + 1)]
+    for most in (5, 35, 45, 1000):
+        found = {r["person_id"]: r for r in N.important_concept_notes(num_concepts=50, max_tokens=most, suffix=" a b", **tables).collect()}
+        fits = [count(note) + 2 < most * N.SAFETY_MARGIN for note in steps]
+        kept = fits.index(False) if False in fits else len(fits)
+        assert (found[1]["kept"], found[1]["over"]) == (kept, False in fits)
+        assert found[1]["note"] == (steps[kept - 1] if kept else SUMMARY[1] + "\n\n")
+        assert (found[2]["kept"], found[2]["over"]) == (0, False)
+        tried = N.tried_entities(entities, spark.createDataFrame(list(found.values()), "person_id bigint, note string, kept int, over boolean"))
+        assert tried.where("person_id = 1").count() == kept + (False in fits)
 
 
 def test_other_forms(spark, persons, heavy, weighted, values):
