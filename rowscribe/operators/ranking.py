@@ -168,15 +168,13 @@ def nth_key(
     keep: Column,
     partition_by: Sequence[str] = (),
     limits: DataFrame | None = None,
-    few_groups: bool = True,
 ) -> DataFrame:
     """The order key of row number ``keep`` per group, one row a group, as ``_edge``.
 
     ``keep`` is an expression of the group's row count ``n`` and of the columns of
     ``limits``, a table with one row per group. Only the range that holds the row is
     sorted; all other rows are merely counted, so the table itself is not shuffled.
-    A group without such a row has no result. With ``few_groups`` the caller vouches
-    that one row per group can be broadcast.
+    A group without such a row has no result.
     """
     keys = list(partition_by)
     cut = df.select(*keys, *order, range_.alias(_BUCKET))
@@ -193,8 +191,8 @@ def nth_key(
         (F.col("_keep") > F.col("_end") - F.col("_c")) & (F.col("_keep") <= F.col("_end"))
     ).select(*keys, _BUCKET, (F.col("_keep") - F.col("_end") + F.col("_c")).alias("_nth"))
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    if few_groups or not keys:
-        hit = F.broadcast(hit)  # one row per group
+    if not keys:
+        hit = F.broadcast(hit)  # one row
     return (
         cut.join(hit, [*keys, _BUCKET])
         .withColumn("_rn", F.row_number().over(inside))

@@ -84,16 +84,15 @@ def few_shot_sample(
             pick(F.col("_n"), F.col("_seed"), F.col("_shots"), "draw", F.col("_label"), F.col("_j")),
         )
     )
-    # As many rows as draws were asked for, so both sides below may be broadcast.
     located = _locate(draws, ranges, [*group, "_label"])
     wanted = located.select(*group, "_label", "_range").distinct()
     within = Window.partitionBy(*group, "_label", "_range").orderBy("_h", "_key")
     keyed = [*group, "_label", "_range"]
     candidates = (
-        rows.join(F.broadcast(wanted), keyed, "left_semi")
+        rows.join(wanted, keyed, "left_semi")
         .withColumn("_nth", F.row_number().over(within).cast("bigint") - 1)
     )
-    drawn = candidates.join(F.broadcast(located), [*keyed, "_nth"])
+    drawn = candidates.join(located, [*keyed, "_nth"])
     place = Window.partitionBy("_seed", "_shots").orderBy("_order", "_label", "_j")
     return (
         drawn.withColumn(
@@ -334,7 +333,7 @@ def cap_rows(df: DataFrame, caps: DataFrame, group: str, key: str, cap: str = "c
     """
     range_ = sampled_range(df, [F.col(key)])
     limits = caps.select(group, cap)
-    last = nth_key(df, [key], range_, F.least(cap, "n"), [group], limits, few_groups=False)
+    last = nth_key(df, [key], range_, F.least(cap, "n"), [group], limits)
     edges = last.join(limits, group)
     kept = df.join(edges, group)
     return kept.where(at_most([key], F.col("_edge"))).drop("_edge")

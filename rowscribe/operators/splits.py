@@ -77,7 +77,7 @@ def split_seeds(
     train = F.col("n") - holdout_size(F.col("n"), share)
     last = nth_key(hashed, order, hash_range(hashed, "_h"), train, ["seed"])
     return (
-        hashed.join(F.broadcast(last), "seed", "left")  # one row per seed
+        hashed.join(last, "seed", "left")
         .withColumn(
             out, F.when(at_most(order, F.col("_edge")), "train").otherwise("validation")
         )

@@ -12,6 +12,8 @@ map-side combining or a top-n window, which Spark trims before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,8 +171,6 @@ def weigh_visits(visits: DataFrame, weights: DataFrame, end_date: str) -> DataFr
         "type", names[F.col("concept_id").cast("int")]
     )
     table = _interval_sums(typed, keys)
-    if not person:
-        table = F.broadcast(table)  # one row per known visit type
     end = F.lit(end_date).cast("date")
     latest = visits.groupBy("person_id", "type").agg(
         F.max(F.struct("start", "visit_id")).alias("_latest")
@@ -213,30 +213,40 @@ CEILING = 10000
 
 
 def weigh_zero_shot(
-    temporal: DataFrame, visits: DataFrame, mode: str, end_date: str
+    temporal: DataFrame, visits: DataFrame, modes: str | Sequence[str], end_date: str
 ) -> DataFrame:
     """Weights without a model: by frequency in the person's record or by age in days.
-    The endings '_conditions' and '_procedures' set the other kind to zero."""
-    base = next((m for m in ZERO_SHOT_MODES if mode.startswith(m)), None)
-    if base is None:
-        raise ValueError(f"unknown mode {mode!r}; known: {', '.join(ZERO_SHOT_MODES)}")
-    if base.endswith("frequent"):
-        counts = temporal.groupBy("person_id", "concept_id").agg(
-            F.count(F.lit(1)).cast("double").alias("_f")
-        )
-        dated = temporal.join(counts, ["person_id", "concept_id"])
-        weight = F.col("_f") if base == "most_frequent" else F.lit(CEILING) - F.col("_f")
-    else:
-        dated = temporal.join(visits.select(*VISIT_KEY, "start"), list(VISIT_KEY), "left")
-        age = F.datediff(F.lit(end_date).cast("date"), F.col("start")).cast("double")
-        weight = age if base == "oldest" else F.lit(CEILING) - age
-    if mode.endswith("_conditions"):
-        weight = F.when(F.col("concept").startswith("procedure"), F.lit(0.0)).otherwise(weight)
-    if mode.endswith("_procedures"):
-        weight = F.when(F.col("concept").startswith("condition"), F.lit(0.0)).otherwise(weight)
-    return dated.select(
-        *VISIT_KEY, "concept_id", "concept", weight.alias("weight"), F.abs(weight).alias("abs_weight")
+    The endings '_conditions' and '_procedures' set the other kind to zero. Several modes
+    give a row each, with the mode; the counts and dates are looked up once for all."""
+    names = [modes] if isinstance(modes, str) else list(modes)
+    bases = {m: next((b for b in ZERO_SHOT_MODES if m.startswith(b)), None) for m in names}
+    if None in bases.values():
+        raise ValueError(f"unknown mode among {names}; known: {', '.join(ZERO_SHOT_MODES)}")
+    rows = temporal
+    if any(b.endswith("frequent") for b in bases.values()):
+        keys = ["person_id", "concept_id"]
+        counts = temporal.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_f"))
+        rows = rows.join(counts, keys)
+    if not all(b.endswith("frequent") for b in bases.values()):
+        rows = rows.join(visits.select(*VISIT_KEY, "start"), list(VISIT_KEY), "left")
+
+    def weight(mode: str) -> Column:
+        if bases[mode].endswith("frequent"):
+            value = F.col("_f") if bases[mode] == "most_frequent" else F.lit(CEILING) - F.col("_f")
+        else:
+            age = F.datediff(F.lit(end_date).cast("date"), F.col("start")).cast("double")
+            value = age if bases[mode] == "oldest" else F.lit(CEILING) - age
+        for ending, other in (("_conditions", "procedure"), ("_procedures", "condition")):
+            if mode.endswith(ending):
+                value = F.when(F.col("concept").startswith(other), F.lit(0.0)).otherwise(value)
+        return value
+
+    each = F.array(*[F.struct(F.lit(m).alias("mode"), weight(m).alias("weight")) for m in names])
+    found = rows.withColumn("_m", F.explode(each)).select(
+        *VISIT_KEY, "concept_id", "concept", F.col("_m.weight").alias("weight"), F.abs("_m.weight").alias("abs_weight"),
+        F.col("_m.mode").alias("mode"),
     )
+    return found.drop("mode") if isinstance(modes, str) else found
 
 
 def unweighted_visits(visits: DataFrame) -> DataFrame:

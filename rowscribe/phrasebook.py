@@ -228,7 +228,6 @@ NO_SPECIALTY = "no matching concept"
 # --- prompts: task -> (template name, question, answer choices) -----------------------
 PROMPT_SHAPE = "${note}\n\n${question} Answer:"
 YES_NO = " Yes or no?"
-CAR_OPTIONS = " Unacceptable, acceptable, good or very good?"
 NO_YES_CHOICES = "No ||| Yes"
 CAR_CHOICES = "Unacceptable ||| Acceptable ||| Good ||| Very good"
 PROMPTS = {
@@ -237,7 +236,7 @@ PROMPTS = {
     "calhousing": ("calhousing", "Is this house block valuable?" + YES_NO, NO_YES_CHOICES),
     "car": (
         "rate_decision",
-        "How would you rate the decision to buy this car?" + CAR_OPTIONS,
+        "How would you rate the decision to buy this car? Unacceptable, acceptable, good or very good?",
         CAR_CHOICES,
     ),
     "creditg": ("creditg", "Does this person receive a credit?" + YES_NO, NO_YES_CHOICES),

@@ -372,7 +372,7 @@ def timeline_person_visit_weights(spark, sf_dir):
 
 @query("timeline_weights", f"WITH {_W} SELECT * FROM nc")
 def timeline_weights(spark, sf_dir):
-    return Timeline(spark, sf_dir, stored=True).weighted_concepts()
+    return Timeline(spark, sf_dir).weighted_concepts()
 
 
 @query(
@@ -413,14 +413,7 @@ _AGE = f"date_diff('day', start, DATE '{END}')"
 def timeline_zero_shot_weights(spark, sf_dir):
     t = Timeline(spark, sf_dir)
     modes = ("most_frequent", "least_frequent", "oldest_procedures", "recent_conditions")
-    parts = [
-        T.weigh_zero_shot(t.temporal, t.visits, mode, END).withColumn("mode", F.lit(mode))
-        for mode in modes
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    return T.weigh_zero_shot(t.temporal, t.visits, modes, END)
 
 
 @query(
@@ -428,7 +421,7 @@ def timeline_zero_shot_weights(spark, sf_dir):
     f"WITH {_W} {_first_sql('condition')}",
 )
 def timeline_first_occurrence(spark, sf_dir):
-    t = Timeline(spark, sf_dir, stored=True)
+    t = Timeline(spark, sf_dir)
     kept = T.use_absolute(t.weighted_concepts()).where(
         F.col("concept").startswith("condition") & (F.col("weight") != 0)
     )
@@ -437,7 +430,7 @@ def timeline_first_occurrence(spark, sf_dir):
 
 @query("timeline_top_concepts", f"WITH {_entities_sql(5)} SELECT * FROM en")
 def timeline_top_concepts(spark, sf_dir):
-    t = Timeline(spark, sf_dir, stored=True)
+    t = Timeline(spark, sf_dir)
     return N.important_entities(t.weighted_visits(), t.weighted_concepts(), 5)
 
 

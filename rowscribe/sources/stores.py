@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +39,17 @@ def read_notes(
 def read_or_create(
     spark: SparkSession, path: str, make: Callable[[], DataFrame], schema: str
 ) -> DataFrame:
-    """JSON lines at ``path``; written once from ``make`` where there are none yet, or
-    where a write broke off and left no mark of success."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
-        make().write.mode("overwrite").json(path)
-    return spark.read.schema(schema).json(path)
+    """JSON lines below ``path``; written once from ``make`` where there are none yet, or
+    where a write broke off before it left its mark beside the rows."""
+    rows, mark = f"{path}/rows", f"{path}/done"
+    try:
+        done = not spark.read.text(mark).isEmpty()
+    except AnalysisException:  # no such folder
+        done = False
+    if not done:
+        make().write.mode("overwrite").json(rows)
+        spark.range(1).select(F.lit("done").alias("value")).write.mode("overwrite").text(mark)
+    return spark.read.schema(schema).json(rows)
 
 
 def few_shot_path(root: str, dataset: str, shots: int, seed: int) -> str:

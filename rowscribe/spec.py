@@ -79,6 +79,7 @@ def _same_type(names: str, kind: str) -> dict[str, str]:
 
 _int = X.integer_text
 
+# The columns, label codes and display names of the datasets.
 _SPECS = [
     DatasetSpec(
         name="creditg",
