@@ -46,7 +46,7 @@ def test_area_and_choice():
 def test_many_scans_equal_one_task(spark, n_labels):
     """Models fitted by scans over all rows are those that one task fits, set by set."""
     rows = data(n_labels, 60, 2.0)
-    folds = [[i % 3, (i // 2) % 2 if i % 5 else -1] for i, *_ in rows]
+    folds = [[(i // 3) % 3, (i // 6) % 2 if i % 5 else -1] for i, *_ in rows]
     table = spark.createDataFrame([(f, y, k) for (_, f, y), k in zip(rows, folds)], "features array<double>, label int, folds array<int>").repartition(3)
     grid = [(10, "l1"), (1, "l2"), (1e-2, "l2")]
     found = L.search_spread(table, 2, n_labels, grid)
