@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowscribe.functions.arrays import normalised
+from rowscribe.functions.arrays import normalised, ordered_join
 from rowscribe.operators.report import experiment_key
 
 
@@ -126,21 +126,51 @@ def write_summary(grid: DataFrame, path: str) -> None:
     grid.write.mode("overwrite").option("header", True).csv(path)
 
 
+def quoted_records(lines: DataFrame) -> DataFrame:
+    """(file, value) of CSV records whose quoted fields may span lines, from lines (file,
+    block, line, value); the first line of a file is its header and left out.
+
+    A line that starts outside quotes starts a record. Whether a block of a file starts
+    inside quotes follows from the number of quotes in the blocks before it, which is a
+    table of one row per block; so a file is read by as many tasks as it has blocks. Only
+    lines of records that span several are moved to each other.
+    """
+    marks = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    counted = lines.withColumn("_q", marks)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counted.groupBy("file", "block").agg(F.sum("_q").alias("_n"))
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("file", "block").orderBy("line")
+    upto = F.sum("_q").over(inside) - F.col("_q") + F.col("_before")
+    placed = counted.join(blocks, ["file", "block"]).withColumn("_start", upto % 2 == 0)
+    placed = placed.withColumn("_row", F.row_number().over(inside)).where((F.col("block") > 0) | (F.col("_row") > 1))
+    whole = F.col("_start") & (F.col("_q") % 2 == 0)
+    single = placed.where(whole & (F.trim("value") != "")).select("file", "value")
+    # Within the rest, a record runs from a start to the line before the next start.
+    parts = placed.where(~whole).select("file", "block", "line", "value", "_start")
+    own = parts.withColumn("_of", F.last(F.when(F.col("_start"), F.col("line")), True).over(inside))
+    last = own.groupBy("file", "block").agg(F.max("_of").alias("_last"))
+    carried = last.select("file", "block", F.last("_last", True).over(before).alias("_carried"))
+    joined = own.join(carried, ["file", "block"]).withColumn("_of", F.coalesce("_of", "_carried"))
+    entry = F.struct(F.col("line").alias("at"), F.col("value").alias("text"))
+    several = joined.groupBy("file", "_of").agg(ordered_join(F.collect_list(entry), "\n").alias("value"))
+    return single.union(several.select("file", "value"))
+
+
 def read_outputs(spark: SparkSession, path: str, schema: str = "idx bigint, output0 string") -> DataFrame:
-    """Stored model outputs. Quoted fields may span lines."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        .csv(path)
+    """Stored model outputs as CSV with a header. Quoted fields may span lines."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), "value",
     )
+    parsed = F.from_csv("value", schema, {"quote": '"', "escape": '"', "mode": "FAILFAST"})
+    return quoted_records(lines).select(parsed.alias("r")).select("r.*")
 
 
 def write_outputs(df: DataFrame, path: str) -> None:
     """Add output rows as CSV; call once per slice to keep what is done so far."""
-    df.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("append").options(header=True, escape='"', **kept).csv(path)
 
 
 def normalised_columns(outputs: Column, names: Sequence[str]) -> dict[str, Column]:

@@ -227,3 +227,18 @@ def test_probabilities_and_features_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "f")).columns == ["idx", "p"]
     outputs = df.select(*[c.alias(n) for n, c in O.normalised_columns(F.col("p"), ["a", "b"]).items()])
     assert tuple(outputs.first()) == (0.25, 0.75)
+
+
+def test_quoted_records_over_many_blocks(spark, tmp_path):
+    """Records with breaks and quotes inside, cut into blocks at every line."""
+    texts = ["plain", 'a "quoted" word', "two\nlines", 'x\n\n"y"\nz', "", "a,b", "ends\n", "\nstarts", None, "é" * 30]
+    rows = [(i, t) for i, t in enumerate(texts * 4)]
+    path = str(tmp_path / "outputs")
+    O.write_outputs(spark.createDataFrame(rows, "idx bigint, output0 string").repartition(2), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 8
+        found = {r["idx"]: r["output0"] for r in O.read_outputs(spark, path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {i: t or None for i, t in found.items()} == {i: t or None for i, t in rows}
