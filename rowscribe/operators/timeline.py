@@ -32,15 +32,15 @@ UNNUMBERED = "condition none"
 def entries_of(records: DataFrame) -> DataFrame:
     """Unnest person records (person_id, visits ARRAY<ARRAY<STRING>>, dates) to entries."""
     same = F.size("visits") == F.size("dates")
-    checked = records.where(
-        F.when(same, F.lit(True)).otherwise(
-            F.raise_error(F.lit("visits and dates differ in length")).cast("boolean")
-        )
-    )
-    return checked.select(
+    failed = F.raise_error(F.lit("visits and dates differ in length"))
+    checked = records.withColumn("visits", F.when(same, F.col("visits")).otherwise(failed))
+    # Filters on the arrays, as the check or the one an inner unnesting adds for their size,
+    # would make the arrays again.
+    unnested = checked.select(
         "person_id",
-        F.posexplode(F.arrays_zip(F.col("visits"), F.col("dates"))).alias("pos", "entry"),
-    ).select(
+        F.posexplode_outer(F.arrays_zip(F.col("visits"), F.col("dates"))).alias("pos", "entry"),
+    )
+    return unnested.where(F.col("pos").isNotNull()).select(
         "person_id",
         "pos",
         F.col("entry.dates").alias("date"),
@@ -111,8 +111,9 @@ def all_visits(parsed: DataFrame) -> DataFrame:
 
 
 def visits_of(parsed: DataFrame) -> DataFrame:
-    """Visits that have an id."""
-    return all_visits(parsed).where(F.col("id").isNotNull()).drop("id")
+    """Visits that have an id. Strings without an attribute decide nothing here, so they
+    are left out before the sort of the aggregate."""
+    return all_visits(parsed.where(F.col("attr").isNotNull())).where(F.col("id").isNotNull()).drop("id")
 
 
 def artifact_visits(parsed: DataFrame) -> DataFrame:

@@ -77,7 +77,9 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(spark, sf_dir).select("person_id", "date", F.explode("pieces").alias("e")).select(
+    # An event always has an entry. The outer form adds no filter on the size of the array,
+    # which would build all strings of an event, and parse its props, a second time.
+    return _pieces(spark, sf_dir).select("person_id", "date", F.explode_outer("pieces").alias("e")).select(
         "person_id", "e.pos", "date", "e.concepts"
     )
 
@@ -350,7 +352,7 @@ def timeline_concepts(spark, sf_dir):
 
 @query("timeline_weights_visits", f"WITH {_W} SELECT * FROM vw")
 def timeline_weights_visits(spark, sf_dir):
-    return Timeline(spark, sf_dir).weighted_visits()
+    return Timeline(spark, sf_dir, stored=True).weighted_visits()
 
 
 @query(
@@ -372,7 +374,7 @@ def timeline_person_visit_weights(spark, sf_dir):
 
 @query("timeline_weights", f"WITH {_W} SELECT * FROM nc")
 def timeline_weights(spark, sf_dir):
-    return Timeline(spark, sf_dir).weighted_concepts()
+    return Timeline(spark, sf_dir, stored=True).weighted_concepts()
 
 
 @query(
@@ -387,7 +389,7 @@ def timeline_weights(spark, sf_dir):
 )
 def timeline_person_weights(spark, sf_dir):
     """Weights that differ by person."""
-    t = Timeline(spark, sf_dir)
+    t = Timeline(spark, sf_dir, stored=True)
     weights = (
         t.temporal.select("person_id", "concept_id")
         .distinct()
@@ -411,7 +413,7 @@ _AGE = f"date_diff('day', start, DATE '{END}')"
     SELECT person_id, visit_id, concept_id, concept, weight, abs(weight) AS abs_weight, mode FROM m""",
 )
 def timeline_zero_shot_weights(spark, sf_dir):
-    t = Timeline(spark, sf_dir)
+    t = Timeline(spark, sf_dir, stored=True)
     modes = ("most_frequent", "least_frequent", "oldest_procedures", "recent_conditions")
     return T.weigh_zero_shot(t.temporal, t.visits, modes, END)
 
@@ -421,7 +423,7 @@ def timeline_zero_shot_weights(spark, sf_dir):
     f"WITH {_W} {_first_sql('condition')}",
 )
 def timeline_first_occurrence(spark, sf_dir):
-    t = Timeline(spark, sf_dir)
+    t = Timeline(spark, sf_dir, stored=True)
     kept = T.use_absolute(t.weighted_concepts()).where(
         F.col("concept").startswith("condition") & (F.col("weight") != 0)
     )
@@ -430,7 +432,7 @@ def timeline_first_occurrence(spark, sf_dir):
 
 @query("timeline_top_concepts", f"WITH {_entities_sql(5)} SELECT * FROM en")
 def timeline_top_concepts(spark, sf_dir):
-    t = Timeline(spark, sf_dir)
+    t = Timeline(spark, sf_dir, stored=True)
     return N.important_entities(t.weighted_visits(), t.weighted_concepts(), 5)
 
 

@@ -79,3 +79,26 @@ def test_seeded_split_does_not_shuffle_the_table(spark, sf_dir):
 def test_top_n_notes_trim_before_the_shuffle(spark, sf_dir):
     plan = plan_of(QUERIES["timeline_top_concepts"](spark, sf_dir), "simple")
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_entries_are_built_once_per_scan(spark, sf_dir):
+    """A filter on the size of an exploded array would build the strings of an event, and
+    parse its props, again."""
+    for name in ("timeline_parse", "timeline_person_records"):
+        plan = plan_of(QUERIES[name](spark, sf_dir), "simple")
+        assert plan.count("get_json_object") == plan.count("FileScan") == 1, name
+
+
+SEVERAL = ["timeline_weights_visits", "timeline_weights", "timeline_person_weights", "timeline_zero_shot_weights", "timeline_first_occurrence", "timeline_top_concepts"]
+
+
+@pytest.mark.parametrize("name", SEVERAL)
+def test_timelines_that_are_read_several_times_are_parsed_once(spark, sf_dir, name):
+    assert "get_json_object" not in plan_of(QUERIES[name](spark, sf_dir), "simple")
+
+
+def test_visits_group_only_strings_with_an_attribute(spark):
+    from rowscribe.operators import timeline as T
+
+    parsed = spark.createDataFrame([(1, 2, 0, 0, "id", "7", None, None)], "person_id bigint, visit_id bigint, pos bigint, at int, attr string, value string, concept_id bigint, concept string")
+    assert "isnotnull(attr" in plan_of(T.visits_of(parsed), "simple")
