@@ -95,9 +95,10 @@ def clean_notes(df: DataFrame, raw: Column, out: str) -> DataFrame:
     )
 
 
-def clean_note(text: Column) -> Column:
-    """The cleaned text as one expression; for many rows prefer ``clean_notes``."""
-    return _close_dot_runs(_cleaning_steps(text, WS), WS)
+def clean_note(text: Column, space: str = WS) -> Column:
+    """The cleaned text as one expression; for many rows prefer ``clean_notes``. ``space``
+    may be the short class \\s where a text holds no rare blanks."""
+    return _close_dot_runs(_cleaning_steps(text, space), space)
 
 
 def integer_text(value: Column) -> Column:
@@ -210,9 +211,9 @@ def task_name(dataset: Column, subset: Column, template: Column) -> Column:
     return F.regexp_replace(joined, r"[^\p{L}\p{N}_.]+", "_")
 
 
-def token_count(text: Column) -> Column:
+def token_count(text: Column, space: str = WS) -> Column:
     """Token estimate: the number of blank-separated words."""
-    return F.size(F.array_remove(F.split(text, WS + "+"), ""))
+    return F.size(F.array_remove(F.split(text, space + "+"), ""))
 
 
 def token_cut(text: Column, longest: int) -> Column:

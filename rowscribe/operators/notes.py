@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from rowscribe import phrasebook as P
 from rowscribe.functions.arrays import ordered_join
 from rowscribe.functions.text import (
+    WS,
     absent_if,
     clean_note,
     clean_notes,
+    has_rare_space,
     lower_first_if_second_low,
     phrases,
     replace_all,
@@ -242,29 +244,41 @@ def notes_within_budget(
     kinds = dict(entries.select("person_id", F.transform("_entries", lambda e: F.struct(e["at"], e["sentence"])).alias("s")).dtypes)
     limit = max_tokens * SAFETY_MARGIN
 
-    def text_of(shown: Column) -> Column:
-        body = F.array_join(F.transform(shown, lambda e: e["sentence"]), VISIT_GAP)
-        return clean_note(F.concat(F.col("summary"), F.lit(NOTE_GAP), body))
+    # The choice of the white-space class is made once per person, over all that can come in.
+    texts = F.array_join(F.transform("_entries", lambda e: e["sentence"]), " ")
+    parts = F.concat(F.col("summary"), F.coalesce(texts, F.lit("")), F.lit(suffix))
+    joined = joined.withColumn("_rare", has_rare_space(parts))
 
     def state(shown: Column, note: Column, kept: Column, over: bool) -> Column:
         return F.struct(shown.alias("shown"), note.alias("note"), kept.alias("kept"), F.lit(over).alias("over"))
 
-    def add(done: Column, e: Column) -> Column:
-        others = F.filter(done["shown"], lambda x: x["at"] != e["at"])
-        shown = F.sort_array(F.concat(others, F.array(F.struct(e["at"].alias("at"), e["sentence"].alias("sentence")))))
-        # one-element arrays give the new lists and the cleaned note a name, so that each is made once
-        tried = F.transform(F.array(shown), lambda s: F.struct(s.alias("shown"), text_of(s).alias("note")))
-        fitted = F.transform(
-            tried,
-            lambda t: F.when(
-                tokens(F.concat(t["note"], F.lit(suffix))) < limit, state(t["shown"], t["note"], e["rank"], False)
-            ).otherwise(state(done["shown"], done["note"], done["kept"], True)),
-        )
-        return F.when(done["over"], done).otherwise(F.element_at(fitted, 1))
+    def folded(space: str) -> Column:
+        def text_of(shown: Column) -> Column:
+            body = F.array_join(F.transform(shown, lambda e: e["sentence"]), VISIT_GAP)
+            return clean_note(F.concat(F.col("summary"), F.lit(NOTE_GAP), body), space)
+
+        def size_of(note: Column) -> Column:
+            whole = F.concat(note, F.lit(suffix))
+            return token_count(whole, space) if tokens is token_count else tokens(whole)
+
+        def add(done: Column, e: Column) -> Column:
+            others = F.filter(done["shown"], lambda x: x["at"] != e["at"])
+            shown = F.sort_array(F.concat(others, F.array(F.struct(e["at"].alias("at"), e["sentence"].alias("sentence")))))
+            # one-element arrays give the new lists and the cleaned note a name, so that each is made once
+            tried = F.transform(F.array(shown), lambda s: F.struct(s.alias("shown"), text_of(s).alias("note")))
+            fitted = F.transform(
+                tried,
+                lambda t: F.when(size_of(t["note"]) < limit, state(t["shown"], t["note"], e["rank"], False)).otherwise(
+                    state(done["shown"], done["note"], done["kept"], True)
+                ),
+            )
+            return F.when(done["over"], done).otherwise(F.element_at(fitted, 1))
+
+        none = F.array().cast(kinds["s"])
+        start = state(none, text_of(none), F.lit(0), False)
+        return F.aggregate(F.coalesce("_entries", F.array().cast(entries.schema["_entries"].dataType)), start, add)
 
-    none = F.array().cast(kinds["s"])
-    start = state(none, text_of(none), F.lit(0), False)
-    found = F.aggregate(F.coalesce("_entries", F.array().cast(entries.schema["_entries"].dataType)), start, add)
+    found = F.when(F.col("_rare"), folded(WS)).otherwise(folded(r"\s"))
     return joined.withColumn("_f", found).select("person_id", "_f.note", "_f.kept", "_f.over")
 
 

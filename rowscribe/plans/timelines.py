@@ -619,7 +619,8 @@ def timeline_budget_flags(spark, sf_dir):
     t = Timeline(spark, sf_dir, stored=True)
     visits, concepts = t.weighted_visits(), t.weighted_concepts()
     notes = N.important_concept_notes(t.persons, visits, concepts, t.values(), 30, max_tokens=BUDGET)
-    entities = N.tried_entities(N.important_entities(visits, concepts, 30), notes)
+    # Read twice; without a write the notes would be folded for each reading.
+    entities = t.keep(N.tried_entities(N.important_entities(visits, concepts, 30), notes), "tried")
     return N.concepts_in_notes(t.persons, entities, concepts, t.values())
 
 

@@ -102,3 +102,7 @@ def test_visits_group_only_strings_with_an_attribute(spark):
 
     parsed = spark.createDataFrame([(1, 2, 0, 0, "id", "7", None, None)], "person_id bigint, visit_id bigint, pos bigint, at int, attr string, value string, concept_id bigint, concept string")
     assert "isnotnull(attr" in plan_of(T.visits_of(parsed), "simple")
+
+
+def test_budget_flags_fold_the_notes_once(spark, sf_dir):
+    assert "aggregate(" not in plan_of(QUERIES["timeline_budget_flags"](spark, sf_dir), "simple")

@@ -202,6 +202,18 @@ def test_budget(spark, persons, heavy, weighted, values):
         assert tried.where("person_id = 1").count() == kept + (False in fits)
 
 
+def test_budget_with_rare_blanks(spark, persons, heavy, weighted, values):
+    """A person with a rare blank is cleaned and counted with the long class, others with the short one."""
+    spaced = values.withColumn("value", F.when(F.col("concept_id") == 103, F.lit("cou\u2003gh")).otherwise(F.col("value")))
+    tables = dict(persons=persons, visits=heavy, temporal=weighted, values=spaced)
+    full = notes("n_important_visits_and_conditions_and_procedures", num_concepts=10, **tables)
+    found = {r["person_id"]: r for r in N.important_concept_notes(num_concepts=50, **tables).collect()}
+    assert "cou\u2003gh" in full[1] and found[1]["note"] == full[1]
+    need = len(full[1].split())
+    cut = {r["person_id"]: r["over"] for r in N.important_concept_notes(num_concepts=50, max_tokens=need / N.SAFETY_MARGIN, **tables).collect()}
+    assert cut == {1: True, 2: False}
+
+
 def test_other_forms(spark, persons, heavy, weighted, values):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "person_id bigint, label int")
     leak = notes("label_leakage", persons=persons, labels=labels)
