@@ -30,6 +30,8 @@ ITERATIONS = 60
 SWEEPS = 60  # over the weights, for absolute weights
 CLOSE = 1e-7  # a step this small ends a model
 HELD = 8_000_000  # numbers summed per task at once: models times squared features
+ROWS = 250  # taken at once, so that their numbers for all models stay in the processor's cache
+NARROW = 40  # features up to which their products are laid out per row
 BINS = 4096  # of scores, for the choice of settings on a set that no task holds
 
 
@@ -41,12 +43,22 @@ def sums(x: np.ndarray, positive: np.ndarray, weight: np.ndarray, w: np.ndarray)
     """Loss, gradient and curvature of every model ``w`` (models, features) over rows ``x``;
     ``positive`` and ``weight`` are (rows, models)."""
     margin = x @ w.T
-    signed = np.where(positive, margin, -margin)
-    loss = (weight * np.logaddexp(0, -signed)).sum(axis=0)
-    p = np.exp(-np.logaddexp(0, -margin))
+    small = np.exp(-np.abs(margin))
+    loss = (weight * (np.maximum(np.where(positive, -margin, margin), 0) + np.log1p(small))).sum(axis=0)
+    near = 1 / (1 + small)  # the larger of p and 1 - p
+    far = small * near
+    p = np.where(margin >= 0, near, far)
     gradient = (weight * (p - positive)).T @ x
-    curved = weight * p * (1 - p)
-    curvature = np.stack([(x * curved[:, [b]]).T @ x for b in range(len(w))])
+    curved = weight * near * far
+    n, width = w.shape
+    if width <= NARROW:
+        # one product for all models, over the products of features of every row
+        upper = np.triu_indices(width)
+        curvature = np.empty((n, width, width))
+        curvature[:, upper[0], upper[1]] = curved.T @ (x[:, upper[0]] * x[:, upper[1]])
+        curvature[:, upper[1], upper[0]] = curvature[:, upper[0], upper[1]]
+    else:
+        curvature = np.stack([(x * curved[:, [b]]).T @ x for b in range(n)])
     return loss, gradient, curvature
 
 
@@ -234,12 +246,18 @@ def _added(parts: DataFrame, tasks: int) -> DataFrame:
     return parts.withColumn("part", F.lit(0)).groupBy("model", "part").applyInArrow(add, schema)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Equally long lists without nulls as (rows, length), without an object per number."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 2000):
-            rows = batch.slice(start, 2000)
-            x = _with_one(rows.column("features").to_pylist())
-            yield x, rows.column("label").to_numpy(zero_copy_only=False), np.array(rows.column("folds").to_pylist())
+        for start in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(start, ROWS)
+            x = _matrix(rows.column("features"))
+            x = np.hstack([x, np.ones((len(x), 1))])
+            yield x, rows.column("label").to_numpy(zero_copy_only=False), _matrix(rows.column("folds"))
 
 
 def _scanned(rows: DataFrame, models: Sequence[tuple[int, int, int]], share: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
@@ -388,9 +406,11 @@ def scored(rows: DataFrame, models: dict[tuple, list[list[float]]], by: str, gro
             of = batch.column(group).to_numpy(zero_copy_only=False)
             for g in set(of.tolist()):
                 mine = batch.filter(pa.array(of == g))
-                x = _with_one(mine.column("features").to_pylist())
+                x = _matrix(mine.column("features"))
+                x = np.hstack([x, np.ones((len(x), 1))])
                 for own, w in sent.value.get(g, []):
-                    p = pa.array(probabilities(x @ w.T).tolist(), pa.list_(pa.float64()))
+                    p = probabilities(x @ w.T)
+                    p = pa.ListArray.from_arrays(pa.array(range(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
                     yield pa.RecordBatch.from_arrays([mine.column(group), pa.array([own] * len(x), pa.int32()), mine.column("label"), p], names)
 
     rows = rows.select(group, "features", F.col("label").cast("int").alias("label"))

@@ -34,6 +34,29 @@ def test_fits_are_optimal():
     assert np.where(absolute[:, None], edge, squared).max() < 1e-4
 
 
+def test_sums_of_wide_and_narrow_rows_agree(monkeypatch):
+    """The curvature of all models from one product is that of one product per model."""
+    rng = np.random.default_rng(3)
+    x, w = rng.normal(size=(50, 6)) * 9, rng.normal(size=(7, 6)) * 9
+    positive, weight = rng.random((50, 7)) < 0.5, rng.random((50, 7))
+    narrow = L.sums(x, positive, weight, w)
+    monkeypatch.setattr(L, "NARROW", 0)
+    for a, b in zip(narrow, L.sums(x, positive, weight, w)):
+        assert np.allclose(a, b, rtol=1e-12)
+    margin = x @ w.T
+    loss = (weight * np.logaddexp(0, -np.where(positive, margin, -margin))).sum(axis=0)
+    assert np.allclose(narrow[0], loss, rtol=1e-12)
+
+
+def test_rows_of_slices_as_arrays():
+    import pyarrow as pa
+
+    batch = pa.record_batch({"features": [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], "label": [0, 1, 0], "folds": [[0], [1], [-1]]}).slice(1)
+    ((x, labels, folds),) = L._batches([batch])
+    assert x.tolist() == [[3.0, 4.0, 1.0], [5.0, 6.0, 1.0]] and labels.tolist() == [1, 0] and folds.tolist() == [[1], [-1]]
+    assert list(L._batches([batch.slice(2)])) == []
+
+
 def test_area_and_choice():
     assert L.area(np.array([True, False, True]), np.array([0.5, 0.5, 0.9])) == 0.75
     assert np.isnan(L.area(np.array([True]), np.array([0.5])))
