@@ -15,13 +15,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowscribe.functions.hashing import HASH_SPACE, hash_int, seeded_hash
 from rowscribe.functions.search import key_struct, range_of
 from rowscribe.session import bucket_count
 
 _BUCKET = "_range"
 _BEFORE = "_before"
 
+DRAWS = 1 << 40  # steps of a share of sampled keys
+
 
 def hash_digits(spark: SparkSession) -> int:
     """Leading hex digits of a digest that name its range: 4096 ranges, or 65536 where
@@ -39,7 +40,7 @@ def sampled_range(
 ) -> Column:
     """The range of each row when the order is cut into ranges of similar size.
 
-    Keys whose md5 falls below a threshold, about 64 per range by the counted rows, are
+    Keys whose hash falls below a threshold, about 64 per range by the counted rows, are
     sorted on the driver. The choice steers only the balance of the ranges. In an order
     of several columns NULLs count as keys, so that later columns split them.
     """
@@ -48,8 +49,7 @@ def sampled_range(
     names = keys.columns
     keys = keys.na.drop() if len(names) == 1 else keys
     share = min(1.0, 64.0 * ranges / max(1, keys.count()))
-    text = [F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names]
-    drawn = hash_int(seeded_hash("bounds", *text)) < F.lit(int(share * HASH_SPACE))
+    drawn = F.pmod(F.xxhash64(*names), F.lit(DRAWS)) < F.lit(int(share * DRAWS))
     chosen = keys.where(drawn).distinct().collect()
     sample = sorted({tuple(row) for row in chosen}, key=lambda row: [(v is not None, v) for v in row])
     step = max(1, len(sample) // ranges)

@@ -5,6 +5,7 @@ import io
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rowscribe.plans import QUERIES, load_all
 
@@ -106,3 +107,18 @@ def test_visits_group_only_strings_with_an_attribute(spark):
 
 def test_budget_flags_fold_the_notes_once(spark, sf_dir):
     assert "aggregate(" not in plan_of(QUERIES["timeline_budget_flags"](spark, sf_dir), "simple")
+
+
+def test_sampled_bounds_hash_keys_as_they_are(spark, monkeypatch):
+    """Bounds come from a hash of the keys, not from a digest of their text."""
+    from rowscribe.operators import ranking as R
+
+    seen = []
+    monkeypatch.setattr(R, "range_of", lambda order, bounds, types: seen.append(bounds) or F.lit(0))
+    monkeypatch.setattr(F, "md5", lambda *a: 1 / 0)
+    rows = spark.range(20000).select("id", F.when(F.col("id") % 2 == 0, F.col("id") / 2).alias("x"))
+    R.sampled_range(rows, [F.col("x"), F.col("id")], 16)
+    R.sampled_range(rows, [F.col("id")], 16)
+    assert [len(b) for b in seen] == [15, 15]
+    ends = [0, *[b[0] for b in seen[1]], 20000]
+    assert max(b - a for a, b in zip(ends, ends[1:])) < 20000 / 16 * 2
