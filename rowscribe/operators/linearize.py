@@ -75,10 +75,13 @@ def _reach(done: Column) -> Column:
 def linearize(
     grid: Column, highlighted: Column, page_title: Column, section_title: Column
 ) -> Column:
-    """The grid as tagged text. ``highlighted`` is ARRAY<ARRAY<INT>> of (row, column)."""
-    placed = with_offsets(grid)
+    """The grid as tagged text. ``highlighted`` is ARRAY<ARRAY<INT>> of (row, column).
 
-    def cell_text(row: Column, row_no: Column, cell: Column, cell_no: Column) -> Column:
+    Every cell looks at the placed grid. It is bound to a name first, as the one element
+    of an array, because an expression inside a lambda is computed again at each call.
+    """
+
+    def cell_text(placed: Column, row: Column, row_no: Column, cell: Column, cell_no: Column) -> Column:
         above = F.filter(
             F.flatten(F.slice(placed, F.lit(1), row_no)),
             lambda h: h["is_header"] & (h["first"] < cell["after"]) & (h["after"] > cell["first"]),
@@ -94,14 +97,17 @@ def linearize(
             F.when(marked, F.lit(HIGHLIGHTED[1])).otherwise(F.lit(CELL[1])),
         )
 
-    def row_text(row: Column, row_no: Column) -> Column:
+    def row_text(placed: Column, row: Column, row_no: Column) -> Column:
         return _wrap(
             ROW,
             F.array_join(
-                F.transform(row, lambda cell, cell_no: cell_text(row, row_no, cell, cell_no)), ""
+                F.transform(row, lambda cell, cell_no: cell_text(placed, row, row_no, cell, cell_no)), ""
             ),
         )
 
+    def rows_text(placed: Column) -> Column:
+        return F.array_join(F.transform(placed, lambda row, row_no: row_text(placed, row, row_no)), "")
+
     def title(tags: tuple[str, str], text: Column) -> Column:
         return F.when(F.length(text) > 0, _wrap(tags, text)).otherwise(F.lit(""))
 
@@ -109,6 +115,6 @@ def linearize(
         F.lit(START),
         title(PAGE_TITLE, page_title),
         title(SECTION_TITLE, section_title),
-        _wrap(TABLE, F.array_join(F.transform(placed, row_text), "")),
+        _wrap(TABLE, F.transform(F.array(with_offsets(grid)), rows_text)[0]),
         F.lit(END),
     )

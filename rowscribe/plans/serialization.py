@@ -12,6 +12,7 @@ from rowscribe.operators import sampling as K
 from rowscribe.operators import serialize as S
 from rowscribe.operators.template import NoteTemplate
 from rowscribe.plans.registry import query, sql_clean, sql_hash, sql_hash_int, table, text_rows
+from rowscribe.session import dealt_out
 
 SEED = 7
 SEGMENTS = {
@@ -56,9 +57,12 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_rows(spark, sf_dir, "part", "p_partkey", *[c for c, _ in PART])
 
 
-def part_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_notes(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """The list notes; ``dealt`` for work on them that takes much longer than moving rows."""
     template = S.feature_template(PART, "list", PART_FORMATS)
-    return S.serialize(parts(spark, sf_dir), template).select("p_partkey", "note")
+    rows = parts(spark, sf_dir)
+    rows = dealt_out(rows, "p_partkey") if dealt else rows
+    return S.serialize(rows, template).select("p_partkey", "note")
 
 
 @query(
@@ -287,7 +291,7 @@ def _echo(texts):
 )
 def notes_from_chunks(spark, sf_dir):
     """The way of a note through an outside model, here a stand-in."""
-    notes = part_notes(spark, sf_dir)
+    notes = part_notes(spark, sf_dir, dealt=True)
     return M.notes_from_chunks(notes, "note", ["p_partkey"], lambda: _shout)
 
 
@@ -297,7 +301,7 @@ def notes_from_chunks(spark, sf_dir):
         || printf('%.2f', p_retailprice) AS note FROM part""",
 )
 def notes_from_pairs(spark, sf_dir):
-    notes = part_notes(spark, sf_dir)
+    notes = part_notes(spark, sf_dir, dealt=True)
     return M.notes_from_pairs(notes, "note", ["p_partkey"], lambda: _echo)
 
 

@@ -53,3 +53,9 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
 def bucket_count(spark: SparkSession) -> int:
     """How many ranges a global order is cut into: follows the shuffle width."""
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt_out(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by their keys to as many tasks as an order has ranges. For costly work
+    on each row, as a compact file is read by few tasks however wide the cluster is."""
+    return df.repartition(bucket_count(df.sparkSession), *keys)

@@ -122,3 +122,23 @@ def test_sampled_bounds_hash_keys_as_they_are(spark, monkeypatch):
     assert [len(b) for b in seen] == [15, 15]
     ends = [0, *[b[0] for b in seen[1]], 20000]
     assert max(b - a for a, b in zip(ends, ends[1:])) < 20000 / 16 * 2
+
+
+@pytest.mark.parametrize("name", sorted(MODELS))
+def test_notes_for_a_model_are_made_after_rows_are_dealt_out(spark, sf_dir, name):
+    """A compact table is read by one task; cleaning, requests and the model are not in it."""
+    nodes = plan_of(QUERIES[name](spark, sf_dir), "simple").split("\n")
+    scan = next(i for i, line in enumerate(nodes) if "FileScan" in line)
+    dealt = max(i for i, line in enumerate(nodes) if "hashpartitioning(p_partkey" in line)
+    assert "REPARTITION_BY_NUM" in nodes[dealt] and not any("regexp" in line for line in nodes[dealt:scan])
+    assert any("MapInArrow" in line for line in nodes[:dealt])
+
+
+def test_a_grid_is_placed_once(spark):
+    from rowscribe.operators import linearize as G
+
+    rows = spark.createDataFrame([("a", "b")], "name string, value string")
+    marked = F.array(F.array(F.lit(1), F.lit(0)))
+    text = G.linearize(G.feature_grid(F.col("name"), F.col("value")), marked, F.lit(""), F.lit(""))
+    plan = rows.select(text)._jdf.queryExecution().optimizedPlan().toJSON()
+    assert plan.count("ArrayAggregate") == 1
