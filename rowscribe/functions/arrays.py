@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def computed_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value, bound as the one element of an array. An expression inside a
+    lambda is computed again at each call, a variable is not."""
+    return F.transform(F.array(value), use)[0]
+
+
 def array_total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -21,8 +29,13 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 def normalised(values: Column) -> Column:
     """Divide by the sum; NULL where the sum is zero."""
-    total = F.nullif(array_total(values), F.lit(0.0))
-    return F.transform(values, lambda x: x / total)
+
+    def shares(own: Column) -> Column:
+        return computed_once(
+            array_total(own), lambda total: F.transform(own, lambda x: x / F.nullif(total, F.lit(0.0)))
+        )
+
+    return computed_once(values, shares)
 
 
 def argmax(values: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rowscribe.functions.arrays import computed_once
+
 # The tags of the text form.
 START, END = "<s>", "\n\n"
 PAGE_TITLE = ("<page_title> ", " </page_title> ")
@@ -75,11 +77,7 @@ def _reach(done: Column) -> Column:
 def linearize(
     grid: Column, highlighted: Column, page_title: Column, section_title: Column
 ) -> Column:
-    """The grid as tagged text. ``highlighted`` is ARRAY<ARRAY<INT>> of (row, column).
-
-    Every cell looks at the placed grid. It is bound to a name first, as the one element
-    of an array, because an expression inside a lambda is computed again at each call.
-    """
+    """The grid as tagged text. ``highlighted`` is ARRAY<ARRAY<INT>> of (row, column)."""
 
     def cell_text(placed: Column, row: Column, row_no: Column, cell: Column, cell_no: Column) -> Column:
         above = F.filter(
@@ -115,6 +113,6 @@ def linearize(
         F.lit(START),
         title(PAGE_TITLE, page_title),
         title(SECTION_TITLE, section_title),
-        _wrap(TABLE, F.transform(F.array(with_offsets(grid)), rows_text)[0]),
+        _wrap(TABLE, computed_once(with_offsets(grid), rows_text)),
         F.lit(END),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from rowscribe.functions.search import range_of
 from rowscribe.operators.ranking import accumulate_by_order, quantile_bounds
+from rowscribe.session import cut_lineage
 
 
 def score_histogram(
@@ -22,14 +23,30 @@ def score_histogram(
     """(by..., score, pos, neg), rows per distinct score, and bounds that cut the scores
     into ranges. The bounds come from a sketch over the rows, so that the histogram is
     computed once only."""
-    rows = df.select(
+    rows = _score_rows(df, positive, score, by)
+    return _counted(rows, by), quantile_bounds(rows, "score")
+
+
+def stored_histogram(
+    df: DataFrame, positive: Column, score: Column, by: Sequence[str] = ()
+) -> tuple[DataFrame, list[tuple]]:
+    """The same from one pass over the rows, for rows that are costly to make: the histogram
+    is written once, and the bounds come from its scores, which are what the ranges hold."""
+    histogram = cut_lineage(_counted(_score_rows(df, positive, score, by), by), "histogram")
+    return histogram, quantile_bounds(histogram, "score")
+
+
+def _score_rows(df: DataFrame, positive: Column, score: Column, by: Sequence[str]) -> DataFrame:
+    return df.select(
         *by, positive.cast("boolean").alias("_p"), score.cast("double").alias("score")
     )
-    histogram = rows.groupBy(*by, "score").agg(
+
+
+def _counted(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*by, "score").agg(
         F.sum(F.when(F.col("_p"), 1).otherwise(0)).cast("bigint").alias("pos"),
         F.sum(F.when(F.col("_p"), 0).otherwise(1)).cast("bigint").alias("neg"),
     )
-    return histogram, quantile_bounds(rows, "score")
 
 
 def _score_range(bounds: list[tuple]) -> Column:
@@ -58,7 +75,9 @@ def roc_auc(
 
 def class_scores(df: DataFrame, label: str, probabilities: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per class: (by..., class, is_class, score)."""
-    return df.select(*by, F.col(label).alias("_l"), F.posexplode(probabilities)).select(
+    # an inner unnesting adds a filter on the size of the list, which makes the list again
+    unnested = df.select(*by, F.col(label).alias("_l"), F.posexplode_outer(probabilities))
+    return unnested.where(F.col("pos").isNotNull()).select(
         *by,
         F.col("pos").alias("class"),
         (F.col("_l") == F.col("pos")).alias("is_class"),
@@ -72,7 +91,7 @@ def roc_auc_ovr_classes(
     """One-vs-rest ROC AUC of every class."""
     long = class_scores(df, label, probabilities, by)
     keys = [*by, "class"]
-    histogram, bounds = score_histogram(long, F.col("is_class"), F.col("score"), keys)
+    histogram, bounds = stored_histogram(long, F.col("is_class"), F.col("score"), keys)
     return roc_auc_of_histogram(histogram, bounds, keys)
 
 
@@ -95,7 +114,7 @@ def roc_auc_ovo(
     """
     own = F.element_at(F.col(probabilities), F.col("_l") + 1)
     meets = df.select(*by, F.col(label).cast("int").alias("_l"), probabilities).select(
-        *by, "_l", own.alias("_own"), F.posexplode(probabilities)
+        *by, "_l", own.alias("_own"), F.posexplode_outer(probabilities)
     ).where(F.col("pos") != F.col("_l"))
     entries = meets.select(
         *by,
@@ -113,7 +132,7 @@ def roc_auc_ovo(
         ).alias("e"),
     ).select(*by, "e.*")
     keys = [*by, "class", "against"]
-    histogram, bounds = score_histogram(entries, F.col("is_class"), F.col("score"), keys)
+    histogram, bounds = stored_histogram(entries, F.col("is_class"), F.col("score"), keys)
     pairs = roc_auc_of_histogram(histogram, bounds, keys)
     return pairs.groupBy(*by).agg(F.avg("roc_auc").alias("roc_auc_ovo"))
 

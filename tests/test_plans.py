@@ -32,6 +32,10 @@ def test_no_python_and_no_cross_join(spark, sf_dir, name):
         assert node not in plan, node
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toJSON()
+
+
 def rows_below_single_partition(plan):
     """Nodes directly below an exchange to a single partition."""
     lines = plan.split("\n")
@@ -140,5 +144,22 @@ def test_a_grid_is_placed_once(spark):
     rows = spark.createDataFrame([("a", "b")], "name string, value string")
     marked = F.array(F.array(F.lit(1), F.lit(0)))
     text = G.linearize(G.feature_grid(F.col("name"), F.col("value")), marked, F.lit(""), F.lit(""))
-    plan = rows.select(text)._jdf.queryExecution().optimizedPlan().toJSON()
-    assert plan.count("ArrayAggregate") == 1
+    assert optimized(rows.select(text)).count("ArrayAggregate") == 1
+
+
+def test_a_list_is_parsed_and_summed_once(spark):
+    """Its sum is bound before the division, and unnesting adds no filter that parses again."""
+    from rowscribe.operators import answers as A
+    from rowscribe.operators import metrics as M
+
+    rows = spark.createDataFrame([(0, "1, 3")], "label int, text string")
+    lists = rows.select("label", A.probability_list(F.col("text")).alias("p"))
+    plan = optimized(M.class_scores(lists, "label", "p"))
+    assert plan.count("expressions.StringSplit") == plan.count("expressions.ArrayAggregate") == 1
+
+
+@pytest.mark.parametrize("name", ["zero_shot_score", "roc_auc_ovr", "roc_auc_ovo"])
+def test_scores_per_class_are_counted_once(spark, sf_dir, name):
+    """What follows reads the histogram, not the rows that it was made of."""
+    plan = plan_of(QUERIES[name](spark, sf_dir), "simple")
+    assert "orders.parquet" not in plan and "embeddings.parquet" not in plan and "histogram" in plan
