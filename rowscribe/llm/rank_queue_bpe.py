@@ -22,6 +22,7 @@ import base64
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,9 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 CUTS = re.compile(f" ?[{LATIN}]+(?![^\\W\\d_])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-MEMORY = 300_000  # cuts kept per task
-RUN_BYTES = 4_000_000  # text worked on at a time
+MEMORY = 200_000  # cuts kept per task, besides those of the run at hand
+RUN_BYTES = 1_500_000  # text worked on at a time
+MERGE_BYTES = 300_000  # of pre-tokens merged side by side; a merge takes about a hundred times that
 
 
 class RankQueue:
@@ -91,6 +93,14 @@ class RankQueue:
 LONG = 256  # bytes from which a pre-token has a queue of its own
 
 
+class _Numbers(dict):
+    """Numbers cuts in the order in which they are met."""
+
+    def __missing__(self, cut: str) -> int:
+        self[cut] = number = len(self)
+        return number
+
+
 class Encoder:
     """Encodes texts by ranks: bytes of a token -> its id and merge priority.
 
@@ -103,15 +113,16 @@ class Encoder:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.cuts: dict[str, bytes] = {}
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.cuts = _Numbers()
+        self.packed: list[bytes] = []  # ids of each cut, by its number
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pair_keys, self.pair_ranks = pairs
 
     def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of ids, -1 where they do not merge."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1).astype(np.int32)
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -160,17 +171,22 @@ class Encoder:
                 bucket.append(position)
 
     def merge_all(self, pieces: list[bytes]) -> list[bytes]:
-        """The packed ids of many pre-tokens."""
+        """The packed ids of many pre-tokens, ``MERGE_BYTES`` of them at a time."""
+        ends = np.cumsum([len(p) for p in pieces])
+        bounds = np.unique(np.searchsorted(ends, np.arange(MERGE_BYTES, ends[-1], MERGE_BYTES))).tolist() if pieces else []
+        return [ids for a, b in zip([0, *bounds], [*bounds, len(pieces)]) for ids in self._merge_together(pieces[a:b])]
+
+    def _merge_together(self, pieces: list[bytes]) -> list[bytes]:
         lengths = np.array([len(p) for p in pieces], np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         n = len(ids)
-        piece = np.repeat(np.arange(len(pieces)), lengths)
-        after = np.arange(1, n + 1)
-        before = np.arange(-1, n - 1)
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+        after = np.arange(1, n + 1, dtype=np.int32)
+        before = np.arange(-1, n - 1, dtype=np.int32)
         after[starts[1:] - 1] = -1
         before[starts[:-1]] = -1
-        pair = np.full(n, -1, np.int64)
+        pair = np.full(n, -1, np.int32)
         inner = np.flatnonzero(after >= 0)
         pair[inner] = self._rank_of(ids[inner], ids[inner + 1])
         alive = np.ones(n, bool)
@@ -214,25 +230,26 @@ class Encoder:
         data, bounds = packed.tobytes(), ends.tolist()
         return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    def _learn(self, cuts: set[str]) -> None:
-        """Put the cuts that are not yet known into memory."""
-        if len(self.cuts) + len(cuts) > MEMORY:
-            self.cuts.clear()
-        cuts = [c for c in cuts if c not in self.cuts]
+    def _packed(self, cuts: list[str]) -> list[bytes]:
+        """Packed ids of different cuts."""
         split = [[c] if c.removeprefix(" ").isalpha() else self.split(c) for c in cuts]
         new = {p: p.encode() for pieces in split for p in pieces}
         short = [p for p, b in new.items() if len(b) < LONG]
         ids = dict(zip(short, self.merge_all([new[p] for p in short])))
         for p in new.keys() - ids.keys():
             ids[p] = np.array(self.merge(new[p]), "<u4").tobytes()
-        self.cuts.update((c, b"".join([ids[p] for p in pieces])) for c, pieces in zip(cuts, split))
+        return [b"".join([ids[p] for p in pieces]) for pieces in split]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text."""
-        cut = [CUTS.findall(t or "") for t in texts]
-        self._learn(set().union(*cut) if cut else set())
-        known = self.cuts.__getitem__
-        return [b"".join(map(known, cuts)) for cuts in cut]
+        if len(self.cuts) > MEMORY:
+            self.cuts, self.packed = _Numbers(), []
+        number = self.cuts.__getitem__
+        # a text is held as the numbers of its cuts: each cut is kept once
+        found = [np.array([number(c) for c in CUTS.findall(t or "")], np.int32) for t in texts]
+        self.packed += self._packed(list(islice(self.cuts, len(self.packed), None)))
+        ids = self.packed.__getitem__
+        return [b"".join(map(ids, numbers.tolist())) for numbers in found]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rowscribe.llm import draws, pii_crf, registry
+from rowscribe.llm import draws, pii_crf, rank_queue_bpe, registry
 from rowscribe.llm.chain import posteriors
 from rowscribe.llm.components import connected_components
 from rowscribe.llm.cross_polytope import near_vectors
@@ -104,6 +105,25 @@ def test_bpe_equals_tiktoken(spark, edges, nothing):
     assert round_trip(nothing, PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_encoder_memory_is_bounded(monkeypatch):
+    ranks = load_ranks(PATH)
+    pairs = pair_table(ranks)
+    random = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = ["".join(w) for w in letters[random.integers(0, 26, (60_000, 8))]]
+    whole = Encoder(ranks, pairs, public_tokenizers.PATTERN)
+    tracemalloc.start()
+    found = whole.encode_all([" ".join(words)] * 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 65e6 and len(set(found)) == 1  # 0.5 MB of different words
+    monkeypatch.setattr(rank_queue_bpe, "MERGE_BYTES", 50)
+    monkeypatch.setattr(rank_queue_bpe, "MEMORY", 30)
+    parts = Encoder(ranks, pairs, public_tokenizers.PATTERN)
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 1000, 100)] + ["", None, "word " * 50]
+    assert [parts.encode_all([t])[0] for t in texts] == whole.encode_all(texts)
+
+
 def test_forward_backward_is_exact():
     random = np.random.default_rng(2)
     lengths = [1, 200, 3, 64, 65]
