@@ -17,6 +17,7 @@ from rowscribe.operators.ranking import (
     sampled_range,
 )
 from rowscribe.phrasebook import MIXTURE_ROWS
+from rowscribe.session import cut_lineage
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -156,6 +157,8 @@ def training_sets(
     Result: seed, num_shot (text), draw_no, key, label.
     """
     columns = ("seed", "num_shot", "draw_no", key, label)
+    # the split behind the rows is made once, for all the counts and joins that read them
+    df = cut_lineage(df.select(seed_column, key, label), "training-rows")
     numbers = [s for s in shots if s != "all"]
     parts = []
     if numbers:
@@ -169,7 +172,7 @@ def training_sets(
         rows = df.select(F.col(seed_column).cast("int").alias("seed"), key, label).withColumn(
             "_h", seeded_hash(F.col("seed"), "shuffle", F.col(key))
         )
-        whole = number_by_order(rows, ["_h", key], "_rn", ["seed"])
+        whole = number_by_hash(rows, "_h", "_rn", [key], ["seed"])
         parts.append(
             whole.withColumns({"num_shot": F.lit("all"), "draw_no": F.col("_rn").cast("bigint") - 1})
         )

@@ -52,6 +52,18 @@ def test_training_sets(rows):
     assert K.training_sets(seeded, "id", "label", ["all"]).count() == 2 * rows.count()
 
 
+def test_training_sets_send_no_sample_to_the_driver(spark, rows, monkeypatch):
+    def refused(*args):
+        raise AssertionError("keys of a sample collected")
+
+    monkeypatch.setattr(type(rows), "collect", refused)
+    seeded = rows.selectExpr("explode(array(1, 2)) as seed", "id", "label")
+    found = K.training_sets(seeded, "id", "label", [6, "all"])
+    monkeypatch.undo()
+    assert found.count() == 2 * (6 + 500)
+    assert found.inputFiles() and all("training-rows" in f for f in found.inputFiles())  # made once
+
+
 def test_few_shot_of_fewer_shots_than_labels(rows):
     sample = K.few_shot_sample(rows, "id", "label", [2], [1]).collect()
     assert [r["label"] for r in sample] == [2, 2]
