@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rowscribe.functions.hashing import seeded_hash
 from rowscribe.operators import linear
-from rowscribe.operators.metrics import accuracy_f1, roc_auc, roc_auc_ovr
+from rowscribe.operators.metrics import accuracy_f1, roc_auc, roc_auc_of_histogram, roc_auc_ovr, stored_histogram
 from rowscribe.operators.ranking import number_by_hash
 from rowscribe.operators.sampling import few_shot_sample
 from rowscribe.operators.splits import fold_count, split_seeds, stratified_folds
@@ -176,6 +176,7 @@ def score_holdout(model, holdout: DataFrame, n_labels: int = 2) -> DataFrame:
 def zero_shot_score(df: DataFrame, label: str, probabilities: str, n_labels: int = 2) -> DataFrame:
     """ROC AUC of stored probabilities, without a model."""
     if n_labels == 2:
-        scored = df.withColumn("_p1", F.element_at(F.col(probabilities), 2))
-        return roc_auc(scored, label, "_p1")
+        # stored lists are costly to parse
+        likely = F.element_at(F.col(probabilities), 2)
+        return roc_auc_of_histogram(*stored_histogram(df, F.col(label) == 1, likely))
     return roc_auc_ovr(df, label, probabilities)

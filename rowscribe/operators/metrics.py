@@ -230,7 +230,7 @@ def metric_record(
     if n_labels == 2:
         # Both areas read one histogram.
         positive = F.element_at(F.col(probabilities), 2)
-        histogram, bounds = score_histogram(df, F.col(label) == 1, positive)
+        histogram, bounds = stored_histogram(df, F.col(label) == 1, positive)
         areas = {
             "AUC": roc_auc_of_histogram(histogram, bounds).scalar(),
             "PR": pr_auc_of_histogram(histogram, bounds).scalar(),

@@ -163,3 +163,16 @@ def test_scores_per_class_are_counted_once(spark, sf_dir, name):
     """What follows reads the histogram, not the rows that it was made of."""
     plan = plan_of(QUERIES[name](spark, sf_dir), "simple")
     assert "orders.parquet" not in plan and "embeddings.parquet" not in plan and "histogram" in plan
+
+
+def test_two_label_lists_are_parsed_once(spark, sf_dir):
+    """Their areas read the stored histogram too, not the lists."""
+    from rowscribe.operators import answers as A
+    from rowscribe.operators import evaluate as V
+
+    rows = spark.createDataFrame([(0, "3, 1"), (1, "1, 3"), (1, "2, 2")], "label int, text string")
+    lists = rows.select("label", A.probability_list(F.col("text")).alias("p"))
+    plan = plan_of(V.zero_shot_score(lists, "label", "p"), "simple")
+    assert "split(" not in plan and "histogram" in plan
+    areas = [line for line in plan_of(QUERIES["metric_record"](spark, sf_dir), "simple").split("\n") if "FileScan" in line and "score#" in line]
+    assert areas and all("histogram" in line for line in areas)
